@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import exact_dedup, mixing, sharding, substring_dedup
+from skylattice.llm import exact_dedup, jaccard_join, mixing, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +31,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_documents(spark, sf_dir)).drop("kept")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": op2_mix_sources,
         "op3_ring_sharding": op3_ring_sharding,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
@@ -61,6 +66,22 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = w.doc_id
 """
 
+_OP10 = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+                               WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
+two AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT x AS v, x AS c FROM two UNION SELECT b.y, r.c FROM reach r JOIN two b ON b.x = r.v)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(c) FROM reach WHERE v = w.doc_id), w.doc_id) AS component_id
+FROM w LEFT JOIN size ON size.doc_id = w.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": _OP7, "op9_substring_dedup": _OP9}
+    return {"op7_exact_dedup": _OP7, "op9_substring_dedup": _OP9, "op10_jaccard_join": _OP10}
