@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import exact_dedup, jaccard_join, language_id, mixing, sharding, substring_dedup
+from skylattice.llm import exact_dedup, jaccard_join, language_id, mixing, sentence_pieces, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return sentence_pieces.encode(docs).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), "n_tokens", "pieces", "round_trip")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_documents(spark, sf_dir)).drop("kept")
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ring_sharding": op3_ring_sharding,
         "op4_language_id": op4_language_id,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_sentence_pieces": op8_sentence_pieces,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_jaccard_join": op10_jaccard_join,
     }
