@@ -14,8 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if its measured size on disk is at most this.
-BROADCAST_BYTES = 24 * 1024 * 1024
+#: A table of fixed-width columns is broadcast only if its size on disk is at most this.
+BROADCAST_BYTES = 8 * 1024 * 1024
+#: The same for a table with strings or arrays, which pack much tighter on disk than in memory.
+BROADCAST_NESTED_BYTES = 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +63,9 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Hint a broadcast if the measured size allows it, else leave the choice to Spark."""
+    if limit is None:
+        nested = any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in df.schema)
+        limit = BROADCAST_NESTED_BYTES if nested else BROADCAST_BYTES
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
