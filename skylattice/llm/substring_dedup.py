@@ -49,43 +49,43 @@ def count_windows(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _kernel(width: int):
+    def block(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray, i: int, j: int) -> pa.RecordBatch:
+        part, bounds = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        starts, ends, at = word_bounds(part, bounds)
+        gone = removed_units(batch.column(2).slice(i, j - i), at, width)
+        # bytes of kept words, each followed by one space unless it is its text's last
+        edge = np.zeros(len(part) + 2, np.int8)
+        stay = ~gone
+        np.add.at(edge, starts[stay], 1)
+        np.add.at(edge, ends[stay], -1)
+        keep = np.cumsum(edge[: len(part)], dtype=np.int8) > 0
+        out = part.copy()
+        text = np.repeat(np.arange(j - i), np.diff(at))[stay]
+        tail = np.ones(len(text), bool)
+        tail[:-1] = text[1:] != text[:-1]
+        gap = ends[stay][~tail]
+        out[gap] = 0x20
+        keep[gap] = True
+        before = np.concatenate([[0], np.cumsum(keep)])[bounds]
+        packed = memoryview(out[keep])
+        kept = [packed[before[r] : before[r + 1]] for r in range(j - i)]
+        sums = np.concatenate([[0], np.cumsum(gone)])[at]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).slice(i, j - i),
+                pa.array(np.diff(at)),
+                pa.array(np.diff(sums)),
+                pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                pa.array(list(map(bytes, kept)), pa.binary()).cast(pa.string()),
+            ],
+            ["own", "n_words", "n_removed", "kept_sha256", "kept"],
+        )
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column(1))
-            n_words, n_removed, sha, kept = [], [], [], []
             for i, j in blocks(off):
-                part, bounds = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                starts, ends, at = word_bounds(part, bounds)
-                gone = removed_units(batch.column(2).slice(i, j - i), at, width)
-                # bytes of kept words, each followed by one space unless it is its text's last
-                edge = np.zeros(len(part) + 2, np.int8)
-                stay = ~gone
-                np.add.at(edge, starts[stay], 1)
-                np.add.at(edge, ends[stay], -1)
-                keep = np.cumsum(edge[: len(part)], dtype=np.int8) > 0
-                out = part.copy()
-                text = np.repeat(np.arange(j - i), np.diff(at))[stay]
-                tail = np.zeros(len(text), bool)
-                if len(text):
-                    tail[:-1] = text[1:] != text[:-1]
-                    tail[-1] = True
-                gap = ends[stay][~tail]
-                out[gap] = 0x20
-                keep[gap] = True
-                before = np.concatenate([[0], np.cumsum(keep)])[bounds]
-                packed = memoryview(out[keep])
-                sums = np.concatenate([[0], np.cumsum(gone)])[at]
-                n_words.append(np.diff(at))
-                n_removed.append(np.diff(sums))
-                for r in range(j - i):
-                    s = packed[before[r] : before[r + 1]]
-                    sha.append(hashlib.sha256(s).hexdigest())
-                    kept.append(bytes(s))
-            both = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (n_words, n_removed)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, both), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
-                ["own", "n_words", "n_removed", "kept_sha256", "kept"],
-            )
+                yield block(batch, data, off, i, j)
 
     return finish
 
