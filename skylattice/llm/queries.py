@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import exact_dedup, jaccard_join, language_id, mixing, sentence_pieces, sharding, substring_dedup
+from skylattice.llm import exact_dedup, html_extraction, jaccard_join, language_id, mixing, sentence_pieces, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_documents(spark, sf_dir))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_ring_sharding": op3_ring_sharding,
         "op4_language_id": op4_language_id,
+        "op5_html_extraction": op5_html_extraction,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_substring_dedup": op9_substring_dedup,
