@@ -152,7 +152,8 @@ class Mix:
         step = 65536
         cells = spark.createDataFrame(plan, "sid int, out_shard int, first long, n long, blocks long")
         cells = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {step}"))).alias("part"))
-        cells = cells.repartition(F.col("sid"), F.col("out_shard"), F.col("part"))
+        spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cells = cells.repartition(spread, "sid", "out_shard", "part")  # a few rows that become many: keep them apart
         slots = cells.select(
             "sid",
             "out_shard",
