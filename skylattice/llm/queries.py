@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import exact_dedup, html_extraction, jaccard_join, language_id, mixing, sentence_pieces, sharding, substring_dedup
+from skylattice.llm import ann, exact_dedup, html_extraction, jaccard_join, language_id, mixing, sentence_pieces, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_documents(spark, sf_dir)).taken()
 
@@ -50,6 +54,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_graph_ann": op1_graph_ann,
         "op2_mix_sources": op2_mix_sources,
         "op3_ring_sharding": op3_ring_sharding,
         "op4_language_id": op4_language_id,
