@@ -201,3 +201,26 @@ class Mix:
             self.rows.join(got, ["sid", "start", "size"], "left")
             .select(F.col("rid").alias(self.id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
         )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``.
+
+    A document whose blocks are used up to ``r`` times gives ``r`` rows; row
+    ``k`` holds the words of the blocks used at least ``k`` times, which is
+    the unchanged text where that is all of them.  Documents of which the mix
+    takes nothing give no row.  ``n_chars``, if there, follows the text.  Ids
+    are expected to be unique; rows that share an id must share the text.
+    """
+    mix = Mix(docs, id_col, text_col, source_col, **options)
+    used = mix.pieces().groupBy("rid", "sid", "start", "size").agg(F.sort_array(F.collect_list(F.struct("from", "to", "uses"))).alias("blocks"))
+    used = materialize(used.select(F.col("rid").alias("__mix_id"), F.col("size").alias("__mix_size"), F.col("blocks").alias("__mix_blocks")).dropDuplicates(["__mix_id"]), "mix-used")
+    rows = docs.join(used, F.col(id_col) == F.col("__mix_id"))
+    rows = rows.withColumn("__mix_row", F.explode(F.sequence(F.lit(1), F.array_max("__mix_blocks.uses").cast("int"))))
+    keep = F.filter("__mix_blocks", lambda b: b["uses"] >= F.col("__mix_row"))
+    whole = F.aggregate(keep, F.lit(0).cast("long"), lambda n, b: n + b["to"] - b["from"]) == F.col("__mix_size")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
+    parts = F.flatten(F.transform(keep, lambda b: F.slice(words, (b["from"] + 1).cast("int"), (b["to"] - b["from"]).cast("int"))))
+    text = F.when(whole, F.col(text_col)).otherwise(F.array_join(parts, " "))
+    columns = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return rows.select(columns)
