@@ -1,10 +1,12 @@
 """Exact Jaccard self-join on word shingles.
 
 1. Every set is cut by hash into so many parts that two sets similar enough
-   must agree on one part at least (a pair may differ in ``d`` shingles, and
-   there are ``d + 1`` parts).  Sizes are banded, and a set also takes part in
-   the next band where it can have partners there.  Documents that agree on a
-   part form candidate blocks; a frequent shingle alone joins nothing.
+   must agree on ``e + 1`` parts at least (a pair may differ in ``d``
+   shingles, and there are ``d + 1 + e`` parts).  A set with at most ``e``
+   weak parts therefore needs none of those: similar sets still agree on a
+   strong one.  Sizes are banded, and a set also takes part in the next band
+   where it can have partners there.  Documents that agree on a part form
+   candidate blocks; a frequent shingle or passage alone joins nothing.
 2. Blocks are cut into tiles by size band and hash.  Tiles whose bands can
    hold partners meet: bitmaps of hashed shingles bound the overlap from
    above, and what passes is decided by intersecting sorted arrays.  Pairs
@@ -15,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,9 @@ from skylattice.operators.components import connected_components
 from skylattice.storage import broadcast_if_small, materialize
 
 #: Ratio of neighbouring size bands in the candidate search.
-BAND = 1.5
+BAND = 1.2
+#: A part with fewer shingles than this is weak: unlike sets often agree on it.
+WEAK = 3
 _U = np.uint64
 
 
@@ -62,22 +67,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
 class Bands:
     """Size bands and the number of parts in each, for a threshold in percent."""
 
-    def __init__(self, percent: int, top: int = 80):
+    def __init__(self, percent: int, top: int = 170):
         self.percent = percent
         self.low = np.unique(np.ceil(BAND ** np.arange(top)).astype(np.int64))
         high = np.append(self.low[1:] - 1, 1 << 48)
-        self.parts = 2 * high * (100 - percent) // (100 + percent) + 1
+        least = 2 * high * (100 - percent) // (100 + percent) + 1
+        self.extra = (least + 5) // 10
+        self.parts = least + self.extra
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
-    def also_next(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """Whether a set can have partners in the band above."""
-        return 100 * sizes >= self.percent * self.low[np.minimum(band + 1, len(self.low) - 1)]
+    def above(self, sizes: np.ndarray, up: int) -> np.ndarray:
+        """Rows that can have partners ``up`` bands above their own."""
+        band = self.of(sizes) + up
+        inside = (sizes > 0) & (band < len(self.low))
+        return inside & (100 * sizes >= self.percent * self.low[np.minimum(band, len(self.low) - 1)])
 
 
-def part_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every part of the chosen rows' sets in the given bands."""
+def part_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, parts: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the parts of the chosen rows' sets in the given bands, without weak ones where a set can spare them."""
     sizes = np.diff(bounds)[rows]
     if not len(rows):
         return rows, np.empty(0, np.uint64)
@@ -93,7 +102,9 @@ def part_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.n
     owner = np.repeat(np.arange(len(rows)), parts)
     number = (np.arange(total) - np.repeat(base[:-1], parts)).astype(np.uint64)
     key = mix(mix(hi * _U(0xD6E8FEB86659FD93) + lo) + number * _U(0xA0761D6478BD642F) + band[owner].astype(np.uint64) * _U(0xE7037ED1A0B428DB))
-    return rows[owner], key
+    weak = np.bincount(place, minlength=total) < WEAK
+    use = ~weak | (np.add.reduceat(weak, base[:-1]) > extra)[owner]
+    return rows[owner[use]], key[use]
 
 
 def bitmaps(sets: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
@@ -192,14 +203,12 @@ def jaccard_components(
                 out.append((0, ids[i : i + len(n)], n, f, g, valid[i : i + len(n)]))
                 first = np.array([valid[i + r] and (p := (f[r], g[r])) not in seen and not seen.add(p) for r in range(len(n))], bool)
                 band = bands.of(n)
-                for up in (0, 1):
+                up = -1
+                while (near := bands.above(n, up := up + 1)).any():
                     b = band + up
-                    use = first & (n > 0)
-                    if up:
-                        use &= bands.also_next(n, band)
-                    use = np.flatnonzero(use)
-                    use = use[bands.parts[b[use]] > 1]
-                    who, key = part_keys(sets, bounds, use, b[use], bands.parts[b[use]])
+                    use = np.flatnonzero(first & near)
+                    use = use[bands.parts[b[use]] > 1]  # a single part says only that sets are equal
+                    who, key = part_keys(sets, bounds, use, b[use], bands.parts[b[use]], bands.extra[b[use]])
                     owners.append(ids[i + who])
                     keys.append(key)
             yield from (_table(*x) for x in out)
@@ -281,7 +290,7 @@ def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
     the threshold) and a hash bucket of about ``tile`` documents; every side
     meets itself and the sides of its own and the next band.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100.0 / percent) * 1.0001)).cast("int")
     members = members.withColumn("band", band)
     count = members.groupBy("block", "band").agg(F.count(F.lit(1)).alias("k"))
     count = count.select("block", "k", F.struct("band", F.ceil(F.col("k") / tile).cast("int").alias("m")).alias("entry"))
