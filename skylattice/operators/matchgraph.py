@@ -109,8 +109,8 @@ def fill_order(edges: DataFrame, pending: DataFrame, seeds: DataFrame) -> DataFr
 
     The heaviest edge to a pending image goes next, ties to the smaller image;
     with none left, the pending image with the greatest total weight starts a
-    new component.  The rule is sequential, so it runs in one task per
-    connected component group on image-level edges only.
+    new component.  The rule is sequential over all images, so it runs in one
+    task, on the edges between images only.
     """
     rows = edges.select(F.lit(0).alias("kind"), F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("long"))
     rows = rows.union(pending.select(F.lit(1), F.col("image").cast("long"), F.lit(None), F.lit(None)))
@@ -145,4 +145,4 @@ def fill_order(edges: DataFrame, pending: DataFrame, seeds: DataFrame) -> DataFr
             push(image)
         return pd.DataFrame([(i, *o) for i, o in enumerate(out)], columns=["step", "image", "predecessor", "weight"]).astype({"predecessor": "Int64"})
 
-    return rows.groupBy(F.lit(1)).applyInPandas(lambda pdf: order(pdf), "step long, image long, predecessor long, weight long")
+    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(order, "step long, image long, predecessor long, weight long")

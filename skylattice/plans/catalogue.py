@@ -1,11 +1,489 @@
-"""The query catalogue: operators applied to the test tables, with their SQL."""
+"""The query catalogue: operators applied to the test tables, with their SQL.
+
+The tables are no images, so each operator runs on a table of the same shape.
+Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skylattice.functions import geometry as geo
+from skylattice.operators import composite, matchgraph, numbering, organize, retrieval, robust, surface
+from skylattice.plans import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- organising -----------------------------------------------------------
+
+
+@query("""
+WITH s AS (SELECT regexp_replace(list_last(regexp_extract_all(s_name, '\\d+')), '^0+(\\d)', '\\1') AS id, s_name, s_suppkey FROM supplier),
+c AS (SELECT regexp_replace(list_last(regexp_extract_all(c_name, '\\d+')), '^0+(\\d)', '\\1') AS id, c_name, c_custkey FROM customer),
+p AS (SELECT id, arg_min(s_name, s_suppkey) AS thermal FROM s GROUP BY id),
+q AS (SELECT id, arg_min(c_name, c_custkey) AS visible FROM c GROUP BY id)
+SELECT row_number() OVER (ORDER BY id::BIGINT) AS idx, id, thermal, visible FROM p JOIN q USING (id)
+""")
+def q_pair_exact(spark, sf_dir):
+    thermal = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("pos"))
+    visible = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("pos"))
+    return organize.number_pairs(organize.pair_by_id(thermal, visible)).select("idx", "id", "thermal", "visible")
+
+
+_PREFIX_SQL = """
+WITH a AS (SELECT DISTINCT c_name AS a FROM customer), b AS (SELECT DISTINCT 'Customer' || substr(s_name, 9) AS b FROM supplier),
+x AS (SELECT a, unnest(range(6, len(a) + 1)) AS n FROM a), y AS (SELECT b, unnest(range(6, len(b) + 1)) AS n FROM b),
+hit AS (SELECT a, x.n, min(b) AS b FROM x JOIN y ON x.n = y.n AND substr(a, 1, x.n) = substr(b, 1, y.n) GROUP BY a, x.n)
+SELECT a, arg_max(b, n) AS b, max(n)::INTEGER AS length FROM hit GROUP BY a
+"""
+
+
+def _prefix_sides(spark, sf_dir):
+    right = F.concat(F.lit("Customer"), F.expr("substring(s_name, 9)")).alias("b")
+    return _table(spark, sf_dir, "customer").select(F.col("c_name").alias("a"), F.col("c_custkey").alias("o")), _table(spark, sf_dir, "supplier").select(right, F.col("s_suppkey").alias("o"))
+
+
+@query(_PREFIX_SQL)
+def q_pair_prefix(spark, sf_dir):
+    left, right = _prefix_sides(spark, sf_dir)
+    return organize.best_prefix_partner(left, right, "a", "b")
+
+
+@query()
+def q_pair_greedy(spark, sf_dir):
+    left, right = _prefix_sides(spark, sf_dir)
+    return organize.greedy_prefix_pairs(left, right, "a", "b", "o")
+
+
+_THRESHOLD = """SELECT sqrt(p * nx) AS threshold FROM (SELECT p, lead(p) OVER (ORDER BY p) AS nx FROM (SELECT DISTINCT n_chars::DOUBLE AS p FROM documents))
+WHERE nx IS NOT NULL ORDER BY nx / p DESC, p LIMIT 1"""
+
+
+@query(f"SELECT round(threshold, 6) AS threshold FROM ({_THRESHOLD})")
+def q_threshold(spark, sf_dir):
+    return organize.auto_threshold(_table(spark, sf_dir, "documents"), "n_chars").select(F.round("threshold", 6).alias("threshold"))
+
+
+@query(f"""
+SELECT kind, lang, count(*) AS n FROM (SELECT CASE WHEN n_chars <= threshold THEN 'thermal' ELSE 'visible' END AS kind, lang
+FROM documents, ({_THRESHOLD})) GROUP BY kind, lang
+""")
+def q_classify(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("n_chars", "lang")
+    return organize.classify(docs, "n_chars", organize.auto_threshold(docs, "n_chars")).groupBy("kind", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ORDER BY c_custkey LIMIT 50")
+def q_pending(spark, sf_dir):
+    done = _table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return organize.pending(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), done, "c_custkey", F.col("c_custkey"), 50)
+
+
+@query("""
+WITH o AS (SELECT c_custkey, lower(c_name) AS name FROM customer WHERE c_nationkey < 13), n AS (SELECT c_custkey, upper(c_name) AS name FROM customer WHERE c_acctbal > 5000)
+SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n
+""")
+def q_upsert(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    old = c.filter("c_nationkey < 13").select("c_custkey", F.lower("c_name").alias("name"))
+    return organize.upsert(old, c.filter("c_acctbal > 5000").select("c_custkey", F.upper("c_name").alias("name")), "c_custkey")
+
+
+# --- match graph ----------------------------------------------------------
+
+
+def _supplier_pairs(spark, sf_dir, status: str | None = None) -> DataFrame:
+    """A row for each order in which two suppliers occur together."""
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("s")).distinct()
+    if status:
+        some = _table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("l_orderkey"))
+        items = items.join(some, "l_orderkey", "left_semi")
+    return items.toDF("k", "image_a").join(items.toDF("k", "image_b"), "k").filter("image_a < image_b").select("image_a", "image_b")
+
+
+_PAIRS = """items AS (SELECT DISTINCT l_orderkey AS k, l_suppkey::VARCHAR AS s FROM lineitem),
+w AS (SELECT x.s AS a, y.s AS b, count(*) AS weight FROM items x JOIN items y ON x.k = y.k AND x.s < y.s GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, weight FROM w UNION ALL SELECT b, a, weight FROM w")
+def q_edge_weight(spark, sf_dir):
+    return matchgraph.edge_weights(_supplier_pairs(spark, sf_dir))
+
+
+@query(f"""
+WITH {_PAIRS}, e AS (SELECT a, b, weight FROM w WHERE weight >= 25 UNION ALL SELECT b, a, weight FROM w WHERE weight >= 25),
+run AS (SELECT s_suppkey::VARCHAR AS image FROM supplier WHERE s_acctbal < 0),
+inv AS (SELECT image FROM run UNION SELECT b FROM e JOIN run ON a = image)
+SELECT a, b, weight FROM e WHERE a IN (SELECT image FROM inv) AND b IN (SELECT image FROM inv)
+""")
+def q_involved(spark, sf_dir):
+    edges = matchgraph.edge_weights(_supplier_pairs(spark, sf_dir)).filter("weight >= 25")
+    run = _table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("image"))
+    return matchgraph.between(edges, matchgraph.involved(run, edges))
+
+
+@query("""
+WITH items AS (SELECT DISTINCT l_orderkey AS k, l_suppkey::VARCHAR AS s FROM lineitem),
+p AS (SELECT x.k, x.s AS image_a, y.s AS image_b FROM items x JOIN items y ON x.k = y.k AND x.s < y.s),
+tried AS (SELECT DISTINCT image_a, image_b FROM p JOIN orders ON o_orderkey = k WHERE o_orderstatus = 'P')
+SELECT image_a, image_b, (count(*) >= 15)::INTEGER AS verified, count(*) AS inliers
+FROM p ANTI JOIN tried USING (image_a, image_b) GROUP BY image_a, image_b
+""")
+def q_status(spark, sf_dir):
+    return matchgraph.pair_status(_supplier_pairs(spark, sf_dir), _supplier_pairs(spark, sf_dir, "P"))
+
+
+@query("""
+WITH RECURSIVE items AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem),
+w AS (SELECT x.s AS a, y.s AS b FROM items x JOIN items y ON x.k = y.k AND x.s < y.s GROUP BY 1, 2 HAVING count(*) >= 36),
+u AS (SELECT a, b FROM w UNION SELECT b, a FROM w),
+r AS (SELECT s_suppkey AS v, s_suppkey AS c FROM supplier UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.v),
+l AS (SELECT v, min(c) AS component FROM r GROUP BY v)
+SELECT component, count(*) AS size FROM l GROUP BY component ORDER BY size DESC, component LIMIT 10
+""")
+def q_components(spark, sf_dir):
+    pairs = _supplier_pairs(spark, sf_dir).groupBy("image_a", "image_b").agg(F.count(F.lit(1)).alias("w")).filter("w >= 36")
+    edges = pairs.select(F.col("image_a").cast("long").alias("a"), F.col("image_b").cast("long").alias("b"))
+    nodes = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    return matchgraph.component_sizes(edges, nodes).orderBy(F.desc("size"), "component").limit(10)
+
+
+def _history(spark, sf_dir) -> DataFrame:
+    """Match rows: an order's part and the next order's with the same part in the same month; r keeps the row order."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("m")).distinct()
+    from pyspark.sql import Window
+
+    nxt = F.lead("l_orderkey").over(Window.partitionBy("l_partkey", "m").orderBy("l_orderkey"))
+    rows = rows.withColumn("b", nxt).filter("b is not null")
+    r = (F.col("l_partkey") * 100_000 + F.col("m")) * 1_000_000_000 + F.col("l_orderkey")
+    return rows.select(r.alias("r"), F.col("l_orderkey").alias("image_a"), F.col("l_partkey").alias("kp_a"), F.col("b").alias("image_b"), F.col("l_partkey").alias("kp_b"))
+
+
+_TRACKS = """
+WITH RECURSIVE d AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p, year(l_shipdate) * 12 + month(l_shipdate) AS m FROM lineitem),
+n AS (SELECT k AS a, p AS ka, lead(k) OVER (PARTITION BY p, m ORDER BY k) AS b, p AS kb, (p * 100000 + m) * 1000000000 + k AS r FROM d),
+matches AS (SELECT * FROM n WHERE b IS NOT NULL),
+obs AS (SELECT a im, ka kp, 2 * r seq FROM matches UNION ALL SELECT b, kb, 2 * r + 1 FROM matches),
+node AS (SELECT im, kp, min(seq) seq FROM obs GROUP BY 1, 2),
+e AS (SELECT x.seq s, y.seq d FROM matches JOIN node x ON x.im = a AND x.kp = ka JOIN node y ON y.im = b AND y.kp = kb),
+u AS (SELECT s, d FROM e UNION SELECT d, s FROM e),
+reach AS (SELECT seq v, seq c FROM node UNION SELECT u.d, reach.c FROM reach JOIN u ON u.s = reach.v),
+comp AS (SELECT v seq, min(c) c FROM reach GROUP BY 1),
+keep AS (SELECT c, count(DISTINCT im) n_img FROM comp JOIN node USING (seq) GROUP BY 1 HAVING count(DISTINCT im) >= 2),
+num AS (SELECT c, n_img, row_number() OVER (ORDER BY c) - 1 track_id FROM keep),
+tracks AS (SELECT track_id, im, kp, seq, n_img FROM comp JOIN num USING (c) JOIN node USING (seq)),
+last AS (SELECT track_id, im, arg_max(kp, seq) kp FROM tracks GROUP BY 1, 2),
+corr AS (SELECT x.im a, y.im b, x.kp kp_a, y.kp kp_b FROM tracks x JOIN last y ON x.track_id = y.track_id AND x.im <> y.im)
+"""
+
+
+@query(_TRACKS + "SELECT track_id, im AS image, kp AS feature_id, n_img AS n_images FROM tracks")
+def q_tracks(spark, sf_dir):
+    return matchgraph.create_tracks(_history(spark, sf_dir)).drop("seq")
+
+
+@query(_TRACKS + "SELECT a, b, kp_a, kp_b FROM corr")
+def q_corr(spark, sf_dir):
+    return matchgraph.correspondences(matchgraph.create_tracks(_history(spark, sf_dir)))
+
+
+@query(_TRACKS + "SELECT a, b, shared, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM (SELECT a, b, count(*) AS shared FROM corr GROUP BY 1, 2)")
+def q_reachable(spark, sf_dir):
+    return matchgraph.reachable(matchgraph.create_tracks(_history(spark, sf_dir)))
+
+
+@query()
+def q_fill_order(spark, sf_dir):
+    edges = matchgraph.edge_weights(_supplier_pairs(spark, sf_dir)).filter("weight >= 36")
+    s = _table(spark, sf_dir, "supplier")
+    return matchgraph.fill_order(edges, s.select(F.col("s_suppkey").alias("image")), s.filter("s_acctbal < -900").select(F.col("s_suppkey").alias("image")))
+
+
+# --- retrieval ------------------------------------------------------------
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS word FROM documents),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM t),
+w AS (SELECT doc_id, word, tf, tf * ln((n + 1.0) / (df + 1.0)) AS w FROM tf JOIN df USING (word), n)
+SELECT doc_id, word, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 4) AS weight FROM w
+""")
+def q_tfidf(spark, sf_dir):
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    terms = _table(spark, sf_dir, "documents").select("doc_id", words.alias("word"))
+    return retrieval.tfidf(terms, "doc_id", "word").select("doc_id", "word", "tf", F.round("weight", 4).alias("weight"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS sim FROM e x JOIN e y ON x.vec_id <> y.vec_id)
+SELECT a, b, rank FROM (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b DESC) AS rank FROM p) WHERE rank <= 10 AND sim > 0
+""")
+def q_topm(spark, sf_dir):
+    return retrieval.top_cosine(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10).select("a", "b", "rank")
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT x.vec_id AS a, y.vec_id AS b, list_distance(x.v, y.v) AS d FROM e x JOIN e y ON x.label < 5 AND y.label >= 5),
+r AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r, lead(d) OVER (PARTITION BY a ORDER BY d, b) AS d2 FROM d)
+SELECT a, b FROM r WHERE r = 1 AND d < 0.95 * d2
+""")
+def q_ratio(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    return retrieval.ratio_matches(e.filter("label < 5"), e.filter("label >= 5"), "vec_id", "embedding", 0.95)
+
+
+@query("""
+WITH x AS (SELECT label, embedding::DOUBLE[] AS v, vec_id FROM embeddings),
+c AS (SELECT label, i, avg(v[i]) AS m FROM x, range(1, 65) t(i) GROUP BY label, i),
+d AS (SELECT vec_id, c.label AS word, sum((v[i] - m) * (v[i] - m)) AS d FROM x, c GROUP BY vec_id, c.label)
+SELECT vec_id AS id, arg_min(word, (d, word)) AS word FROM d GROUP BY vec_id
+""")
+def q_nearest_word(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centers = mean.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c"))  # ten labels
+    return retrieval.nearest_word(e, centers.select("label", F.col("c.m").alias("c")), "vec_id", "embedding", "label", "c")
+
+
+@query()
+def q_vocab(spark, sf_dir):
+    return retrieval.vocabulary(_table(spark, sf_dir, "embeddings"), "embedding", 32)
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM orders), o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders),
+s AS (SELECT DISTINCT CASE WHEN i = 24 THEN n - 1 ELSE floor(i * ((n - 1)::DOUBLE / 24))::BIGINT END AS pos FROM n, range(25) t(i))
+SELECT pos, o_orderkey FROM o JOIN s USING (pos)
+""")
+def q_sample(spark, sf_dir):
+    return numbering.even_sample(_table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 25)
+
+
+# --- surfaces -------------------------------------------------------------
+
+
+def _cloud(spark, sf_dir) -> DataFrame:
+    z = F.round(F.col("l_discount") * 100).alias("z")
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), z, "l_returnflag", "l_linenumber")
+
+
+_GRID = """
+WITH pt AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, round(l_discount * 100) AS z FROM lineitem),
+ext AS (SELECT min(x) AS x0, min(y) AS y0, (floor(max(x) - min(x)) + 1)::INTEGER AS nx, (floor(max(y) - min(y)) + 1)::INTEGER AS ny FROM pt),
+grid AS (SELECT least(floor(y - y0)::INTEGER, ny - 1) AS iy, least(floor(x - x0)::INTEGER, nx - 1) AS ix, max(z) AS z FROM pt, ext GROUP BY 1, 2),
+cells AS (SELECT y.i::INTEGER AS iy, x.i::INTEGER AS ix FROM ext, range(ny) y(i), range(nx) x(i)),
+near AS (SELECT c.iy, c.ix, arg_min(g.z, ((g.iy - c.iy) * (g.iy - c.iy) + (g.ix - c.ix) * (g.ix - c.ix), g.iy, g.ix)) AS z
+         FROM (SELECT * FROM cells ANTI JOIN grid USING (iy, ix)) c, grid g GROUP BY 1, 2),
+filled AS (SELECT iy, ix, z, FALSE AS filled FROM grid UNION ALL SELECT iy, ix, z, TRUE FROM near)
+"""
+
+
+@query(_GRID + "SELECT iy, ix, z FROM grid")
+def q_dsm(spark, sf_dir):
+    points = _cloud(spark, sf_dir)
+    return surface.rasterize(points, surface.grid_extent(points, 1.0), 1.0)
+
+
+def _filled(spark, sf_dir):
+    points = _cloud(spark, sf_dir)
+    extent = surface.grid_extent(points, 1.0)
+    return surface.fill_empty(surface.rasterize(points, extent, 1.0), extent), extent
+
+
+@query(_GRID + "SELECT iy, ix, z, filled FROM filled")
+def q_dsm_fill(spark, sf_dir):
+    return _filled(spark, sf_dir)[0]
+
+
+@query(_GRID + """,
+p AS (SELECT p_partkey, greatest(0.0, least(p_size + 0.25 - x0, nx - 1.001)) AS gx, greatest(0.0, least(p_retailprice / 20 - y0, ny - 1.001)) AS gy FROM part, ext),
+k AS (SELECT p_partkey, gx, gy, floor(gx)::INTEGER AS ix, floor(gy)::INTEGER AS iy, gx - floor(gx) AS fx, gy - floor(gy) AS fy FROM p)
+SELECT p_partkey, round(a.z * (1 - fx) * (1 - fy) + b.z * fx * (1 - fy) + c.z * (1 - fx) * fy + d.z * fx * fy, 4) AS ground FROM k
+JOIN filled a ON a.iy = k.iy AND a.ix = k.ix JOIN filled b ON b.iy = k.iy AND b.ix = k.ix + 1
+JOIN filled c ON c.iy = k.iy + 1 AND c.ix = k.ix JOIN filled d ON d.iy = k.iy + 1 AND d.ix = k.ix + 1
+""")
+def q_bilinear(spark, sf_dir):
+    grid, extent = _filled(spark, sf_dir)
+    at = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 0.25).alias("x"), (F.col("p_retailprice") / 20).alias("y"))
+    return surface.bilinear(at, grid, extent, 1.0).select("p_partkey", F.round("ground", 4).alias("ground"))
+
+
+@query("""
+WITH b AS (SELECT user_id * 1000 + dayofyear(ts) AS id, min(epoch(ts)) AS x0, max(epoch(ts)) AS x1, min(value) AS y0, max(value) AS y1
+FROM (SELECT user_id, date_trunc('second', ts) AS ts, value FROM events) GROUP BY user_id * 1000 + dayofyear(ts))
+SELECT p.id AS a, q.id AS b FROM b p JOIN b q ON p.id < q.id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1
+""")
+def q_overlap(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select((F.col("user_id") * 1000 + F.dayofyear("ts")).alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("x"), "value")
+    boxes = e.groupBy("id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("value").alias("y0"), F.max("value").alias("y1"))
+    return surface.overlapping_boxes(boxes, "id", 21600.0)
+
+
+@query("""
+WITH pt AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, round(l_discount * 100) AS z, l_returnflag AS c, l_linenumber AS i FROM lineitem),
+a AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1, count(*) n, min(i) i0, max(i) i1 FROM pt)
+SELECT 'bbox' AS section, 'x_min' AS key, x0::DOUBLE AS value FROM a UNION ALL SELECT 'bbox', 'x_max', x1 FROM a UNION ALL SELECT 'bbox', 'y_min', y0 FROM a
+UNION ALL SELECT 'bbox', 'y_max', y1 FROM a UNION ALL SELECT 'bbox', 'z_min', z0 FROM a UNION ALL SELECT 'bbox', 'z_max', z1 FROM a
+UNION ALL SELECT 'count', 'points', n FROM a UNION ALL SELECT 'intensity', 'min', i0 FROM a UNION ALL SELECT 'intensity', 'max', i1 FROM a
+UNION ALL SELECT 'class', c, count(*) FROM pt GROUP BY c
+""")
+def q_las_profile(spark, sf_dir):
+    return surface.profile(_cloud(spark, sf_dir), "l_returnflag", "l_linenumber")
+
+
+# --- compositing ----------------------------------------------------------
+
+_RANK = ["purchase", "click", "view", "signup", "error"]
+
+
+def _layers(spark, sf_dir) -> DataFrame:
+    rank = F.array_position(F.array(*map(F.lit, _RANK)), F.col("event_type")).cast("int") - 1
+    return _table(spark, sf_dir, "events").select("user_id", F.hour("ts").alias("hour"), rank.alias("rank"), "value", (F.coalesce("value", F.lit(0.0)) > 2).alias("valid"))
+
+
+_LAYERS = f"""WITH l AS (SELECT user_id, hour(ts)::INTEGER AS hour, list_position({_RANK}, event_type)::INTEGER - 1 AS rank, value, coalesce(value, 0) > 2 AS valid FROM events)"""
+
+
+@query(_LAYERS + " SELECT user_id, hour, arg_min(rank, (rank, value)) AS layer, arg_min(value, (rank, value)) AS value FROM l WHERE valid GROUP BY user_id, hour")
+def q_composite(spark, sf_dir):
+    return composite.first_valid(_layers(spark, sf_dir), ["user_id", "hour"], "rank", "value", "valid")
+
+
+@query(_LAYERS + """, p AS (SELECT user_id, hour, max((valid AND rank <= 1)::INTEGER) AS own, max(valid::INTEGER) AS "any" FROM l GROUP BY 1, 2)
+SELECT count(*) AS pixels, sum(own)::BIGINT AS own, sum("any")::BIGINT AS "any", round(sum(own) / count(*), 6) AS before, round(sum("any") / count(*), 6) AS after FROM p""")
+def q_coverage(spark, sf_dir):
+    out = composite.coverage(_layers(spark, sf_dir), ["user_id", "hour"], "rank", "valid", 1)
+    return out.select("pixels", "own", "any", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
+# --- geometry and fits ----------------------------------------------------
+
+
+@query("""
+WITH m AS (SELECT l_quantity AS x, l_extendedprice AS y, l_tax AS conf FROM lineitem),
+fit AS (SELECT sum(x * y) / sum(x * x) AS k FROM m WHERE conf >= 0.05),
+r AS (SELECT abs(y - k * x) AS e, conf FROM m, fit), kept AS (SELECT e FROM r WHERE conf >= 0.05 OR (conf >= 0.02 AND e < 20000))
+SELECT round(any_value(k), 4) AS ratio, (SELECT count(*) FROM kept) AS kept, (SELECT round(sqrt(avg(e * e)), 4) FROM kept) AS rmse, (SELECT round(median(e), 4) FROM kept) AS median FROM fit
+""")
+def q_hilo(spark, sf_dir):
+    pool = _table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_tax").alias("conf"))
+    return robust.guided_ratio(pool, "x", "y", "conf", 0.05, 0.02, 20000.0)
+
+
+_H = (1.02, 0.03, -4.0, -0.02, 0.97, 6.5, 0.0004, -0.0002, 1.0)
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(({_H[0]} * x + {_H[1]} * y + {_H[2]}) / w, 4) AS u, round(({_H[3]} * x + {_H[4]} * y + {_H[5]}) / w, 4) AS v
+FROM (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount AS y, {_H[6]} * l_quantity + {_H[7]} * l_discount + {_H[8]} AS w FROM lineitem)""")
+def q_apply_h(spark, sf_dir):
+    u, v = geo.apply_homography(_H, F.col("l_quantity"), F.col("l_discount"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
+
+
+@query("""
+WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS dx, l_discount * 100 - 5 AS dy FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(25 + dx / (1 + 0.1 * (dx * dx + dy * dy) / 900), 4) AS ux, round(5 + dy / (1 + 0.1 * (dx * dx + dy * dy) / 900), 4) AS uy,
+round(25 + dx * (1 - 0.1 * (dx * dx + dy * dy) / 900), 4) AS ix, round(5 + dy * (1 - 0.1 * (dx * dx + dy * dy) / 900), 4) AS iy FROM d
+""")
+def q_distort(spark, sf_dir):
+    x, y = F.col("l_quantity"), F.col("l_discount") * 100
+    out = [*geo.undistort(x, y, 0.1, (25, 5), 30), *geo.distort(x, y, 0.1, (25, 5), 30)]
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(c, 4).alias(n) for c, n in zip(out, ("ux", "uy", "ix", "iy"), strict=True)))
+
+
+@query("""
+WITH m AS (SELECT p_partkey, 1 + p_size / 100.0::DOUBLE AS a, p_retailprice / 5000 AS b, -p_size / 80.0::DOUBLE AS c, 1.0::DOUBLE AS d, p_size / 40000.0::DOUBLE AS g FROM part),
+s AS (SELECT *, sqrt((a + d) * (a + d) + (c - b) * (c - b)) AS q, sqrt((a - d) * (a - d) + (c + b) * (c + b)) AS r FROM m)
+SELECT p_partkey, round(degrees(atan2(c - b, a + d)), 3) AS rotation, round(((q + r) / 2 + abs(q - r) / 2) / 2, 4) AS scale,
+a * d - b * c < 0 AS reflection, abs(a * d - b * c) < 1e-9 OR abs(g) * 640 > 0.5 AS degenerate FROM s
+""")
+def q_sanity(spark, sf_dir):
+    size = F.col("p_size").cast("double")
+    m = _table(spark, sf_dir, "part").select("p_partkey", (1 + size / 100).alias("a"), (F.col("p_retailprice") / 5000).alias("b"), (-size / 80).alias("c"), F.lit(1.0).alias("d"), (size / 40000).alias("g"))
+    parts = geo.decompose_affine([F.col(c) for c in "abcd"])
+    flat = geo.degenerate([F.col("a"), F.col("b"), 0.0, F.col("c"), F.col("d"), 0.0, F.col("g"), 0.0, 1.0], 640, 480)
+    # the determinant of the 3x3 is that of the 2x2 part here
+    return m.select("p_partkey", F.round(parts["rotation"], 3).alias("rotation"), F.round(parts["scale"], 4).alias("scale"), parts["reflection"].alias("reflection"), flat.alias("degenerate"))
+
+
+@query("""
+SELECT round(avg((x BETWEEN 5 AND 50 AND y BETWEEN 1 AND 90)::INTEGER), 6) AS fraction, avg((x BETWEEN 5 AND 50 AND y BETWEEN 1 AND 90)::INTEGER) > 0.8 AS aligned,
+round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y, round(avg(z), 4) AS mean_z FROM (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, round(l_discount * 100) AS z FROM lineitem)
+""")
+def q_align(spark, sf_dir):
+    out = surface.inside_fraction(_cloud(spark, sf_dir), (5, 50, 1, 90))
+    return out.select(F.round("fraction", 6).alias("fraction"), "aligned", *(F.round(f"mean_{c}", 4).alias(f"mean_{c}") for c in "xyz"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN '3d' ELSE '2d' END AS method FROM customer
+LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a ON a.k = c_custkey
+LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') b ON b.k = c_custkey
+""")
+def q_method(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    poses = [orders.filter(f).select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn(n, F.lit(True)) for n, f in (("a", "o_orderstatus = 'F'"), ("b", "o_orderpriority = '1-URGENT'"))]
+    out = _table(spark, sf_dir, "customer").join(poses[0], "c_custkey", "left").join(poses[1], "c_custkey", "left")
+    return out.select("c_custkey", F.when(F.col("a") & F.col("b"), "3d").otherwise("2d").alias("method"))
+
+
+@query("""
+WITH g AS (SELECT (props::JSON ->> 'k')::INTEGER AS k, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT event_type, arg_max(k, (n, -k)) AS k, max(n) AS n FROM g WHERE k IS NOT NULL GROUP BY event_type
+""")
+def q_json(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p"))
+    groups = e.filter("p.k is not null").groupBy("event_type", F.col("p.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    best = groups.groupBy("event_type").agg(F.max_by(F.struct("k", "n"), F.struct("n", -F.col("k"))).alias("b"))
+    return best.select("event_type", "b.k", "b.n")
+
 
-def queries() -> dict:
-    return {}
+@query()
+def q_ransac(spark, sf_dir):
+    """A homography planted a supplier group, with one outlier in five."""
+    items = _table(spark, sf_dir, "lineitem")
+    x, y = F.col("l_quantity") * 10, F.col("l_extendedprice") / 200
+    u, v = geo.apply_homography(_H, x, y)
+    out = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(5)) == 0
+    rows = items.select((F.col("l_suppkey") % 25).alias("pair"), x.alias("x"), y.alias("y"), F.when(out, u + 200).otherwise(u).alias("u"), F.when(out, v - 150).otherwise(v).alias("v"))
+    return robust.fit_groups(rows, "pair", model="homography")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("""SELECT o_orderkey AS key, o_orderstatus AS status, 'done' AS state FROM orders""")
+def q_incremental(spark, sf_dir):
+    """Bounded batches against a state table give what one large run gives."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    return incremental.run_in_batches(orders, "key", batches=2, work=lambda df: df.withColumn("state", F.lit("done")))
