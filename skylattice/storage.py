@@ -8,6 +8,7 @@ our own is made and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -69,3 +70,9 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
         nested = any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in df.schema)
         limit = BROADCAST_NESTED_BYTES if nested else BROADCAST_BYTES
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that no table refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
