@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import ann, exact_dedup, html_extraction, jaccard_join, language_id, mixing, sentence_pieces, sharding, substring_dedup
+from skylattice.llm import ann, exact_dedup, html_extraction, jaccard_join, language_id, mixing, sentence_pieces, sharding, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_documents(spark, sf_dir)).drop("kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ring_sharding": op3_ring_sharding,
         "op4_language_id": op4_language_id,
         "op5_html_extraction": op5_html_extraction,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_substring_dedup": op9_substring_dedup,
@@ -80,6 +85,22 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_OP6 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+least AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (s) WHERE f < doc_id),
+isle AS (SELECT doc_id, i, sum(g) OVER (PARTITION BY doc_id ORDER BY i) AS k
+         FROM (SELECT doc_id, i, coalesce((i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50)::INTEGER, 1) AS g FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM isle GROUP BY doc_id, k),
+gap AS (SELECT d.doc_id, coalesce(lag(b) OVER w, 0) AS lo, a AS hi, a, b FROM d JOIN span ON span.doc_id = d.doc_id WINDOW w AS (PARTITION BY d.doc_id ORDER BY a)),
+kept AS (SELECT gap.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) || any_value(substr(h, 2 * top.b + 1)) AS t,
+         sum(gap.b - gap.a)::BIGINT AS removed, count(*) AS spans
+         FROM gap JOIN d ON d.doc_id = gap.doc_id JOIN (SELECT doc_id, max(b) AS b FROM span GROUP BY doc_id) top ON top.doc_id = gap.doc_id GROUP BY gap.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 _OP9 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s
@@ -112,4 +133,4 @@ FROM w LEFT JOIN size ON size.doc_id = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": _OP7, "op9_substring_dedup": _OP9, "op10_jaccard_join": _OP10}
+    return {"op6_suffix_dedup": _OP6, "op7_exact_dedup": _OP7, "op9_substring_dedup": _OP9, "op10_jaccard_join": _OP10}

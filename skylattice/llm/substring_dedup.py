@@ -24,7 +24,7 @@ _SECOND = 0xA0761D6478BD642F
 
 
 def count_windows(texts: DataFrame, width: int) -> DataFrame:
-    """m, c, j and the least id of each window of the open contents, by a 128-bit Rabin-Karp hash."""
+    """m, c and the least id of each window of the open contents, by a 128-bit Rabin-Karp hash."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,7 +45,8 @@ def count_windows(texts: DataFrame, width: int) -> DataFrame:
 
     rows = texts.mapInArrow(hashes, "m long, c long, id long, j int, h long, g long")
     least = rows.groupBy("h", "g").agg(F.min("id").alias("least"))
-    return rows.join(least, ["h", "g"]).select("m", "c", "j", "least")
+    hit = rows.join(least, ["h", "g"]).groupBy("m", "c")
+    return hit.agg(F.collect_list(F.struct("j", F.lit(1).alias("n"), "least")).alias("ids"))  # a run's windows
 
 
 def _kernel(width: int):

@@ -133,25 +133,31 @@ class Windows:
 
         return self.rows.select("rk", "id", "text").mapInArrow(cut, "m long, c long, id long, rk long, start int, n int")
 
-    def repeated(self) -> DataFrame:
-        """rk, spans: the windows to remove of each text, as (start, mask of windows from there)."""
+    def shared_runs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(whole, contents, open): spans decided at once; distinct open contents; and the runs that have them."""
         runs = materialize(self.runs(), "runs")
         shared = runs.groupBy("m").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("id").alias("least"), F.max("id").alias("most"))
         shared = materialize(shared.filter("least < most").select("m", "least", (F.col("c0") != F.col("c1")).alias("open")), "shared")
         runs = materialize(runs.join(broadcast_if_small(shared), "m"), "shared-runs")
-        whole = runs.filter("not open and least < id").select("rk", "start", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-        is_open = runs.filter("open")
-        contents = is_open.groupBy("m", "c").agg(F.min(F.struct("id", "rk", "start", "n")).alias("r")).select("m", "c", "r.*")
+        whole = runs.filter("not open and least < id").select("rk", F.array(F.struct("start", F.expr("shiftleft(1L, n) - 1").alias("mask"))).alias("spans"))
+        some = runs.filter("open")
+        contents = some.groupBy("m", "c").agg(F.min(F.struct("id", "rk", "start", "n")).alias("r")).select("m", "c", "r.*")
+        return whole, contents, some.select("m", "c", "id", "rk", "start")
+
+    def repeated(self) -> DataFrame:
+        """rk, spans: the windows to remove of each text, as (start, mask of windows from there)."""
+        whole, contents, some = self.shared_runs()
         wanted = contents.groupBy("rk").agg(F.collect_list(F.struct("m", "c", "id", "start", "n")).alias("want"))
         wanted = materialize(wanted, "open-contents")
         texts = self.rows.select("rk", "text").join(broadcast_if_small(wanted), "rk")
-        least = self.resolve(texts, self.width)  # m, c, j, least
-        least = least.groupBy("m", "c").agg(F.collect_list(F.struct("j", "least")).alias("ids"))
-        least = materialize(least, "open-windows")
-        hit = is_open.select("m", "c", "id", "rk", "start").join(broadcast_if_small(least), ["m", "c"])
-        mask = F.aggregate("ids", F.lit(0).cast("long"), lambda acc, x: F.when(x["least"] < F.col("id"), acc + F.call_function("shiftleft", F.lit(1).cast("long"), x["j"])).otherwise(acc))
-        part = hit.select("rk", "start", mask.alias("mask")).filter("mask <> 0")
-        return whole.unionByName(part).distinct().groupBy("rk").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+        # m, c and ids: (j, n, least) for the windows j..j+n-1 of the content
+        least = materialize(self.resolve(texts, self.width), "open-windows")
+        hit = some.join(broadcast_if_small(least), ["m", "c"])
+        bits = lambda x: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), x["n"]) - 1, x["j"])
+        mask = F.aggregate("ids", F.lit(0).cast("long"), lambda acc, x: F.when(x["least"] < F.col("id"), acc.bitwiseOR(bits(x))).otherwise(acc))
+        part = hit.select("rk", "start", mask.alias("mask")).filter("mask <> 0").select("rk", F.array(F.struct("start", "mask")).alias("spans"))
+        spans = whole.unionByName(part).groupBy("rk").agg(F.collect_list("spans").alias("spans"))
+        return spans.select("rk", F.array_distinct(F.flatten("spans")).alias("spans"))
 
     def finish(self, kernel: Callable, schema: str) -> DataFrame:
         """``kernel`` over batches (id, text, spans), spans being null where nothing goes.
@@ -180,10 +186,13 @@ def removed_units(spans: pa.Array, units: np.ndarray, width: int) -> np.ndarray:
     text = np.repeat(np.arange(len(spans)), lengths)
     start = units[text] + np.asarray(flat.field("start")).astype(np.int64)
     mask = np.asarray(flat.field("mask")).astype(np.uint64)
-    edge = np.zeros(total + 1, np.int64)
-    for j in range(63):
+    size = total + width + 64
+    edge = np.zeros(size, np.int64)
+    solid = (mask & (mask + np.uint64(1))) == 0  # the lowest bits only: one interval
+    n = np.bitwise_count(mask[solid]).astype(np.int64)
+    edge += np.bincount(start[solid], minlength=size) - np.bincount(start[solid] + n - 1 + width, minlength=size)
+    start, mask = start[~solid], mask[~solid]
+    for j in range(63 if len(mask) else 0):
         at = start[(mask >> np.uint64(j)) & np.uint64(1) == 1] + j
-        if len(at):
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + width, -1)
-    return np.cumsum(edge[:-1]) > 0
+        edge += np.bincount(at, minlength=size) - np.bincount(at + width, minlength=size)
+    return np.cumsum(edge[:total]) > 0
