@@ -190,11 +190,13 @@ def residual_field(points: np.ndarray, residual: np.ndarray, width: int, height:
         r2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
         return 0.5 * r2 * np.log(np.maximum(r2, 1e-300))
 
+    unit = float(max(width, height))  # solve in units of the frame; the smoothing scales with its square
+    points = points / unit
     n, ones = len(points), np.ones((len(points), 1))
-    top = np.concatenate([kernel(points, points) + smoothing * np.eye(n), ones, points], axis=1)
+    top = np.concatenate([kernel(points, points) + smoothing / unit**2 * np.eye(n), ones, points], axis=1)
     low = np.concatenate([np.concatenate([ones, points], axis=1).T, np.zeros((3, 3))], axis=1)
     w = np.linalg.lstsq(np.concatenate([top, low]), np.concatenate([residual, np.zeros((3, 2))]), rcond=None)[0]
     gx, gy = (np.unique(np.append(np.arange(0, size, grid), size - 1)) for size in (width, height))
-    at = np.stack(np.meshgrid(gx, gy), axis=-1).reshape(-1, 2).astype(float)
+    at = np.stack(np.meshgrid(gx, gy), axis=-1).reshape(-1, 2) / unit
     field = kernel(at, points) @ w[:n] + np.column_stack([np.ones(len(at)), at]) @ w[n:]
     return gx, gy, np.clip(field, -cap, cap).reshape(len(gy), len(gx), 2)
