@@ -15,9 +15,11 @@ so a source with a third of all rows is numbered by many tasks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from skylattice.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+_WORDS = re.compile(WORD)
 _U = np.uint64
 
 
@@ -210,17 +213,29 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``k`` holds the words of the blocks used at least ``k`` times, which is
     the unchanged text where that is all of them.  Documents of which the mix
     takes nothing give no row.  ``n_chars``, if there, follows the text.  Ids
-    are expected to be unique; rows that share an id must share the text.
+    are expected to be unique: rows that share an id (or have none) all take
+    the blocks of the first of them in its source's stream.
     """
     mix = Mix(docs, id_col, text_col, source_col, **options)
     used = mix.pieces().groupBy("rid", "sid", "start", "size").agg(F.sort_array(F.collect_list(F.struct("from", "to", "uses"))).alias("blocks"))
-    used = materialize(used.select(F.col("rid").alias("__mix_id"), F.col("size").alias("__mix_size"), F.col("blocks").alias("__mix_blocks")).dropDuplicates(["__mix_id"]), "mix-used")
-    rows = docs.join(used, F.col(id_col) == F.col("__mix_id"))
+    used = used.groupBy(F.col("rid").alias("__mix_id")).agg(F.min(F.struct("sid", "start", "size", "blocks")).alias("__mix"))
+    used = materialize(used.select("__mix_id", F.col("__mix.size").alias("__mix_size"), F.col("__mix.blocks").alias("__mix_blocks")), "mix-used")
+    rows = docs.join(used, F.col(id_col).eqNullSafe(F.col("__mix_id")))
     rows = rows.withColumn("__mix_row", F.explode(F.sequence(F.lit(1), F.array_max("__mix_blocks.uses").cast("int"))))
-    keep = F.filter("__mix_blocks", lambda b: b["uses"] >= F.col("__mix_row"))
-    whole = F.aggregate(keep, F.lit(0).cast("long"), lambda n, b: n + b["to"] - b["from"]) == F.col("__mix_size")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    parts = F.flatten(F.transform(keep, lambda b: F.slice(words, (b["from"] + 1).cast("int"), (b["to"] - b["from"]).cast("int"))))
-    text = F.when(whole, F.col(text_col)).otherwise(F.array_join(parts, " "))
+
+    @F.pandas_udf("string")
+    def part(texts, size, row, first, last, uses):
+        out = []
+        for t, n, k, a, b, u in zip(texts, size, row, first, last, uses, strict=True):
+            spans = [(x, y) for x, y, z in zip(a, b, u, strict=True) if z >= k]
+            if sum(y - x for x, y in spans) == n:
+                out.append(t)
+            else:
+                words = _WORDS.findall(t or "")
+                out.append(" ".join(w for x, y in spans for w in words[x:y]))
+        return pd.Series(out, dtype=object)
+
+    rows = rows.withColumn("__mix_text", part(F.col(text_col), "__mix_size", "__mix_row", "__mix_blocks.from", "__mix_blocks.to", "__mix_blocks.uses"))
+    text = F.col("__mix_text")
     columns = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return rows.select(columns)
