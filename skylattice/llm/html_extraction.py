@@ -228,7 +228,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     sketches = materialize(rows.select("k1", "k2", "url", "html").mapInArrow(sketch, fields).dropDuplicates(["k1", "k2"]), "page-lines")
     # pages in URL order; the partition number is written, so it stays what it was
     order = ["host", "path", "k1", "k2"]
-    keys = sketches.filter(F.size("hashes") > 0).repartitionByRange(*order)  # a page without lines pairs with none.withColumn("part", F.spark_partition_id())
+    some = sketches.filter(F.size("hashes") > 0)  # a page without lines pairs with none
+    keys = some.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     keys = materialize(keys, "page-order")
     page = F.struct("host", "path", "hashes")
     w = Window.partitionBy("part").orderBy(*order)
