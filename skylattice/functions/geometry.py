@@ -151,3 +151,19 @@ def compose_pose(local_rotation: Column, local_center: Column, chunk_rotation: C
     rotation = transpose3(matmul3(chunk_rotation, local_rotation))
     back = transform3(rotation, center)
     return {"R": rotation, "t": F.array(*(-back[i] for i in range(3))), "C": center}
+
+
+def lat_lon_to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
+    """Easting and northing on WGS 84 by the transverse Mercator series; ``zone`` is an EPSG code 326xx or 327xx."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    phi, lam = F.radians(lat), F.radians(lon - (zone % 100 * 6 - 183))
+    s = F.sin(phi)
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    east = eta + sum((c * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, c in enumerate(alpha[1:], 2)), alpha[0] * F.cos(2 * xi) * F.sinh(2 * eta))
+    north = xi + sum((c * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, c in enumerate(alpha[1:], 2)), alpha[0] * F.sin(2 * xi) * F.cosh(2 * eta))
+    return 500000 + k0 * big * east, k0 * big * north + F.when(zone >= 32700, 10_000_000.0).otherwise(0.0)

@@ -218,3 +218,45 @@ def warp_pairs(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["idx", "png", "coverage", "error"])
 
     return pairs.mapInPandas(run, "idx string, png binary, coverage double, error string")
+
+
+def resize_area(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Smaller by the mean of covered source pixels, with parts of pixels counted."""
+
+    def weights(size: int, to: int) -> np.ndarray:
+        edge = np.linspace(0, size, to + 1)
+        at = np.arange(size)
+        w = np.minimum(edge[1:, None], at + 1) - np.maximum(edge[:-1, None], at)
+        return np.clip(w, 0, None) * to / size
+
+    out = np.tensordot(weights(image.shape[0], height), image.astype(float), axes=(1, 0))
+    out = np.moveaxis(np.tensordot(weights(image.shape[1], width), out, axes=(1, 1)), 0, 1)
+    return np.rint(out).astype(image.dtype)
+
+
+def equalize(image: np.ndarray, clip: float = 3.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited adaptive histogram equalisation of a gray image."""
+    h, w = image.shape
+    ys, xs = np.linspace(0, h, tiles + 1).astype(int), np.linspace(0, w, tiles + 1).astype(int)
+    table = np.zeros((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            part = image[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
+            count = np.bincount(part.ravel(), minlength=256).astype(float)
+            limit = max(1.0, clip * part.size / 256)
+            over = np.clip(count - limit, 0, None).sum()
+            table[i, j] = np.cumsum(np.minimum(count, limit) + over / 256) * 255 / max(1, part.size)
+    cy, cx = (ys[:-1] + ys[1:]) / 2, (xs[:-1] + xs[1:]) / 2
+    fy, fx = np.interp(np.arange(h), cy, np.arange(tiles)), np.interp(np.arange(w), cx, np.arange(tiles))
+    y0, x0 = np.minimum(fy.astype(int), tiles - 2)[:, None], np.minimum(fx.astype(int), tiles - 2)[None, :]
+    wy, wx = fy[:, None] - y0, fx[None, :] - x0
+    out = (table[y0, x0, image] * (1 - wx) + table[y0, x0 + 1, image] * wx) * (1 - wy) + (table[y0 + 1, x0, image] * (1 - wx) + table[y0 + 1, x0 + 1, image] * wx) * wy
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def division_map(width: int, height: int, k: float, center: tuple[float, float], scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where straightened pixels are in the distorted image: the first-order inverse of the division model."""
+    x, y = np.meshgrid(np.arange(width, dtype=float), np.arange(height, dtype=float))
+    dx, dy = x - center[0], y - center[1]
+    f = 1 - k * (dx * dx + dy * dy) / scale**2
+    return center[0] + dx * f, center[1] + dy * f

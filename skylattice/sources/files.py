@@ -237,3 +237,55 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, required: b
 def write_table(df: DataFrame, path: str, append: bool = False) -> None:
     """A headed CSV table; appended to or replaced."""
     df.write.mode("append" if append else "overwrite").csv(path, header=True)
+
+
+def read_origin(spark: SparkSession, path: str) -> DataFrame:
+    """latitude, longitude, altitude (0 if missing) of a survey's origin; no row without a file."""
+    try:
+        found = spark.read.schema("latitude double, longitude double, altitude double").option("multiLine", "true").json(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "latitude double, longitude double, altitude double")
+    return found.fillna(0.0, ["altitude"])
+
+
+def image_features(images: DataFrame, mapping: DataFrame, shots: DataFrame, features: DataFrame) -> DataFrame:
+    """idx, kp, x, y in native pixels: image to original name to shot and camera to features; any miss leaves an image out.
+
+    ``features`` has name (of the shot), kp, x, y in units of the longer side
+    from the centre; ``shots`` the camera's width and height.
+    """
+    from skylattice.functions.geometry import normalized_to_pixel
+
+    original = mapping.select(F.col("index").alias("idx"), F.regexp_extract("original_visible", r"([^/\\]*)$", 1).alias("name"))
+    found = images.select("idx").join(original, "idx").join(shots.select(F.col("shot").alias("name"), "width", "height"), "name").join(features, "name")
+    x, y = normalized_to_pixel(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
+    return found.select("idx", "kp", x.cast("float").alias("x"), y.cast("float").alias("y"))
+
+
+def copy_planned(plan: DataFrame, target: str, move: bool = False) -> None:
+    """Copy (or move) the files of a naming plan, on the executors, into ``visible`` and ``thermal`` below ``target``.
+
+    Paths must be ones that executors can open.
+    """
+    import os
+    import shutil
+
+    def run(rows) -> None:
+        for r in rows:
+            for source, name, side in ((r.visible, r.new_visible, "visible"), (r.thermal, r.new_thermal, "thermal")):
+                os.makedirs(os.path.join(target, side), exist_ok=True)
+                (shutil.move if move else shutil.copy2)(source.removeprefix("file:"), os.path.join(target, side, name))
+
+    plan.select("visible", "thermal", "new_visible", "new_thermal").foreachPartition(run)
+
+
+def reset_outputs(paths: list[str], mode: str) -> None:
+    """Delete result folders; refused where originals were moved into them."""
+    import shutil
+
+    if mode == "move":
+        raise ValueError("originals were moved here: resetting would lose them")
+    for path in paths:
+        shutil.rmtree(path, ignore_errors=True)
