@@ -40,6 +40,7 @@ _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|disqus|widget|toolbar|pagination|pager|tags?|copyright|skip)(?:$|[\s_-])",
     re.I,
 )
+_STATE = re.compile(r"(?:no|has|with|without|is)[_-]", re.I)  # says what the page looks like, not what this is
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[^<]*|[^<]+", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -54,7 +55,7 @@ def _bad(name: str, tag: str, inside: bool) -> bool:
         return False
     for key, *values in _ATTR.findall(tag):
         value, key = "".join(values), key.lower()
-        if key in ("class", "id") and _BAD.search(value):
+        if key in ("class", "id") and any(_BAD.search(x) and not _STATE.match(x) for x in value.split()):
             return True
         if key == "role" and value.lower() in _ROLE:
             return True

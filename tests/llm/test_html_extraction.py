@@ -33,6 +33,7 @@ def test_structure():
     assert hx.lines(page)[0] == ["Title & more", "One two", "three <b> é", "Four five"]
     for odd in (None, "", "plain", "<", "<p", "a < b", "<div><p>x</div>y", "<script>never closed", "</p></p>", "<p>" * 3000 + "deep"):
         hx.lines(odd)
+    assert hx.lines('<div class="wide no-sidebar">x<div class="post-sidebar">y</div></div>')[0] == ["x"]
     assert hx.lines("a < b<p>c")[0] == ["a < b", "c"]
     assert hx.lines("<ul><li>x<li>y</ul>")[0] == ["x", "y"]
 
