@@ -261,7 +261,7 @@ class Pieces:
             reach = best[:, end : end + k]
             out[b, : len(entries), : reach.shape[1]] = reach
             for r in range(end, k):  # an entry beyond a short last chunk passes through
-                out[b, r, r - end] = 0 if r >= end else out[b, r, r - end]
+                out[b, r, r - end] = 0
         return out
 
     def scan(self, text: str, chunk: int) -> list[int]:
