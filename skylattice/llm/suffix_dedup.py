@@ -33,8 +33,10 @@ from skylattice.storage import broadcast_if_small, materialize, release
 #: Bytes of a routing k-gram.
 GRAM = 24
 #: Text bytes whose runs share a bucket, open contents of a bin, and contents of one minimizer that a bin takes.
-BUCKET_BYTES, BIN, HOT = 12_000_000, 8192, 20_000
+BUCKET_BYTES, BIN, HOT = 5_000_000, 8192, 20_000
 _SECOND = 0xA0761D6478BD642F
+#: Text bytes cut at once, and runs held before they are packed.
+_BLOCK, _HELD = 1 << 18, 200_000
 
 
 def bwt_lcp(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +222,7 @@ class ByteWindows(Windows):
                 rk, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 data, off = buffers(batch.column(2))
                 held, size = [], 0
-                for i, j in blocks(off):
+                for i, j in blocks(off, _BLOCK):
                     values, bounds = byte_units(data[off[i] : off[j]], off[i : j + 1] - off[i])
                     for lo in range(0, max(1, len(values)), PIECE):
                         part = values[lo : lo + PIECE + width - 1]
@@ -228,7 +230,7 @@ class ByteWindows(Windows):
                         text, start, n, m, c = cut_runs(part, inside, width, k)
                         held.append((i + text, start + lo, n.astype(np.uint8), m, (c >> np.uint64(32)).astype(np.uint32)))
                         size += len(text)
-                    if size > 1_000_000 or (j == batch.num_rows and size):
+                    if size > _HELD or (j == batch.num_rows and size):
                         yield _blobs(held, rk, ids, bits)
                         held, size = [], 0
 
@@ -305,7 +307,7 @@ def _kernel(width: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column(1))
-            for i, j in blocks(off):
+            for i, j in blocks(off, _BLOCK):
                 part, bounds = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 gone = removed_units(batch.column(2).slice(i, j - i), bounds, width)
                 rise = gone.copy()

@@ -156,8 +156,8 @@ class Windows:
         bits = lambda x: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), x["n"]) - 1, x["j"])
         mask = F.aggregate("ids", F.lit(0).cast("long"), lambda acc, x: F.when(x["least"] < F.col("id"), acc.bitwiseOR(bits(x))).otherwise(acc))
         part = hit.select("rk", "start", mask.alias("mask")).filter("mask <> 0").select("rk", F.array(F.struct("start", "mask")).alias("spans"))
-        spans = whole.unionByName(part).groupBy("rk").agg(F.collect_list("spans").alias("spans"))
-        return spans.select("rk", F.array_distinct(F.flatten("spans")).alias("spans"))
+        # a set: rows that repeat id and text say the same
+        return whole.unionByName(part).groupBy("rk").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
     def finish(self, kernel: Callable, schema: str) -> DataFrame:
         """``kernel`` over batches (id, text, spans), spans being null where nothing goes.
