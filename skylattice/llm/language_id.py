@@ -154,19 +154,31 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         df[r["at"]] = r["n"]
     total = parts.agg(F.sum("h")).first()[0] or 0
     idf = np.log((total + 1) / (df + 1)) + 1
-    kept: dict[str, list] = {name: [] for name in languages}
-    for r in found.filter("lang is not null").collect():
-        kept[r.lang].append((r.h, np.array(r["at"]), np.array(r["n"], float)))
+    held = found.filter("lang is not null").toArrow().combine_chunks()
+    names, hashes = held.column("lang").to_pylist(), held.column("h").to_numpy()
+    (at, bounds), (n, _) = (_lists(held.column(c)) for c in ("at", "n"))
     fit, hold = [], []
     for k, name in enumerate(languages):
-        for i, (_, at, n) in enumerate(sorted(kept[name], key=lambda x: (x[0], x[1].tolist()))[:sample]):
-            x = n * idf[at]
-            (hold if i % 5 == 4 else fit).append((at, x / np.sqrt(x @ x), k))
+        rows_of = sorted((hashes[r], r) for r in range(len(names)) if names[r] == name)
+        for i, (_, r) in enumerate(rows_of[:sample]):
+            index = at[bounds[r] : bounds[r + 1]]
+            x = n[bounds[r] : bounds[r + 1]] * idf[index]
+            (hold if i % 5 == 4 else fit).append((index, (x / np.sqrt(x @ x)).astype(np.float32), k))
     w = ftrl(fit, FEATURES, len(languages)) if languages else np.zeros((FEATURES + 1, 0))
     scores = np.array([x @ w[at] + w[-1] for at, x, _ in hold]).reshape(len(hold), len(languages))
     return Model(languages, idf, w[:-1], w[-1], temperature(scores, np.array([k for *_, k in hold], int)))
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of a list column."""
+    one = column.combine_chunks()
+    one = one.chunk(0) if isinstance(one, pa.ChunkedArray) and one.num_chunks else one
+    if not len(one):
+        return np.empty(0, np.int64), np.zeros(1, np.int64)
+    bounds = np.asarray(one.offsets).astype(np.int64)
+    return np.asarray(one.flatten()), bounds - bounds[0]
+
+
 def _sample_batch(rows: list) -> pa.RecordBatch:
     kinds = (pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["lang", "h", "at", "n"])
