@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skylattice.llm.text import BLOCK, blocks, buffers, mix, powers, rolling, word_bounds, word_hashes
-from skylattice.storage import broadcast_if_small, materialize
+from skylattice.storage import BROADCAST_BYTES, broadcast_if_small, estimated_bytes, materialize
 
 _POS = np.uint64((1 << 24) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -163,11 +163,14 @@ class Windows:
         """``kernel`` over batches (id, text, spans), spans being null where nothing goes.
 
         Texts that keep everything are not shuffled while the keys of the
-        others are few enough to broadcast.
+        others are few enough to broadcast; beyond that one join shuffles all.
         """
         spans = materialize(self.repeated(), "spans")
         rows = self.rows.select("rk", "own", "text")
-        hit = broadcast_if_small(spans.select("rk"))
+        keys = spans.select("rk")
+        if estimated_bytes(keys) > BROADCAST_BYTES:
+            return rows.join(spans, "rk", "left").select("own", "text", "spans").mapInArrow(kernel, schema)
+        hit = F.broadcast(keys)
         none = F.lit(None).cast(spans.schema["spans"].dataType)
         clean = rows.join(hit, "rk", "left_anti").select("own", "text", none.alias("spans"))
         dirty = rows.join(hit, "rk", "left_semi").join(spans, "rk").select("own", "text", "spans")
