@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.text import blocks, buffers, rolling
+from skylattice.llm.text import blocks, buffers, rolling, trim
 from skylattice.llm.windows import PIECE, Windows, byte_units, cut_runs, removed_units
 from skylattice.storage import broadcast_if_small, materialize, release
 
@@ -153,6 +153,7 @@ def resolve_bytes(texts: DataFrame, width: int) -> DataFrame:
     ids = "array<struct<j:int,n:int,least:long>>"
 
     def sort(table: pa.Table) -> pa.Table:
+        trim()
         data, off = buffers(table.column("s"))
         strings = [data[off[i] : off[i + 1]] for i in range(len(off) - 1)]
         found = _least_intervals(strings, table.column("id").to_numpy(), width)
@@ -233,10 +234,12 @@ class ByteWindows(Windows):
                     if size > _HELD or (j == batch.num_rows and size):
                         yield _blobs(held, rk, ids, bits)
                         held, size = [], 0
+                trim()
 
         blobs = self.rows.select("rk", "id", "text").mapInArrow(cut, "bucket int, blob binary")
 
         def decide(table: pa.Table) -> pa.Table:
+            trim()
             bucket = int(table.column("bucket")[0].as_py())
             return _decide(bucket << (16 - bits), [unpack(b) for b in table.column("blob").to_pylist()])
 
@@ -320,6 +323,7 @@ def _kernel(width: int):
                     [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
                     ["own", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
+            trim()
 
     return finish
 

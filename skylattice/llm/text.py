@@ -8,6 +8,7 @@ pattern ``[^\\x20\\x09-\\x0D]+`` on characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,15 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def trim() -> None:
+    """Give memory that is free again back to the system, so that workers stay small between batches."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -60,7 +70,7 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of an odd base modulo 2**64, and of its inverse."""
     got = _pow.get(base)
     if got is None or len(got[0]) <= n:
-        m = max(n + 1, BLOCK + 64)
+        m = max(n + 1, (1 << 18) + 64)
         up = np.full(m, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
         up[0] = 1
         down = np.full(m, pow(base, -1, 1 << 64), np.uint64)
