@@ -1,12 +1,17 @@
 """Exact Jaccard self-join on word shingles.
 
-1. Every set is cut by hash into so many parts that two sets similar enough
-   must agree on ``e + 1`` parts at least (a pair may differ in ``d``
+1. Candidates come from keys that similar sets must share, in one of two
+   ways.  *Parts* (from 85 percent on): every set is cut by hash into so many
+   parts that two sets similar enough must agree on ``e + 1`` parts at least (a pair may differ in ``d``
    shingles, and there are ``d + 1 + e`` parts).  A set with at most ``e``
    weak parts therefore needs none of those: similar sets still agree on a
    strong one.  Sizes are banded, and a set also takes part in the next band
-   where it can have partners there.  Documents that agree on a part form
-   candidate blocks; a frequent shingle or passage alone joins nothing.
+   where it can have partners there.  *Prefixes* (below, where parts would
+   hold too few shingles to tell sets apart): shingles are ordered by a count
+   sketch of the whole corpus, rarest first, and similar sets share one of
+   their first ``n - ceil(t n) + 1``; the order decides how many candidates
+   there are, never which links are found.  Documents that share a key form
+   candidate blocks; a frequent shingle or passage alone joins little.
 2. Blocks are cut into tiles by size band and hash.  Tiles whose bands can
    hold partners meet: bitmaps of hashed shingles bound the overlap from
    above, and what passes is decided by intersecting sorted arrays.  Pairs
@@ -18,6 +23,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +39,10 @@ from skylattice.storage import broadcast_if_small, materialize
 BAND = 1.2
 #: A part with fewer shingles than this is weak: unlike sets often agree on it.
 WEAK = 3
+#: From this percentage on candidates come from parts, below from prefixes.
+PARTS_FROM = 85
+#: The count sketch has at most this many counters (as a power of two) of one byte.
+SKETCH_BITS = 24
 _U = np.uint64
 
 
@@ -107,6 +117,51 @@ def part_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.n
     return rows[owner[use]], key[use]
 
 
+def prefix_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, percent: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the rarest shingles that a similar set must share one of."""
+    sizes = np.diff(bounds)[rows]
+    at = np.repeat(bounds[rows], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    token, owner = mix(sets[at] + _U(5)), np.repeat(np.arange(len(rows)), sizes)
+    order = np.lexsort((token, sketch[_counter(token, sketch)], owner))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    use = order[place < np.repeat(sizes + (-percent * sizes // 100) + 1, sizes)]
+    return rows[owner[use]], token[use]
+
+
+def _counter(token: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return (token >> _U(64 - (len(sketch) - 1).bit_length())).astype(np.int64)
+
+
+def count_sketch(rows: DataFrame, words: int) -> np.ndarray:
+    """How many texts hold a shingle of each counter, up to 255; the size follows the text and is bounded."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(SKETCH_BITS, max(12, math.ceil(math.log2(max(1, total) / 24))))
+    part = 1 << max(0, bits - 6)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, np.uint8)
+        for batch in batches:
+            for _, sets, _ in _set_rows(batch, 0, words):
+                at, n = np.unique(_counter(mix(sets + _U(5)), seen), return_counts=True)
+                seen[at] = np.minimum(seen[at].astype(np.int64) + n, 255).astype(np.uint8)
+        if seen.any():
+            blobs = [zlib.compress(seen[i : i + part].tobytes(), 1) for i in range(0, len(seen), part)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(part, np.uint8)
+        for b in table.column("counts"):
+            more = np.frombuffer(zlib.decompress(b.as_py()), np.uint8)
+            total = np.minimum(total.astype(np.uint16) + more, 255).astype(np.uint8)
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, counts binary"
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
+        out[r.part * part : (r.part + 1) * part] = np.frombuffer(r.counts, np.uint8)
+    return out
+
+
 def bitmaps(sets: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
     """One row of ``bits`` hashed bits a set, packed into 64-bit words."""
     n = len(bounds) - 1
@@ -189,37 +244,53 @@ def jaccard_components(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands = Bands(percent)
+    sketch = None if percent >= PARTS_FROM else docs.sparkSession.sparkContext.broadcast(count_sketch(rows, words))  # 16 MB at most
+
+    def keys_of(sets: np.ndarray, bounds: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = np.diff(bounds)
+        if sketch is not None:
+            yield prefix_keys(sets, bounds, np.flatnonzero(first & (n > 0)), percent, sketch.value)
+            return
+        band, up = bands.of(n), -1
+        while (near := bands.above(n, up := up + 1)).any():
+            b = band + up
+            use = np.flatnonzero(first & near)
+            use = use[bands.parts[b[use]] > 1]  # a single part says only that sets are equal
+            yield part_keys(sets, bounds, use, b[use], bands.parts[b[use]], bands.extra[b[use]])
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             valid = np.asarray(batch.column(0).is_valid())
             ids = batch.column(0).fill_null(0).to_numpy()
-            owners, keys, seen, out = [], [], set(), []
+            owners, keys, out = [], [], []
+            # equal sets of a batch speak once, by their smallest id
+            seen: dict[tuple[int, int], int] = {}
+            least: list[int] = []
             for i, sets, bounds in _set_rows(batch, 1, words):
                 n = np.diff(bounds)
                 token = mix(sets + _U(11))
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(t)]) for t in (token, mix(token))]
                 f, g = ((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
                 out.append((0, ids[i : i + len(n)], n, f, g, valid[i : i + len(n)]))
-                first = np.array([valid[i + r] and (p := (f[r], g[r])) not in seen and not seen.add(p) for r in range(len(n))], bool)
-                band = bands.of(n)
-                up = -1
-                while (near := bands.above(n, up := up + 1)).any():
-                    b = band + up
-                    use = np.flatnonzero(first & near)
-                    use = use[bands.parts[b[use]] > 1]  # a single part says only that sets are equal
-                    who, key = part_keys(sets, bounds, use, b[use], bands.parts[b[use]], bands.extra[b[use]])
-                    owners.append(ids[i + who])
+                first, number = np.zeros(len(n), bool), np.zeros(len(n), np.int64)
+                for r in np.flatnonzero(valid[i : i + len(n)]).tolist():
+                    k = seen.setdefault((f[r], g[r]), len(least))
+                    if k == len(least):
+                        first[r] = True
+                        least.append(ids[i + r])
+                    number[r], least[k] = k, min(least[k], ids[i + r])
+                for who, key in keys_of(sets, bounds, first):
+                    owners.append(number[who])
                     keys.append(key)
             yield from (_table(*x) for x in out)
             if owners:
-                owner, key = np.concatenate(owners), np.concatenate(keys)
+                owner, key = np.array(least, np.int64)[np.concatenate(owners)] if least else np.empty(0, np.int64), np.concatenate(keys)
                 order = np.lexsort((owner, key))
                 owner, key = owner[order], key[order]
                 new = np.ones(len(key), bool)
                 new[1:] = key[1:] != key[:-1]
-                least = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else owner
-                edge = np.unique(np.stack([least[least != owner], owner[least != owner]], axis=1), axis=0)
+                low = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else owner
+                edge = np.unique(np.stack([low[low != owner], owner[low != owner]], axis=1), axis=0)
                 yield _table(1, owner[new], None, key[new].view(np.int64), None, None)
                 yield _table(2, edge[:, 0], None, edge[:, 1], None, None)
 
