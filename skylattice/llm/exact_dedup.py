@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.text import buffers
+from skylattice.llm.text import buffers, trim
 from skylattice.storage import broadcast_if_small, materialize
 
 #: (prime, base) pairs; about 93 bits together.
@@ -112,6 +112,7 @@ def exact_dedup(
             sha = [hashlib.sha256(view[off[i] : off[i + 1]]).hexdigest() for i in range(batch.num_rows)]
             n, f = _fingerprints(batch.column(1), fp)
             yield pa.RecordBatch.from_arrays([batch.column(0), n, f, pa.array(sha, pa.string())], ["_id", "_n", "_f", "_sha"])
+            trim()
 
     stamped = materialize(base.mapInArrow(stamp, schema), "fingerprints")
     groups = materialize(
@@ -145,6 +146,7 @@ def _members_agree(texts: DataFrame, groups: DataFrame, moduli, chunk_bytes: int
         for batch in batches:
             n, f = _fingerprints(batch.column(0), fp)
             yield pa.RecordBatch.from_arrays([n, f, batch.column(0)], ["_n", "_f", "_text"])
+            trim()
 
     schema = T.StructType([*_FP.fields, T.StructField("_text", T.StringType())])
     members = texts.mapInArrow(key, schema).filter("_n > 0").join(broadcast_if_small(groups.select(*_KEY)), _KEY)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.text import blocks, buffers, mix, rolling, word_bounds, word_hashes
+from skylattice.llm.text import blocks, buffers, mix, rolling, trim, word_bounds, word_hashes
 from skylattice.operators.components import connected_components
 from skylattice.storage import broadcast_if_small, materialize
 
@@ -220,9 +220,10 @@ def tile_links(ids, sides, sets: list[np.ndarray], maps: np.ndarray, percent: in
 
 def _set_rows(batch: pa.RecordBatch, column: int, words: int):
     data, off = buffers(batch.column(column))
-    for i, j in blocks(off):
+    for i, j in blocks(off, 1 << 18):
         sets, bounds = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
         yield i, sets, bounds
+    trim()
 
 
 def jaccard_components(

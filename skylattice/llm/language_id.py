@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.text import mix
+from skylattice.llm.text import trim
 from skylattice.storage import materialize
 
 #: Hash buckets of n-grams.
@@ -144,6 +144,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                     out.append((lang, float(h[r]), at.astype(np.int32), c[at]))
             if out:
                 yield _sample_batch(out)
+            trim()
         at = np.flatnonzero(seen)
         yield _sample_batch([(None, float(total), at.astype(np.int32), seen[at])])
 
@@ -191,7 +192,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def score(texts):
         import pandas as pd
 
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        trim()
+        return out
 
     out = docs.withColumn("__lid", score(F.col(text_col)))
     return out.withColumn("lang_pred", F.col("__lid.lang_pred")).withColumn("score", F.col("__lid.score")).drop("__lid")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.text import list_array
+from skylattice.llm.text import list_array, trim
 
 #: The model file; any SentencePiece model without a normalisation table can be named instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -374,6 +374,7 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, sco
                 rest = [batch.column(c).slice(i, j - i) for c in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, ids, pa.array(counts, pa.int64()), pa.array(same)], [*batch.schema.names[1:], "pieces", "n_tokens", "round_trip"])
                 i = j
+            trim()
 
     keep = [c for c in docs.columns if c not in ("pieces", "n_tokens", "round_trip")]
     rows = docs.select(F.col(text_col).alias("__text"), *keep)
