@@ -181,14 +181,14 @@ def _counted(rows: DataFrame, width: int) -> DataFrame:
     return w.join(least, ["h", "g"]).groupBy("m", "c").agg(F.collect_list(F.struct("j", F.lit(1).alias("n"), "least")).alias("ids"))
 
 
-_FIELDS = (("m", np.uint64), ("c", np.uint32), ("row", np.uint32), ("start", np.uint32), ("n", np.uint8))
+_FIELDS = (("m", np.uint64), ("c", np.uint64), ("row", np.uint32), ("start", np.uint32), ("n", np.uint8))
 
 
 def pack(columns: dict[str, np.ndarray], rk: np.ndarray, ids: np.ndarray) -> bytes:
     """Runs and the texts they are of, column by column; the small ones compressed."""
     used, columns["row"] = np.unique(columns["row"], return_inverse=True)
     parts = [columns[k].astype(t) for k, t in _FIELDS]
-    # the high 16 bits of a minimizer name its bucket; 48 bits and the content hash identify a run
+    # the high 16 bits of a minimizer name its bucket; 48 bits and the whole content hash identify a run
     low = (parts[0] & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
     # differences and byte planes compress best
     small = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (np.diff(parts[2], prepend=np.uint32(0)), parts[3], parts[4]))
@@ -201,9 +201,9 @@ def unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     n, k = np.frombuffer(blob, np.int64, 2)
     m = np.zeros((n, 8), np.uint8)
     m[:, :6] = np.frombuffer(blob, np.uint8, n * 6, 16).reshape(-1, 6)
-    small = zstandard.ZstdDecompressor().decompress(blob[16 + 10 * n :], int(9 * n + 16 * k))
+    small = zstandard.ZstdDecompressor().decompress(blob[16 + 14 * n :], int(9 * n + 16 * k))
     plane = lambda at, w, t: np.ascontiguousarray(np.frombuffer(small, np.uint8, n * w, at).reshape(w, n).T).view(t).ravel()
-    out = {"m": m.view(np.uint64).ravel(), "c": np.frombuffer(blob, np.uint32, n, 16 + 6 * n)}
+    out = {"m": m.view(np.uint64).ravel(), "c": np.frombuffer(blob[16 + 6 * n : 16 + 14 * n], np.uint64)}
     out |= {"row": np.cumsum(plane(0, 4, np.uint32), dtype=np.uint32).astype(np.int64), "start": plane(4 * n, 4, np.uint32), "n": plane(8 * n, 1, np.uint8)}
     both = np.frombuffer(small, np.int64, 2 * k, 9 * n)
     return out, both[:k], both[k:]
@@ -229,7 +229,7 @@ class ByteWindows(Windows):
                         part = values[lo : lo + PIECE + width - 1]
                         inside = bounds if j - i > 1 or len(values) <= PIECE else np.array([0, len(part)])
                         text, start, n, m, c = cut_runs(part, inside, width, k)
-                        held.append((i + text, start + lo, n.astype(np.uint8), m, (c >> np.uint64(32)).astype(np.uint32)))
+                        held.append((i + text, start + lo, n.astype(np.uint8), m, c))
                         size += len(text)
                     if size > _HELD or (j == batch.num_rows and size):
                         yield _blobs(held, rk, ids, bits)
@@ -295,7 +295,7 @@ def _decide(bucket: int, parts: list) -> pa.Table:
         {
             "kind": pa.array(np.r_[np.zeros(k, np.int8), np.where(lead, 1, 2).astype(np.int8)]),
             "m": pad(full, pa.int64()),
-            "c": pad(c[some].astype(np.int64), pa.int64()),
+            "c": pad(c[some].view(np.int64), pa.int64()),
             "id": pad(ids[row[some]], pa.int64()),
             "rk": pa.array(np.r_[rk[row[gone[cut]]], rk[row[some]]]),
             "start": pad(start[some].astype(np.int32), pa.int32()),

@@ -97,6 +97,23 @@ def test_pack():
     assert (r[out["row"]] == rk[cols["row"]]).all() and (i[out["row"]] == ids[cols["row"]]).all()
 
 
+def test_contents_alike_in_32_bits(spark):
+    """Two texts with one minimizer whose content hashes agree in the high half only."""
+    rng = np.random.default_rng(5)
+    heads = rng.integers(97, 123, (20_000, 24)).astype(np.uint8)
+    grams = windows.rolling(windows.byte_units(heads.ravel(), None)[0], 24)[::24]
+    tails = rng.integers(97, 123, (300_000, 26)).astype(np.uint8)
+    texts = np.hstack([np.tile(heads[grams.argmin()], (len(tails), 1)), tails])
+    c = windows.cut_runs(windows.byte_units(texts.ravel(), None)[0], np.arange(len(texts) + 1) * 50, 50, 24)[4]
+    assert len(c) == len(texts)
+    order = np.argsort(c, kind="stable")
+    at = np.flatnonzero((c[order][1:] >> np.uint64(32) == c[order][:-1] >> np.uint64(32)) & (c[order][1:] != c[order][:-1]))[0]
+    a, b = (texts[i].tobytes().decode() for i in order[at : at + 2])
+    assert a[:24] == b[:24] and a != b
+    got = suffix_dedup.suffix_dedup(frame(spark, [(1, a), (2, b), (3, a)])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 50}
+
+
 def test_empty_and_pieces(spark, monkeypatch):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.substring_dedup(none).count() == 0
