@@ -6,12 +6,12 @@ its class, id or role.  What templates leave beyond that is found by
 differencing: the pages of a host are ordered by URL path, each is paired with
 its nearest neighbours there, their lines are aligned by longest common
 subsequence, and shared lines are deleted.  A neighbour whose main text is
-mostly the same is a copy of the article and tells nothing about the template,
-and inside an ``article`` or ``main`` element lines are never deleted.
+mostly the same is a copy of the article and tells nothing about the template:
+the next ones are tried, at doubling distance up to the ends of the host.
+Inside an ``article`` or ``main`` element lines are never deleted.
 
-Neighbours are found without a window over a host: keys are range-partitioned
-by (host, path), neighbours come from the same partition, and partition edges
-(two rows each) are joined across.
+Pages of a host with equal lines count as one.  Pages are numbered in URL
+order, so neighbours are joined by number, without a window over a host.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.operators.numbering import number_rows
 from skylattice.storage import broadcast_if_small, materialize
 
 _DROP = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "math", "object", "head", "title", "menu", "dialog", "canvas", "video", "audio", "figure", "label", "fieldset"}
@@ -185,21 +186,34 @@ def prefix_length(a: str, b: str) -> int:
     return n
 
 
-def shared_lines(own: tuple, others: list[tuple], copy: float = 0.5) -> np.ndarray:
-    """Lines of a page to delete: shared with its nearest neighbour by path that is no copy.
+def shared_lines(own: tuple, others: list[tuple], copy: float = 0.5, template: np.ndarray | None = None) -> np.ndarray:
+    """Lines of a page to delete: shared with its nearest neighbour by path that is no copy; none if all are copies."""
+    found = difference(own, others, copy, template)
+    return np.zeros(len(own[1]), bool) if found is None else found
+
+
+def difference(own: tuple, others: list[tuple], copy: float = 0.5, template: np.ndarray | None = None) -> np.ndarray | None:
+    """The same, and None if all neighbours are copies.
 
     A page is (path, hashes, weights, inside article); of equally near
-    neighbours the earlier in URL order comes first.  Neighbours sharing more
-    than ``copy`` of the text's weight are passed over.
+    neighbours the earlier in URL order comes first.  A neighbour is a copy if
+    it shares more than ``copy`` of the weight of the lines that are the
+    page's own: those inside the article, else those not in ``template`` (the
+    lines of most pages of the host), else, where these are under a tenth of
+    the text, all lines.
     """
     path, hashes, weights, inside = own
-    gone = np.zeros(len(hashes), bool)
+    tell = inside
+    if not inside.any():
+        tell = ~np.isin(hashes, template) if template is not None else ~inside
+        if weights[tell].sum() < 0.1 * weights.sum():
+            tell = ~inside
     for other in sorted((o for o in others if o is not None), key=lambda o: -prefix_length(path, o[0])):
         shared = common(hashes, other[1])
-        if weights[shared].sum() > copy * weights.sum():
+        if weights[shared & tell].sum() > copy * weights[tell].sum():
             continue
         return shared & ~inside
-    return gone
+    return None
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -215,49 +229,62 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for url, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 text, main = lines(page)
-                for o, x in zip(out, (*host_path(url), [_hash(t) for t in text], [len(t) for t in text], main), strict=True):
+                host, path = host_path(url)
+                hashes = [_hash(t) for t in text]
+                sig = hashlib.blake2b(repr((host, hashes, main)).encode("utf-8", "replace"), digest_size=16).digest()
+                for o, x in zip(out, (sig, host, path, hashes, [len(t) for t in text], main), strict=True):
                     o.append(x)
-            kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+            kinds = (pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], ["k1", "k2", "host", "path", "hashes", "weights", "inside"]
+                [batch.column(0), batch.column(1), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], ["k1", "k2", "sig", "host", "path", "hashes", "weights", "inside"]
             )
 
-    fields = "k1 long, k2 long, host string, path string, hashes array<long>, weights array<int>, inside array<boolean>"
+    fields = "k1 long, k2 long, sig binary, host string, path string, hashes array<long>, weights array<int>, inside array<boolean>"
     sketches = materialize(rows.select("k1", "k2", "url", "html").mapInArrow(sketch, fields).dropDuplicates(["k1", "k2"]), "page-lines")
-    # pages in URL order; the partition number is written, so it stays what it was
-    order = ["host", "path", "k1", "k2"]
-    some = sketches.filter(F.size("hashes") > 0)  # a page without lines pairs with none
-    keys = some.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    keys = materialize(keys, "page-order")
-    page = F.struct("host", "path", "hashes")
-    w = Window.partitionBy("part").orderBy(*order)
-    edge = keys.groupBy("part").agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi"))
-    edge = materialize(edge, "page-edges")  # two keys a partition
-    e = Window.orderBy("part")
-    edge = edge.select("part", F.lag("hi").over(e).alias("hi"), F.lead("lo").over(e).alias("lo"))
-    ends = keys.select(F.struct(*order).alias("at"), page.alias("page"))
-    before = edge.join(ends, F.col("hi") == F.col("at")).select("part", F.col("page").alias("before_part"))
-    after = edge.join(ends, F.col("lo") == F.col("at")).select("part", F.col("page").alias("after_part"))
-    near = keys.withColumns({"prev": F.lag(page).over(w), "next": F.lead(page).over(w)})
-    near = near.join(F.broadcast(before), "part", "left").join(F.broadcast(after), "part", "left")  # a row a partition
-    near = near.select("k1", "k2", "host", "path", "hashes", "weights", "inside", F.coalesce("prev", "before_part").alias("prev"), F.coalesce("next", "after_part").alias("next"))
+    # pages of a host with equal lines are one page here; a page without lines pairs with none
+    some = sketches.filter(F.size("hashes") > 0).groupBy("sig").agg(F.min(F.struct("host", "path", "hashes", "weights", "inside")).alias("p")).select("sig", "p.*")
+    pages_ = materialize(number_rows(some, ["host", "path", "sig"], "pos"), "page-order")
+    hosts = pages_.groupBy("host").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    # lines of most pages of a host: at most twice as many as a page has on average
+    seen = pages_.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    most = seen.join(broadcast_if_small(materialize(hosts, "page-hosts")), "host").filter("hi - lo >= 2 and 2 * n > hi - lo + 1")
+    most = most.groupBy("host").agg(F.collect_list("line").alias("template"))
+    hosts = materialize(hosts.join(most, "host", "left"), "page-templates")
+    todo = pages_.join(broadcast_if_small(hosts), "host")
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(2, 9)]
-            gone = []
-            for host, path, hashes, weights, inside, *others in zip(*cols, strict=True):
+            found = []
+            for path, hashes, weights, inside, template, *others in zip(*(batch.column(i).to_pylist() for i in range(1, 8)), strict=True):
                 own = (path, np.array(hashes, np.int64), np.array(weights, np.int64), np.array(inside, bool))
-                found = shared_lines(own, [(o["path"], np.array(o["hashes"], np.int64)) if o and o["host"] == host else None for o in others])
-                gone.append(np.flatnonzero(found).astype(np.int32))
-            some = [i for i, g in enumerate(gone) if len(g)]
-            at = pa.array(some, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([gone[i] for i in some], pa.list_(pa.int32()))], ["k1", "k2", "gone"])
-
-    gone = materialize(near.mapInArrow(delete, "k1 long, k2 long, gone array<int>"), "page-shared")
+                near = [(o["path"], np.array(o["hashes"], np.int64)) for o in others if o]
+                found.append(difference(own, near, template=None if template is None else np.array(template, np.int64)))
+            gone = [None if g is None else np.flatnonzero(g).astype(np.int32) for g in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["sig", "gone"])
+
+    # neighbours at distance 1, 2, 4 and so on, the last at the host's ends, until one is no copy
+    page = F.struct("path", "hashes")
+    done, far = None, 1
+    while True:
+        todo = todo.filter("lo < hi").withColumns({"b": F.greatest(F.col("pos") - far, "lo"), "a": F.least(F.col("pos") + far, "hi")})
+        before, after = (pages_.select(F.col("pos").alias(k), page.alias(f"at_{k}")) for k in "ba")
+        near = todo.join(before, "b").join(after, "a")
+        at = lambda k: F.when(F.col(k) != F.col("pos"), F.col(f"at_{k}"))
+        near = near.select("sig", "path", "hashes", "weights", "inside", "template", at("b").alias("prev"), at("a").alias("next"))
+        found = materialize(near.mapInArrow(delete, "sig binary, gone array<int>"), "page-differences")
+        good = found.filter(F.size("gone") > 0)
+        done = good if done is None else done.unionByName(good)
+        # copies on both sides: look further, unless both ends of the host are copies
+        left = found.filter("gone is null").select("sig")
+        todo = todo.filter("b > lo or a < hi").join(broadcast_if_small(left), "sig", "left_semi").drop("a", "b")
+        todo = materialize(todo, "page-copies")
+        if todo.isEmpty():
+            break
+        far *= 2
+    gone = materialize(sketches.select("k1", "k2", "sig").join(broadcast_if_small(materialize(done, "page-lines-gone")), "sig").select("k1", "k2", "gone"), "page-shared")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

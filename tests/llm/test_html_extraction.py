@@ -76,3 +76,30 @@ def test_copies_tell_nothing():
     own = ("/a", a, np.full(10, 5), np.zeros(10, bool))
     assert not hx.shared_lines(own, [("/a", a)]).any()
     assert hx.shared_lines(own, [("/a", a), ("/b", np.array([0, 99, 9]))]).sum() == 2
+
+
+def test_runs_of_copies_and_heavy_templates(spark):
+    rng = random.Random(1)
+    rows, want = [], {}
+
+    def add(url, lines, own):
+        want[len(rows)] = "\n\n".join(own)
+        rows.append((len(rows), url, "".join(f"<div>{x}</div>" for x in lines)))
+
+    fill = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    top, end = fill(4), fill(4)
+    same = [fill(6), fill(6)]
+    for i in range(5):  # equal pages, and pages that differ in a line
+        add(f"http://a.com/m?page={i}", [top, *same, end], same)
+        own = [*same, f"seen {i} times"]
+        add(f"http://a.com/m{i}", [top, *own, end], own)
+    for i in range(9):
+        own = [fill(6)]
+        add(f"http://a.com/z{i}", [top, *own, end], own)
+    menu = [fill(9) for _ in range(4)]  # most of the text
+    for i in range(6):
+        own = [fill(6)]
+        add(f"http://b.com/{i}", [*menu, *own], own)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in hx.extract(df).collect()}
+    assert got == want
