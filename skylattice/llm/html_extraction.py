@@ -2,7 +2,8 @@
 
 A page's blocks are its lines.  Blocks in navigation, headers, footers, asides,
 forms, scripts, adverts, notices and reader comments go by their element or
-its class, id or role.  What templates leave beyond that is found by
+its class, id or role.  A class or id counts only if it names the element itself
+and the element holds no article text.  What templates leave beyond that is found by
 differencing: the pages of a host are ordered by URL path, each is paired with
 its nearest neighbours there, their lines are aligned by longest common
 subsequence, and shared lines are deleted.  A neighbour whose main text is
@@ -29,19 +30,25 @@ from pyspark.sql import functions as F
 from skylattice.operators.numbering import number_rows
 from skylattice.storage import broadcast_if_small, materialize
 
-_DROP = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "math", "object", "head", "title", "menu", "dialog", "canvas", "video", "audio", "figure", "label", "fieldset"}
+_DROP = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "object", "head", "title", "menu", "dialog", "canvas", "video", "audio", "label", "fieldset"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set(
     "address article aside blockquote body br canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _MAIN = {"article", "main"}
-_INSIDE = {"header", "figure", "label"}
+_INSIDE = {"header", "label"}
+#: What a class or id may name: the last word of it, before words for parts.
 _BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|disqus|widget|toolbar|pagination|pager|tags?|copyright|skip)(?:$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|disqus|toolbar|pagination|pager|tags|copyright|skip"
 )
-_STATE = re.compile(r"(?:no|has|with|without|is)[_-]", re.I)  # says what the page looks like, not what this is
+_PARTS_OF = re.compile(r"lists?|links?|bars?|box|buttons?|icons?|items?|area|section|form|posts|articles|stories|left|right|top|bottom|primary|secondary|\d+")
+#: Says what the page looks like, not what this is.
+_STATE = {"no", "has", "with", "without", "is", "not", "by", "and", "for"}
+#: These hold prose of their own.
+_PROSE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|copyright|footer|comments?|replies|disqus")
+_COMMENT = re.compile(r"comments?|replies|disqus")
+_TEXT = 200  # characters outside links from which an element holds article text
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[^<]*|[^<]+", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -49,15 +56,58 @@ _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*=\s*(?:\"([^\"]*
 _SPACE = re.compile(r"\s+")
 
 
-def _bad(name: str, tag: str, inside: bool) -> bool:
+def _named(token: str) -> str:
+    """What a class or id says its element is, if that is nothing of the article."""
+    parts = [x for x in re.split(r"[-_]+", token.lower()) if x]
+    if any(x in _STATE for x in parts):
+        return ""
+    while len(parts) > 1 and _PARTS_OF.fullmatch(parts[-1]):
+        parts.pop()
+    return parts[-1] if parts and _BAD.fullmatch(parts[-1]) else ""
+
+
+def _holds_text(tokens: list[str], at: int, name: str, prose: bool) -> bool:
+    """Whether the element opened at ``at`` holds an article, main or h1 element, or (``prose``) much text outside links."""
+    depth, link, size, raw = 1, 0, 0, ""
+    for k in range(at + 1, len(tokens)):
+        tag = _TAG.match(tokens[k]) if tokens[k][0] == "<" else None
+        if not tag:
+            if prose and not link and not raw and tokens[k][0] != "<":
+                size += len(tokens[k].strip())
+                if size >= _TEXT:
+                    return True
+            continue
+        closing, other = tag.group(1), tag.group(2).lower()
+        if raw:
+            raw = "" if closing and other == raw else raw
+            continue
+        if not closing and (other in _MAIN or other == "h1"):
+            return True
+        if not closing and other in _RAW:
+            raw = other
+        if other == "a":
+            link = 0 if closing else 1
+        if other == name:
+            depth += -1 if closing else not tokens[k].endswith("/>")
+            if not depth:
+                return False
+    return False
+
+
+def _bad(tokens: list[str], at: int, name: str, inside: bool) -> bool:
+    tag = tokens[at]
     if name in _DROP:
         return not (inside and name in _INSIDE)
     if "=" not in tag or name in ("html", "body", *_MAIN):
         return False
     for key, *values in _ATTR.findall(tag):
         value, key = "".join(values), key.lower()
-        if key in ("class", "id") and any(_BAD.search(x) and not _STATE.match(x) for x in value.split()):
-            return True
+        if key in ("class", "id"):
+            for word in filter(None, map(_named, value.split())):
+                if inside and word in _INSIDE:
+                    continue
+                if _COMMENT.fullmatch(word) or not _holds_text(tokens, at, name, not _PROSE.fullmatch(word)):
+                    return True
         if key == "role" and value.lower() in _ROLE:
             return True
         if key == "aria-hidden" and value.lower() == "true":
@@ -83,8 +133,8 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
                 main.append(inside > 0)
             buffer.clear()
 
-    for m in _TOKEN.finditer(page or ""):
-        token = m.group()
+    tokens = _TOKEN.findall(page or "")
+    for at, token in enumerate(tokens):
         tag = _TAG.match(token) if token[0] == "<" else None
         if not tag:
             if token[0] != "<" or (len(token) > 1 and not token[1].isalpha() and token[1] not in "!?/"):
@@ -110,7 +160,7 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
             if name == "p" and stack and stack[-1][0] == "p":
                 _, bad, is_main = stack.pop()
                 dropped -= bad
-            bad = _bad(name, token, inside > 0)
+            bad = not dropped and _bad(tokens, at, name, inside > 0)
             is_main = name in _MAIN and not dropped
             if name in _RAW:
                 raw = name

@@ -103,3 +103,18 @@ def test_runs_of_copies_and_heavy_templates(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {r.page_id: r.text for r in hx.extract(df).collect()}
     assert got == want
+
+
+def test_article_text_stays():
+    text = lambda page: " ".join(hx.lines(page)[0])
+    assert text("<article><p>Let <math><mi>x</mi></math> be</p></article>") == "Let x be"
+    assert text("<div><figure><img src=a><figcaption>A caption</figcaption></figure></div>") == "A caption"
+    long = "word " * 60
+    for name in ("elementor-widget elementor-widget-text-editor", "side-by-side", "content-with-sidebar", "page_without_menu", "menu-open"):
+        assert text(f'<div class="{name}"><p>kept</p></div>') == "kept", name
+        assert text(f'<article><div class="{name}"><p>kept</p></div></article>') == "kept", name
+    for name in ("related", "share", "tags", "sidebar"):
+        assert text(f'<div class="{name}"><p>{long}</p></div>') == long.strip(), name
+        assert text(f'<div class="{name}"><article>kept</article></div>') == "kept", name
+        assert text(f'<div class="{name}-links"><a href=x>{long}</a></div>') == "", name
+    assert text(f'<div class="entry-header"><h1>Title</h1></div><div id="cookie-notice"><p>{long}</p></div><div class="comment-list"><article>{long}</article></div>') == "Title"
