@@ -181,10 +181,19 @@ def adopt_lens(p: np.ndarray, q: np.ndarray, center: np.ndarray, scale: float, l
     return plain, 0.0
 
 
-def residual_field(points: np.ndarray, residual: np.ndarray, width: int, height: int, grid: int = 20, cap: float = 15.0, smoothing: float = 2.0, least: int = 80):
-    """(gx, gy, field) of a thin-plate spline through residuals, capped, on a grid that ends at the frame's edge; None if points are few."""
+def residual_field(points: np.ndarray, residual: np.ndarray, width: int, height: int, grid: int = 20, cap: float = 15.0, smoothing: float = 2.0, least: int = 80, dense: int = 3000):
+    """(gx, gy, field) of a thin-plate spline through residuals, capped, on a grid that ends at the frame's edge; None if points are few.
+
+    The system is dense: more than ``dense`` points count by cells of half a
+    grid step, as their mean with a smoothing less by their number.
+    """
     if len(points) < least:
         return None
+    count = np.ones(len(points))
+    if len(points) > dense:
+        cell, count = np.unique(np.floor(points / (grid / 2)), axis=0, return_inverse=True, return_counts=True)[1:]
+        mean = lambda x: np.column_stack([np.bincount(cell.ravel(), v) for v in x.T]) / count[:, None]
+        points, residual = mean(points), mean(residual)
 
     def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         r2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
@@ -193,9 +202,11 @@ def residual_field(points: np.ndarray, residual: np.ndarray, width: int, height:
     unit = float(max(width, height))  # solve in units of the frame; the smoothing scales with its square
     points = points / unit
     n, ones = len(points), np.ones((len(points), 1))
-    top = np.concatenate([kernel(points, points) + smoothing / unit**2 * np.eye(n), ones, points], axis=1)
+    top = np.concatenate([kernel(points, points) + smoothing / unit**2 * np.diag(1 / count), ones, points], axis=1)
     low = np.concatenate([np.concatenate([ones, points], axis=1).T, np.zeros((3, 3))], axis=1)
-    w = np.linalg.lstsq(np.concatenate([top, low]), np.concatenate([residual, np.zeros((3, 2))]), rcond=None)[0]
+    system, right = np.concatenate([top, low]), np.concatenate([residual, np.zeros((3, 2))])
+    flat = np.linalg.matrix_rank(low[:, :n]) < 3  # points on a line
+    w = np.linalg.lstsq(system, right, rcond=None)[0] if flat else np.linalg.solve(system, right)
     gx, gy = (np.unique(np.append(np.arange(0, size, grid), size - 1)) for size in (width, height))
     at = np.stack(np.meshgrid(gx, gy), axis=-1).reshape(-1, 2) / unit
     field = kernel(at, points) @ w[:n] + np.column_stack([np.ones(len(at)), at]) @ w[n:]

@@ -35,7 +35,6 @@ class CalibrationConfig:
     min_matches: int = 20
     min_inliers: int = 15
     min_ratio: float = 0.25
-    pool_limit: int = 200_000
 
 
 @dataclass(frozen=True)
@@ -59,12 +58,11 @@ def calibrate(matches: DataFrame, config: CalibrationConfig = CalibrationConfig(
     The confident pool is fitted robustly; less confident matches that agree
     with the fit join it, and the fit is repeated.  A lens coefficient (only
     for homographies) and a residual field follow where there are points
-    enough.  The pool is at most ``pool_limit`` matches, by hash.
+    enough, from all points.  The pool is all matches of the sampled pairs.
     """
     pairs = matches.select("idx").distinct()
     sample = even_sample(pairs.withColumn("number", F.col("idx").try_cast("long")), ["number", "idx"], config.sample_pairs)
     pool = matches.join(F.broadcast(sample.select("idx")), "idx").filter(F.col("conf") >= config.low)  # sample_pairs rows
-    pool = pool.orderBy(F.xxhash64("idx", "x0", "y0", "x1", "y1")).limit(config.pool_limit)
     rows = pool.select("x0", "y0", "x1", "y1", "conf").toPandas().sort_values(["x0", "y0", "x1", "y1"]).to_numpy(float)
     p, q, conf = rows[:, :2], rows[:, 2:4], rows[:, 4]
     sure = conf >= config.high
@@ -84,8 +82,7 @@ def calibrate(matches: DataFrame, config: CalibrationConfig = CalibrationConfig(
     straight = robust.divide(p, k, np.array(center), scale)
     error = q - robust.project(m, straight)
     rmse = float(np.sqrt((error**2).sum(axis=1).mean()))
-    few = np.random.default_rng(0).permutation(len(p))[:1000]  # the spline's system is dense
-    field = robust.residual_field(robust.project(m, straight)[few], error[few], config.width, config.height)
+    field = robust.residual_field(robust.project(m, straight), error, config.width, config.height)
     return Calibration(m.ravel().tolist(), config.model, len(sure), int(ok.sum()), rmse, k, center, scale, field)
 
 

@@ -27,6 +27,27 @@ def test_calibrate(spark):
         reg.calibrate(df.filter("conf < 0.5"))
 
 
+def test_field_uses_all_inliers(spark):
+    """A distortion that six of 20,000 inliers see."""
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0, [640, 480], (20_000, 2))
+    p = p[(np.abs(p - [320, 240]) > 40).any(axis=1)]
+    p = np.concatenate([p, [320, 240] + rng.uniform(-8, 8, (6, 2))])
+    q = p.copy()
+    q[-6:, 0] += 2
+    rows = [(f"{i % 25:04d}", *map(float, (*a, *b)), 0.9) for i, (a, b) in enumerate(zip(p, q))]
+    df = spark.createDataFrame(rows, "idx string, x0 double, y0 double, x1 double, y1 double, conf double")
+    got = reg.calibrate(df, reg.CalibrationConfig(model="affine"))
+    gx, gy, field = got.field
+    assert got.n_inliers == len(p)
+    assert field[list(gy).index(240), list(gx).index(320), 0] > 1.5
+    # cells against the exact spline
+    some = rng.choice(len(p), 1500, replace=False)
+    wave = np.column_stack([np.sin(p[some, 0] / 90), np.cos(p[some, 1] / 90)])
+    exact, cells = (robust.residual_field(p[some], wave, 640, 480, dense=d)[2] for d in (3000, 100))
+    assert np.sqrt(((exact - cells) ** 2).mean()) < 0.05
+
+
 def test_waves_and_propagation(spark):
     order = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 9)], "step long, image long")
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 2)], "a long, b long")
