@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.text import buffers, trim
+from skylattice.llm.text import bound_batches, buffers, trim
 from skylattice.storage import broadcast_if_small, materialize
 
 #: (prime, base) pairs; about 93 bits together.
@@ -100,6 +100,7 @@ def exact_dedup(
     keep_id, so rows that repeat both id and text say the same.  An empty
     table gives an empty result; other columns are not read.
     """
+    bound_batches(docs)
     id_field = docs.schema[id_col]
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = T.StructType([T.StructField("_id", id_field.dataType), *_FP.fields, T.StructField("_sha", T.StringType())])
@@ -160,10 +161,21 @@ def _members_agree(texts: DataFrame, groups: DataFrame, moduli, chunk_bytes: int
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep."""
-    result = materialize(exact_dedup(docs, id_col, text_col), "exact-dedup")
-    gone = result.filter(~F.col("kept")).select(F.col(id_col).alias("__gone_id"), F.col("text_sha256").alias("__gone_sha")).distinct()
-    gone = materialize(gone, "exact-gone")
+    """``docs`` with one row of each group of equal texts: one with the largest id.
+
+    Of rows that repeat both id and text any one stays; the others are found
+    by their number of rows and reduced by an aggregation that combines on the
+    map side, so many of them never meet in one task.
+    """
+    result = exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
+    few = result.groupBy("__id", "__sha", "kept").agg(F.count(F.lit(1)).alias("n")).filter("not kept or n > 1")
+    few = materialize(few, "exact-gone")
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    same = F.col(id_col).eqNullSafe(F.col("__gone_id")) & (sha == F.col("__gone_sha"))
-    return docs.join(broadcast_if_small(gone), same, "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    out = docs.join(broadcast_if_small(few.select("__id", "__sha")), same, "left_anti")
+    again = few.filter("kept").select("__id", "__sha")
+    if again.isEmpty():
+        return out
+    first = docs.withColumn("__text_sha", sha).join(broadcast_if_small(again), same, "left_semi").groupBy(F.col(id_col), "__text_sha")
+    first = first.agg(F.any_value(F.struct(*[F.col(c) for c in docs.columns])).alias("__row")).select("__row.*")
+    return out.unionByName(first)

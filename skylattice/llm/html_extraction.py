@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.llm.text import bound_batches
 from skylattice.operators.numbering import number_rows
 from skylattice.storage import broadcast_if_small, materialize
 
@@ -273,6 +274,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     empty host.  Rows that repeat url and html get equal results.  An empty
     table gives none; other columns are not read.
     """
+    bound_batches(pages)
     rows = pages.select(F.col(id_col).alias("own"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     key = F.xxhash64("url", "html"), F.crc32(F.col("html").cast("binary"))
     rows = rows.select("own", "url", "html", key[0].alias("k1"), key[1].alias("k2"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.text import blocks, buffers, mix, rolling, trim, word_bounds, word_hashes
+from skylattice.llm.text import blocks, bound_batches, buffers, mix, rolling, trim, word_bounds, word_hashes
 from skylattice.operators.components import connected_components
 from skylattice.storage import broadcast_if_small, materialize
 
@@ -243,6 +243,7 @@ def jaccard_components(
     and has a null component.  Rows that share an id are one document.  An
     empty table gives none; other columns are not read.
     """
+    bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands = Bands(percent)
     sketch = None if percent >= PARTS_FROM else docs.sparkSession.sparkContext.broadcast(count_sketch(rows, words))  # 16 MB at most

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skylattice.llm.text import trim
+from skylattice.llm.text import bound_batches, trim
 from skylattice.storage import materialize
 
 #: Hash buckets of n-grams.
@@ -73,8 +74,14 @@ class Model:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes: int, alpha=1.0, beta=1.0, l1=1e-3, l2=1e-4, epochs=3, seed=7):
-    """FTRL-proximal for softmax regression over sparse rows (index, value, class); the last weight is the bias."""
+def ftrl(
+    rows: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes: int, alpha=1.0, beta=1.0, l1=1e-3, l2=1e-4, epochs=4, batch=16, seed=7
+) -> np.ndarray:
+    """FTRL-proximal for softmax regression over sparse rows (index, value, class), in mini-batches; the last weight is the bias.
+
+    A step takes the gradient summed over ``batch`` rows, and moves only the
+    features that occur in them.
+    """
     z = np.zeros((features + 1, classes))
     n = np.zeros((features + 1, classes))
     rng = np.random.default_rng(seed)
@@ -84,15 +91,20 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes:
         return np.where(np.abs(z[i]) <= l1, 0.0, w)
 
     for _ in range(epochs):
-        for r in rng.permutation(len(rows)):
-            index, value, label = rows[r]
-            index, value = np.append(index, features), np.append(value, 1.0)
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), batch):
+            some = [rows[r] for r in order[at : at + batch]]
+            index, place = np.unique(np.concatenate([r[0] for r in some] + [[features]]), return_inverse=True)
+            x = np.zeros((len(some), len(index)))
+            x[:, -1] = 1.0  # the bias is the last feature
+            owner = np.repeat(np.arange(len(some)), [len(r[0]) for r in some])
+            x[owner, place[:-1]] = np.concatenate([r[1] for r in some])
             w = weights(index)
-            s = value @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[label] -= 1.0
-            g = value[:, None] * p
+            s = x @ w
+            p = np.exp(s - s.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(some)), [r[2] for r in some]] -= 1.0
+            g = x.T @ p
             sigma = (np.sqrt(n[index] + g * g) - np.sqrt(n[index])) / alpha
             z[index] += g - sigma * w
             n[index] += g * g
@@ -116,31 +128,33 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1500) -> Model:
+def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample: int = 1500) -> Model:
     """Fit on the rows where ``learn`` holds and lang and text are not null.
 
-    ``sample`` bounds the rows of a language that reach the driver (as sparse
-    counts); the rows with the smallest hashes of id and text are used.
-    Document frequencies come from all rows.
+    ``sample`` bounds the texts of a language that reach the driver (as sparse
+    counts); the distinct texts with the smallest hashes are used.  Document
+    frequencies come from all rows.
     """
+    bound_batches(docs)
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    per = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    per = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     languages = sorted(per)
-    # the sample is a hash range of each language; 1.2: what chance leaves out
-    top = {name: min(1.0, 1.2 * sample / per[name]) for name in languages}
+    # the sample is a range of hashes of each language; 1.3: what chance and the estimated count leave out
+    top = {name: min(1.0, 1.3 * sample / max(1, per[name])) for name in languages}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(FEATURES, np.int64), 0
+        seen, total, sent = np.zeros(FEATURES, np.int64), 0, set()
         for batch in batches:
             out = []
             h = batch.column(2).to_numpy().view(np.uint64) / 2.0**64
-            for r, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                c = counts(text)
+            for r, lang in enumerate(batch.column(0).to_pylist()):
+                c = counts(batch.column(1)[r].as_py())
                 at = np.flatnonzero(c)
                 seen[at] += 1
                 total += 1
-                if h[r] < top[lang]:
+                if h[r] < top[lang] and (lang, h[r]) not in sent:
+                    sent.add((lang, h[r]))
                     out.append((lang, float(h[r]), at.astype(np.int32), c[at]))
             if out:
                 yield _sample_batch(out)
@@ -155,7 +169,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         df[r["at"]] = r["n"]
     total = parts.agg(F.sum("h")).first()[0] or 0
     idf = np.log((total + 1) / (df + 1)) + 1
-    held = found.filter("lang is not null").toArrow().combine_chunks()
+    # texts that several tasks have seen count once; at most about 1.3 * sample a language are left
+    held = found.filter("lang is not null").groupBy("lang", "h").agg(F.any_value("at").alias("at"), F.any_value("n").alias("n")).toArrow().combine_chunks()
     names, hashes = held.column("lang").to_pylist(), held.column("h").to_numpy()
     (at, bounds), (n, _) = (_lists(held.column(c)) for c in ("at", "n"))
     fit, hold = [], []
@@ -185,19 +200,23 @@ def _sample_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["lang", "h", "at", "n"])
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, which depend on the text alone."""
-
-    @F.pandas_udf("lang_pred string, score double")
-    def score(texts):
-        import pandas as pd
+def predict(docs: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """``docs`` with lang_pred and score, which depend on the text alone; with ``least``, only rows of a known language and that score."""
+    docs = docs.drop("lang_pred", "score")
+    at, names = docs.columns.index(text_col), docs.columns
 
-        out = pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
-        trim()
-        return out
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.predict(x.as_py()) for x in batch.column(at)]
+            out = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            out = pa.RecordBatch.from_arrays(out, [*names, "lang_pred", "score"])
+            if least is not None:
+                out = out.filter(pa.array([f[0] != "und" and f[1] >= least for f in found], pa.bool_()))
+            yield out
+            trim()
 
-    out = docs.withColumn("__lid", score(F.col(text_col)))
-    return out.withColumn("lang_pred", F.col("__lid.lang_pred")).withColumn("score", F.col("__lid.score")).drop("__lid")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(score, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -212,14 +231,13 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     everything if no row can be learned from.  A null id is not held out.
     Repeated rows get equal results; an empty table gives none.
     """
-    model = train(docs, ~held_out(id_col), id_col, text_col, lang_col, sample)
+    model = train(docs, ~held_out(id_col), text_col, lang_col, sample)
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))
     return predict(rows, model, "__text").select(id_col, "held_out", "lang_pred", "score")
 
 
 def drop_unknown(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language is ``und`` or less likely than ``least``."""
-    model = train(docs, ~held_out(id_col), id_col, text_col, lang_col)
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
-    kept = predict(rows, model, "__text").filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.select("__row.*")
+    model = train(docs, ~held_out(id_col), text_col, lang_col)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(text_col).alias("__text"))
+    return predict(rows, model, "__text", least).select("__row.*")

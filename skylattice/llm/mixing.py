@@ -19,12 +19,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.storage import materialize
+from skylattice.llm.text import bound_batches, trim
+from skylattice.storage import broadcast_if_small, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = re.compile(WORD)
@@ -91,8 +91,11 @@ class Mix:
     """The plan and the tables of one mix of ``docs``.
 
     Null text has no words; null sources are one source, ordered last.  Rows
-    may repeat ids, sources and texts; an empty table gives empty results.
-    Extra columns of ``docs`` are not read here.
+    may repeat ids, sources and texts: each row has its own place in its
+    source's stream, in the order of hash bucket, id, size and text hash, and
+    ``key_col`` (a column that is different in every row) if one is named.
+    An empty table gives empty results.  Extra columns of ``docs`` are not
+    read here.
     """
 
     def __init__(
@@ -107,6 +110,7 @@ class Mix:
         output_shards: int = 64,
         buckets: int = 512,
         seed: int = 42,
+        key_col: str | None = None,
     ):
         spark = docs.sparkSession
         self.id_col, self.block_words, self.seed = id_col, block_words, seed
@@ -114,8 +118,10 @@ class Mix:
             F.col(id_col).alias("rid"),
             F.col(source_col).cast("string").alias("src"),
             F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(text_col).alias("digest"),
+            (F.lit(0) if key_col is None else F.col(key_col)).cast("long").alias("key"),
         )
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rid", "size"), F.lit(buckets)).cast("int"))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rid", "size", "digest"), F.lit(buckets)).cast("int"))
         rows = materialize(rows, "mix-rows")
         cells = materialize(rows.groupBy("src", "bucket").agg(F.sum("size").alias("n")), "mix-cells")
         sizes = {r.src: int(r.n) for r in cells.groupBy("src").agg(F.sum("n").alias("n")).collect()}
@@ -138,14 +144,15 @@ class Mix:
         )
         before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         base = cells.select(F.col("src").alias("c_src"), F.col("bucket").alias("c_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-        within = Window.partitionBy("src", "bucket").orderBy("rid", "size").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("src", "bucket").orderBy("rid", "size", "digest", "key").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
         same = F.col("src").eqNullSafe(F.col("c_src")) & (F.col("bucket") == F.col("c_bucket"))
-        rows = rows.join(F.broadcast(base), same)  # sources x buckets rows
-        rows = rows.join(F.broadcast(names), F.col("src").eqNullSafe(F.col("name")))
-        #: rid, size, source_size, target, sid and the word position in the source's stream
+        # one row a source and bucket, or a source: they are broadcast only if there are few sources
+        rows = rows.join(broadcast_if_small(materialize(base, "mix-bases")), same)
+        rows = rows.join(broadcast_if_small(materialize(names, "mix-sources")), F.col("src").eqNullSafe(F.col("name")))
+        #: key, rid, size, source_size, target, sid and the word position in the source's stream
         self.rows = materialize(
-            rows.select("rid", "size", "source_size", "target", "sid", (F.col("base") + F.col("before")).alias("start")), "mix-positions"
+            rows.select("key", "rid", "size", "source_size", "target", "sid", (F.col("base") + F.col("before")).alias("start")), "mix-positions"
         )
         self.slots = self._slots(spark, plan)
 
@@ -175,11 +182,11 @@ class Mix:
         return slots.mapInArrow(place, "sid int, out_shard int, slot long, block long")
 
     def pieces(self) -> DataFrame:
-        """rid, size, start and the part of each block in it: block, from, to (word numbers of the text), uses."""
+        """key, size, sid, start and the part of each block in it: block, from, to (word numbers of the text), uses."""
         b = self.block_words
         uses = self.slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
         cut = self.rows.filter("size > 0").select(
-            "rid",
+            "key",
             "size",
             "sid",
             "start",
@@ -187,7 +194,7 @@ class Mix:
         )
         cut = cut.join(uses, ["sid", "block"])
         return cut.select(
-            "rid",
+            "key",
             "size",
             "sid",
             "start",
@@ -206,36 +213,56 @@ class Mix:
         )
 
 
+def _texts(text: str | None, size: int, blocks: list[dict]) -> list[str]:
+    """The text's rows in the mix: row k has the words of the blocks used at least k times."""
+    out, words = [], None
+    for k in range(1, max(b["uses"] for b in blocks) + 1):
+        spans = [(b["from"], b["to"]) for b in blocks if b["uses"] >= k]
+        if sum(y - x for x, y in spans) == size:
+            out.append(text or "")
+        else:
+            words = _WORDS.findall(text or "") if words is None else words
+            out.append(" ".join(w for x, y in spans for w in words[x:y]))
+    return out
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix as documents, with the columns of ``docs``.
 
     A document whose blocks are used up to ``r`` times gives ``r`` rows; row
     ``k`` holds the words of the blocks used at least ``k`` times, which is
     the unchanged text where that is all of them.  Documents of which the mix
-    takes nothing give no row.  ``n_chars``, if there, follows the text.  Ids
-    are expected to be unique: rows that share an id (or have none) all take
-    the blocks of the first of them in its source's stream.
+    takes nothing (so all without words, and with null text) give no row.
+    ``n_chars``, if there, follows the text.  Rows are told apart by a number
+    of their own, so those that share an id, or have none, each give what the
+    mix takes of them.
     """
-    mix = Mix(docs, id_col, text_col, source_col, **options)
-    used = mix.pieces().groupBy("rid", "sid", "start", "size").agg(F.sort_array(F.collect_list(F.struct("from", "to", "uses"))).alias("blocks"))
-    used = used.groupBy(F.col("rid").alias("__mix_id")).agg(F.min(F.struct("sid", "start", "size", "blocks")).alias("__mix"))
-    used = materialize(used.select("__mix_id", F.col("__mix.size").alias("__mix_size"), F.col("__mix.blocks").alias("__mix_blocks")), "mix-used")
-    rows = docs.join(used, F.col(id_col).eqNullSafe(F.col("__mix_id")))
-    rows = rows.withColumn("__mix_row", F.explode(F.sequence(F.lit(1), F.array_max("__mix_blocks.uses").cast("int"))))
-
-    @F.pandas_udf("string")
-    def part(texts, size, row, first, last, uses):
-        out = []
-        for t, n, k, a, b, u in zip(texts, size, row, first, last, uses, strict=True):
-            spans = [(x, y) for x, y, z in zip(a, b, u, strict=True) if z >= k]
-            if sum(y - x for x, y in spans) == n:
-                out.append(t)
-            else:
-                words = _WORDS.findall(t or "")
-                out.append(" ".join(w for x, y in spans for w in words[x:y]))
-        return pd.Series(out, dtype=object)
-
-    rows = rows.withColumn("__mix_text", part(F.col(text_col), "__mix_size", "__mix_row", "__mix_blocks.from", "__mix_blocks.to", "__mix_blocks.uses"))
-    text = F.col("__mix_text")
-    columns = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.select(columns)
+    bound_batches(docs)
+    numbered = materialize(docs.withColumn("__mix_key", F.monotonically_increasing_id()), "mix-input")
+    mix = Mix(numbered, id_col, text_col, source_col, key_col="__mix_key", **options)
+    used = mix.pieces().groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("from", "to", "uses"))).alias("blocks"))
+    used = used.select(F.col("key").alias("__mix_key"), F.col("size").alias("__mix_size"), F.col("blocks").alias("__mix_blocks"))
+    columns = docs.columns
+    rows = numbered.join(used, "__mix_key").select(*columns, "__mix_size", "__mix_blocks")
+    text_at, chars_at, names = columns.index(text_col), columns.index("n_chars") if "n_chars" in columns else -1, list(columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:  # about a million characters at once
+                rows, out, size = [], [], 0
+                while at < batch.num_rows and size < 1_000_000:
+                    got = _texts(batch.column(text_at)[at].as_py(), batch.column(len(names))[at].as_py(), batch.column(len(names) + 1)[at].as_py())
+                    rows += [at] * len(got)
+                    out += got
+                    size += sum(map(len, got))
+                    at += 1
+                some = batch.take(pa.array(rows, pa.int32()))
+                held = [some.column(i) for i in range(len(names))]
+                held[text_at] = pa.array(out, held[text_at].type)
+                if chars_at >= 0:
+                    held[chars_at] = pa.array([len(t) for t in out], pa.int64()).cast(held[chars_at].type)
+                yield pa.RecordBatch.from_arrays(held, names)
+            trim()
+
+    return rows.mapInArrow(cut, docs.schema)

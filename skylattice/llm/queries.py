@@ -44,8 +44,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "text")
-    return sentence_pieces.encode(docs).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), "n_tokens", "pieces", "round_trip")
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+    return sentence_pieces.encode(docs, keep=["doc_id", "n_chars"]).select("doc_id", "n_chars", "n_tokens", "pieces", "round_trip")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,23 @@
 """SentencePiece encoding and decoding as a max-plus parallel scan.
 
 The encoding of a text is its segmentation into pieces with the largest sum
-of scores.  Where no piece can cross (in front of every space mark, and around
-characters that occur in no longer piece) a text falls into *stretches* that
-are segmented on their own: their transfer matrices have one state.  Distinct
-stretches are segmented side by side, one lane each.  A stretch longer than a
-chunk is split into chunks of fixed length.  A chunk yields the matrix of best
-scores from each entry state to each exit state, a state being how far a piece
-reaches across the boundary; matrices combine associatively in the max-plus
-semiring, a prefix scan fixes the states at all boundaries, and every chunk is
-then traced back on its own.
+of scores.  Every text is cut into *chunks* of a fixed number of characters,
+wherever that falls.  A chunk yields its transfer matrix: the best score from
+each entry state to each exit state, a state being how far a piece reaches
+across the boundary.  Matrices combine associatively in the max-plus semiring,
+a prefix scan fixes the states at all boundaries, and every chunk is then
+traced back on its own.
+
+Inside a chunk no piece crosses certain places (in front of a space mark, and
+around characters that occur in no longer piece).  The *stretches* between
+them have one state, are the same in every chunk, and are segmented once a
+worker, side by side, one lane each; only the chunk's first and last stretch,
+which a boundary may cut, have more states.  A chunk without such a place has
+a full matrix, found with one lane for each entry state.
+
+Texts of several *segments* (runs of chunks) are shared by several tasks: a
+row for each segment gives its matrix, the matrices of a text are scanned, and
+the rows are traced with the states at their ends.
 
 The model file is read on the driver and its bytes travel with the task, so
 executors need no local copy.
@@ -21,7 +29,8 @@ import hashlib
 import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.text import list_array, trim
+from skylattice.llm.text import bound_batches, buffers, list_array, trim
+from skylattice.storage import broadcast_if_small, materialize
 
 #: The model file; any SentencePiece model without a normalisation table can be named instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,7 +50,10 @@ UNKNOWN = 10.0
 #: Scores are whole numbers of this unit, so that sums are exact.
 UNIT = 1e-6
 _NONE = -(1 << 60)
-_CACHE = 300_000
+#: Estimated bytes of segmented stretches that a worker keeps.
+_CACHE_BYTES = 24_000_000
+#: Characters handled at once.
+_BLOCK = 500_000
 _models: dict = {}
 
 
@@ -113,16 +126,21 @@ class Pieces:
         inside = {c for n, _, _ in usable if len(n) > 1 for c in n}
         alone = "".join(c for c in "\n\t\r" if c not in inside)
         marks = [n for n, _, _ in usable if MARK in n[1:]]
+        #: Places that no piece crosses: before a mark, or only before the first of several; beside ``alone``.
+        self.breaks, self.alone = "mark", alone
         if not marks:
             self.stretch = re.compile(f"{MARK}[^{MARK}{alone}]*|[{alone}]|[^{MARK}{alone}]+" if alone else f"{MARK}[^{MARK}]*|[^{MARK}]+")
         elif all(set(n) == {MARK} or MARK not in n.lstrip(MARK) for n in marks):
             self.stretch = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+            self.breaks, self.alone = "marks", ""
         else:
             self.stretch = re.compile("(?s).+")
+            self.breaks, self.alone = "", ""
         self.bytes = []
         for name, _, kind in pieces:
             self.bytes.append(b"" if kind == 3 else bytes([int(name[1:-1], 16)]) if kind == 6 else name.replace(MARK, " ").encode())
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, tuple[bytes, int]] = {}
+        self.cached = 0
 
     def _build(self, usable: list) -> None:
         edges: dict[tuple[int, int], int] = {}
@@ -228,95 +246,191 @@ class Pieces:
             end -= d
         return out[::-1]
 
-    def segment(self, texts: list[str], chunk: int) -> list[list[int]]:
-        """Pieces of each stretch."""
-        out: list = [None] * len(texts)
+    def breaks_at(self, text: str, at: int) -> bool:
+        """Whether no piece crosses the place in front of ``text[at]``."""
+        if at <= 0 or at >= len(text):
+            return True
+        before, here = text[at - 1], text[at]
+        if here == MARK and self.breaks:
+            return self.breaks == "mark" or before != MARK
+        return here in self.alone or before in self.alone
+
+    def solve(self, jobs: list[tuple[str, int, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Best scores, last steps and pieces at all positions for each (text, length, entry), in lanes of similar width."""
+        out: list = [None] * len(jobs)
         groups: dict[int, list[int]] = {}
-        for i, t in enumerate(texts):
-            if len(t) > chunk:
-                out[i] = self.scan(t, chunk)
-            else:
-                groups.setdefault(max(4, 1 << (len(t) - 1).bit_length()), []).append(i)
+        for i, (t, _, _) in enumerate(jobs):
+            groups.setdefault(max(4, 1 << max(0, len(t) - 1).bit_length()), []).append(i)
         for width, who in groups.items():
-            for at in range(0, len(who), max(1, (1 << 19) // width)):
-                part = who[at : at + max(1, (1 << 19) // width)]
-                length = np.array([len(texts[i]) for i in part])
+            width = min(width, max(len(jobs[i][0]) for i in who))
+            for at in range(0, len(who), max(1, (1 << 19) // max(1, width))):
+                part = [jobs[i] for i in who[at : at + max(1, (1 << 19) // max(1, width))]]
+                size = np.array([len(t) for t, _, _ in part])
                 code = np.full((len(part), width), -1, np.int64)
-                code[np.arange(width) < length[:, None]] = self.code("".join(texts[i] for i in part))
-                _, step, piece = self.lanes(code, length, np.zeros(len(part), np.int64))
-                for r, i in enumerate(part):
-                    out[i] = self.trace(texts[i], step[r], piece[r], len(texts[i]))
+                code[np.arange(width) < size[:, None]] = self.code("".join(t for t, _, _ in part))
+                got = self.lanes(code, np.array([n for _, n, _ in part]), np.array([e for _, _, e in part]))
+                for r in range(len(part)):
+                    out[who[at + r]] = tuple(x[r] for x in got)
         return out
 
-    def matrices(self, code: np.ndarray, chunk: int) -> np.ndarray:
-        """The transfer matrix of each chunk: best score from entry to exit state; the last chunk can only end at the end."""
-        k, n = self.longest, len(code)
-        cuts = range(0, n, chunk)
-        out = np.full((len(cuts), k, k), _NONE, np.int64)
-        for b, at in enumerate(cuts):
-            end = min(chunk, n - at)
-            entries = np.arange(min(k, end + 1))
-            window = np.tile(np.concatenate([code[at : at + end + k - 1], np.full(max(0, at + end + k - 1 - n), -1)]), (len(entries), 1))
-            best, _, _ = self.lanes(window, np.full(len(entries), end), entries)
-            reach = best[:, end : end + k]
-            out[b, : len(entries), : reach.shape[1]] = reach
-            for r in range(end, k):  # an entry beyond a short last chunk passes through
-                out[b, r, r - end] = 0
+    def remember(self, stretches: set[str]) -> None:
+        """Segment stretches that are not known yet."""
+        if self.cached > _CACHE_BYTES:
+            self.cache.clear()
+            self.cached = 0
+        new = [t for t in stretches if t not in self.cache]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for t, (best, step, piece) in zip(part, self.solve([(t, len(t), 0) for t in part]), strict=True):
+                ids = np.array(self.trace(t, step, piece, len(t)), "<i4").tobytes()
+                self.cache[t] = ids, int(best[len(t)])
+                self.cached += 200 + 2 * len(t) + len(ids)
+
+    def mark(self, text: str, first: bool) -> str:
+        """The text with marks for spaces; the model may put one in front of it."""
+        text = text.replace(" ", MARK)
+        return MARK + text if first and self.prefix and text else text
+
+    def chunks(self, before: str, body: str, after: str, size: int) -> list[Chunk]:
+        """The chunks of a marked segment; ``before`` and ``after`` are what the text has beside it."""
+        text, first = before + body + after, len(before)
+        out = []
+        for at in range(first, first + len(body), size):
+            end = min(at + size, first + len(body))
+            parts = self.stretch.findall(text, at, end)
+            head, tail = self.breaks_at(text, at), self.breaks_at(text, end)
+            beyond = text[end : end + self.longest - 1]
+            if head or tail or len(parts) > 1:
+                left = "" if head else parts.pop(0)
+                right = "" if tail or not parts else parts.pop()
+                out.append(Chunk(left, parts, right, "" if tail else beyond, False))
+            else:
+                out.append(Chunk("", [], parts[0], beyond, True))
         return out
 
-    def scan(self, text: str, chunk: int) -> list[int]:
-        """One long stretch through transfer matrices, their scan, and a trace of each chunk."""
-        chunk = max(chunk, self.longest)
-        code = self.code(text)
-        own = self.matrices(code, chunk)
-        prefix = max_plus_scan(own)
-        n = len(own)
-        states = [0] * (n + 1)  # the way ends exactly at the end of the text
-        for b in range(n - 1, 0, -1):
-            states[b] = int((prefix[b - 1][0] + own[b][:, states[b + 1]]).argmax())
-        out: list[int] = []
-        for b in range(n):
-            at = b * chunk
-            end = min(chunk, len(code) - at)
-            window = code[at : at + end + self.longest - 1][None, :]
-            _, step, piece = self.lanes(window, np.array([end]), np.array([states[b]]))
-            out += self.trace(text[at : at + end + self.longest], step[0], piece[0], end + states[b + 1], states[b])
+    def matrices(self, chunks: list[Chunk]) -> np.ndarray:
+        """The transfer matrix of each chunk; stretches must be known.  What the traces need stays in the chunks."""
+        k = self.longest
+        out = np.full((len(chunks), k, k), _NONE, np.int64)
+        jobs: list[tuple[str, int, int]] = []
+        spans = []
+        for c in chunks:
+            at = len(jobs)
+            if not c.whole:
+                if c.left:
+                    jobs += [(c.left, len(c.left), r) for r in range(min(k, len(c.left)))]
+                if c.right:
+                    jobs.append((c.right + c.beyond, len(c.right), 0))
+            spans.append((at, len(jobs)))
+        solved = self.solve(jobs)
+        for b, (c, (lo, hi)) in enumerate(zip(chunks, spans, strict=True)):
+            if c.whole:
+                continue
+            into, outof = np.full(k, _NONE, np.int64), np.full(k, _NONE, np.int64)
+            lanes = solved[lo:hi]
+            if c.right:
+                *lanes, c.last = lanes
+                reach = c.last[0][len(c.right) : len(c.right) + k]
+                outof[: len(reach)] = reach
+            else:
+                outof[0] = 0
+            c.first = lanes
+            for r, lane in enumerate(lanes):
+                into[r] = lane[0][len(c.left)]
+            if len(c.left) < k:  # a piece that ends where the first stretch does
+                into[len(c.left)] = 0
+            inner = sum([self.cache[p][1] for p in c.parts])
+            out[b] = np.maximum(into[:, None] + outof[None, :] + inner, _NONE)
+        whole = [b for b, c in enumerate(chunks) if c.whole]
+        for at in range(0, len(whole), 32):
+            some = whole[at : at + 32]
+            lanes = self.solve([(chunks[b].right + chunks[b].beyond, len(chunks[b].right), r) for b in some for r in range(min(k, len(chunks[b].right)))])
+            for b in some:
+                n = len(chunks[b].right)
+                for r in range(min(k, n)):
+                    reach = lanes.pop(0)[0][n : n + k]
+                    out[b, r, : len(reach)] = reach
+                for r in range(n, k):  # a piece that reaches beyond a short chunk passes through
+                    out[b, r, r - n] = 0
         return out
 
-    def encode(self, text: str, chunk: int) -> bytes:
-        """Piece numbers of a text, as 32-bit integers."""
-        if not text:
-            return b""
-        text = text.replace(" ", MARK)
-        parts = self.stretch.findall(MARK + text if self.prefix else text)
-        cache = self.cache
-        new = [p for p in set(parts) if p not in cache]
-        if new:
-            if len(cache) > _CACHE:
-                cache.clear()
-                new = list(set(parts))
-            for p, ids in zip(new, self.segment(new, chunk), strict=True):
-                cache[p] = np.array(ids, "<i4").tobytes()
-        return b"".join(map(cache.__getitem__, parts))
-
-    def warm(self, texts: list[str], chunk: int) -> None:
-        """Segment the stretches of many texts side by side."""
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        new: set[str] = set()
-        for t in texts:
-            t = t.replace(" ", MARK)
-            new.update(self.stretch.findall(MARK + t if self.prefix else t))
-        todo = [p for p in new if p not in self.cache]
-        for p, ids in zip(todo, self.segment(todo, chunk), strict=True):
-            self.cache[p] = np.array(ids, "<i4").tobytes()
+    def states(self, matrices: np.ndarray, entry: int = 0, leave: int = 0) -> list[int]:
+        """The states at all boundaries of a run of chunks on its best way from ``entry`` to ``leave``."""
+        n = len(matrices)
+        out = [entry] + [leave] * n
+        if n > 1:
+            prefix = max_plus_scan(matrices)
+            for b in range(n - 1, 0, -1):
+                out[b] = int((prefix[b - 1][entry] + matrices[b][:, out[b + 1]]).argmax())
+        return out
+
+    def traces(self, chunks: list[Chunk], states: list[int]) -> list[bytes]:
+        """The pieces of each chunk, given the states at its ends."""
+        whole = [b for b, c in enumerate(chunks) if c.whole and states[b] < len(c.right)]
+        lanes = {}
+        for at in range(0, len(whole), 32):
+            some = whole[at : at + 32]
+            lanes |= zip(some, self.solve([(chunks[b].right + chunks[b].beyond, len(chunks[b].right), states[b]) for b in some]), strict=True)
+        out = []
+        for b, c in enumerate(chunks):
+            ids: list[bytes] = []
+            if c.whole:
+                if b in lanes:
+                    _, step, piece = lanes[b]
+                    ids.append(_ids(self.trace(c.right + c.beyond, step, piece, len(c.right) + states[b + 1], states[b])))
+            else:
+                if states[b] < len(c.left):
+                    _, step, piece = c.first[states[b]]
+                    ids.append(_ids(self.trace(c.left, step, piece, len(c.left), states[b])))
+                ids += [self.cache[p][0] for p in c.parts]
+                if c.right:
+                    _, step, piece = c.last
+                    ids.append(_ids(self.trace(c.right + c.beyond, step, piece, len(c.right) + states[b + 1])))
+            out.append(b"".join(ids))
+        return out
+
+    def encode_block(self, texts: list[str], size: int) -> list[bytes]:
+        """Piece numbers of whole texts, as 32-bit integers."""
+        chunks = [self.chunks("", self.mark(t, True), "", size) for t in texts]
+        self.remember({p for own in chunks for c in own for p in c.parts})
+        matrices = self.matrices([c for own in chunks for c in own])
+        out, at = [], 0
+        for own in chunks:
+            states = self.states(matrices[at : at + len(own)])
+            out.append(b"".join(self.traces(own, states)))
+            at += len(own)
+        return out
+
+    def plain(self, ids) -> bytes:
+        """The bytes of piece numbers inside a text."""
+        return b"".join(map(self.bytes.__getitem__, ids))
 
     def decode(self, ids) -> bytes:
         """The UTF-8 text of piece numbers."""
-        out = b"".join(map(self.bytes.__getitem__, ids))
+        out = self.plain(ids)
         return out[1:] if self.prefix and out[:1] == b" " else out
 
 
+@dataclass(slots=True)
+class Chunk:
+    """A chunk: its first stretch if the boundary cuts it, the stretches inside, its last one if cut, and what follows.
+
+    ``whole`` chunks lie inside one stretch, which is ``right``.
+    """
+
+    left: str
+    parts: list[str]
+    right: str
+    beyond: str
+    whole: bool
+    first: list = field(default_factory=list)
+    last: tuple | None = None
+
+
+def _ids(pieces: list[int]) -> bytes:
+    return np.array(pieces, "<i4").tobytes()
+
+
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus products of matrices (or of stacks of them)."""
     return np.maximum((a[..., :, :, None] + b[..., None, :, :]).max(axis=-2), _NONE)
@@ -343,52 +457,167 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, scores: str = "auto", chunk: int = 2048) -> DataFrame:
-    """``docs`` with pieces (array of int), n_tokens and round_trip.
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Blocks of texts and where they start; null counts as empty."""
+    at, held, size = 0, [], 0
+    for r in range(len(column)):
+        text = column[r].as_py() or ""
+        if held and size + len(text) > _BLOCK:
+            yield at, held
+            at, held, size = r, [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield at, held
+
+
+def _lists(blobs: list[bytes]) -> pa.ListArray:
+    counts = np.array([len(b) // 4 for b in blobs], np.int64)
+    return list_array(np.frombuffer(b"".join(blobs), np.int32), np.concatenate([[0], np.cumsum(counts)]))
+
+
+def _cut(column: pa.Array, segment: int, reach: int) -> Iterator[tuple[int, int, str, str, str]]:
+    """(row, segment number, character before, text, characters after) of texts in segments of about ``segment`` bytes."""
+    data, off = buffers(column)
+    for r in range(len(column)):
+        lo, hi = int(off[r]), int(off[r + 1])
+        cuts = [lo]
+        while hi - cuts[-1] > segment:
+            at = cuts[-1] + segment
+            while data[at] & 0xC0 == 0x80:  # inside a character
+                at -= 1
+            cuts.append(at)
+        cuts.append(hi)
+        for k in range(len(cuts) - 1):
+            body = data[cuts[k] : cuts[k + 1]].tobytes().decode()
+            before = data[max(lo, cuts[k] - 4) : cuts[k]].tobytes().decode("utf-8", "ignore")[-1:]
+            after = data[cuts[k + 1] : min(hi, cuts[k + 1] + 4 * reach)].tobytes().decode("utf-8", "ignore")[:reach]
+            yield r, k, before, body, after
+
+
+def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, scores: str = "auto", chunk: int = 2048, segment: int = 1 << 16, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns in ``keep``) with pieces (array of int), n_tokens and round_trip.
 
     Null and empty text have no pieces.  round_trip says whether decoding
     gives back the text; it does unless the text holds the space mark itself,
-    which SentencePiece cannot tell from a space.  Columns of these names are
-    replaced; an empty table gives none.
+    which SentencePiece cannot tell from a space.  Of segmentations with one
+    score any may be given.  Columns of these names are replaced; an empty
+    table gives none.  ``chunk`` counts characters; a text of more than
+    ``segment`` bytes is shared by several tasks.
     """
+    bound_batches(docs)
     model = read_model(model_path)
+    longest = load(model, scores).longest
+    chunk = max(chunk, longest)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("pieces", "n_tokens", "round_trip")]
+    schema = docs.select(keep).schema.add("pieces", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
+    rows = docs.select(F.col(text_col).alias("__text"), *keep)
+    several = F.coalesce(F.octet_length("__text") > segment, F.lit(False))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model, scores)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            i = 0
-            while i < len(texts):  # about a million characters at once
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 1_000_000):
-                    size += len(texts[j])
-                    j += 1
-                pieces.warm(texts[i:j], chunk)
-                blobs, same = [], []
-                for t in texts[i:j]:
-                    blob = pieces.encode(t, chunk)
-                    blobs.append(blob)
-                    same.append(pieces.decode(np.frombuffer(blob, "<i4").tolist()) == t.encode())
-                counts = np.array([len(b) // 4 for b in blobs])
-                ids = list_array(np.frombuffer(b"".join(blobs), np.int32), np.concatenate([[0], np.cumsum(counts)]))
-                rest = [batch.column(c).slice(i, j - i) for c in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, ids, pa.array(counts, pa.int64()), pa.array(same)], [*batch.schema.names[1:], "pieces", "n_tokens", "round_trip"])
-                i = j
+            for at, texts in _texts(batch.column(0)):
+                blobs = pieces.encode_block(texts, chunk)
+                same = [pieces.decode(np.frombuffer(b, "<i4").tolist()) == t.encode() for b, t in zip(blobs, texts, strict=True)]
+                rest = [batch.column(c).slice(at, len(texts)) for c in range(1, batch.num_columns)]
+                out = [*rest, _lists(blobs), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(out, schema.names)
             trim()
 
-    keep = [c for c in docs.columns if c not in ("pieces", "n_tokens", "round_trip")]
-    rows = docs.select(F.col(text_col).alias("__text"), *keep)
-    schema = docs.select(keep).schema.add("pieces", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
-    return rows.mapInArrow(kernel, schema)
+    short = rows.filter(~several).mapInArrow(kernel, schema)
+    long = _encode_segments(rows.filter(several), keep, lambda: load(model, scores), longest, chunk, segment)
+    return short if long is None else short.unionByName(long)
+
+
+def _encode_segments(rows: DataFrame, keep: list[str], pieces_of: Callable[[], Pieces], longest: int, chunk: int, segment: int) -> DataFrame | None:
+    """The same for texts of several segments, each a row of its own; None if there are none."""
+    rows = rows.select(F.monotonically_increasing_id().alias("key"), F.struct(F.lit(0).alias("__none"), *[F.col(c) for c in keep]).alias("row"), "__text")
+    head = T.StructType([T.StructField("key", T.LongType()), T.StructField("seg", T.IntegerType())])
+    cut_schema = T.StructType([*head.fields, *(T.StructField(c, T.StringType()) for c in ("before", "body", "after")), T.StructField("row", rows.schema["row"].dataType)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            for part in _cut(batch.column(2), segment, longest):
+                held.append(part)
+                if len(held) * segment >= 8 * _BLOCK:
+                    yield cut_rows(batch, held)
+                    held = []
+            if held:
+                yield cut_rows(batch, held)
+            trim()
+
+    def cut_rows(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        # the other columns travel with the first segment only
+        own = pa.array([r if k == 0 else None for r, k, *_ in held], pa.int32())
+        columns = [batch.column(0).take(pa.array([h[0] for h in held], pa.int32())), *(pa.array([h[i] for h in held], kind) for i, kind in ((1, pa.int32()), (2, pa.string()), (3, pa.string()), (4, pa.string())))]
+        return pa.RecordBatch.from_arrays([*columns, batch.column(1).take(own)], cut_schema.names)
+
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = materialize(rows.mapInArrow(cut, cut_schema).repartition(spread, "key", "seg"), "piece-segments")
+    if cuts.isEmpty():
+        return None
+
+    def open_segments(batch: pa.RecordBatch, first: int) -> Iterator[tuple[int, list[Chunk], np.ndarray]]:
+        pieces = pieces_of()
+        for r in range(batch.num_rows):
+            before, body, after = (batch.column(first + i)[r].as_py() for i in range(3))
+            start = batch.column(1)[r].as_py() == 0
+            chunks = pieces.chunks(pieces.mark(before, False), pieces.mark(body, start), pieces.mark(after, False), chunk)
+            pieces.remember({p for c in chunks for p in c.parts})
+            yield r, chunks, pieces.matrices(chunks)
+
+    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [max_plus_scan(m)[-1].astype("<i8").tobytes() for _, _, m in open_segments(batch, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["key", "seg", "matrix"])
+            trim()
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seg")
+        m = np.stack([np.frombuffer(x.as_py(), "<i8").reshape(longest, longest) for x in table.column("matrix")])
+        s = pieces_of().states(m)
+        return pa.table({"key": table.column("key"), "seg": table.column("seg"), "entry": pa.array(s[:-1], pa.int32()), "leave": pa.array(s[1:], pa.int32())})
+
+    matrices = cuts.select("key", "seg", "before", "body", "after").mapInArrow(transfer, "key long, seg int, matrix binary")
+    # a text's matrices are 2 KB a segment, so at most some 64 MB for the longest text that a row can hold
+    states = materialize(matrices.groupBy("key").applyInArrow(scan, "key long, seg int, entry int, leave int"), "piece-states")
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of()
+        for batch in batches:
+            blobs, same = [], []
+            for r, chunks, m in open_segments(batch, 4):
+                entry, leave = batch.column(2)[r].as_py(), batch.column(3)[r].as_py()
+                blobs.append(b"".join(pieces.traces(chunks, pieces.states(m, entry, leave))))
+                start = batch.column(1)[r].as_py() == 0
+                text = batch.column(5)[r].as_py() + batch.column(6)[r].as_py()[:leave]
+                ids = np.frombuffer(blobs[-1], "<i4").tolist()
+                same.append((pieces.decode(ids) if start else pieces.plain(ids)) == text[entry:].encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(blobs), pa.array(same, pa.bool_())], ["key", "seg", "pieces", "same"])
+            trim()
+
+    found = cuts.select("key", "seg", "before", "body", "after").join(broadcast_if_small(states), ["key", "seg"])
+    found = found.select("key", "seg", "entry", "leave", "before", "body", "after").mapInArrow(trace, "key long, seg int, pieces array<int>, same boolean")
+    found = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seg", "pieces"))).alias("parts"), F.min("same").alias("same"))
+    found = found.select("key", F.flatten("parts.pieces").alias("pieces"), "same")
+    out = cuts.filter("seg = 0").select("key", "row").join(found, "key")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "pieces", F.size("pieces").cast("long").alias("n_tokens"), F.col("same").alias("round_trip"))
 
 
 def decode(table: DataFrame, pieces_col: str = "pieces", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
     """``table`` with the text of its pieces; null pieces give null."""
     model = read_model(model_path)
+    keep = [c for c in table.columns if c != text_col]
+    at = keep.index(pieces_col)
 
-    @F.pandas_udf("string")
-    def text(column):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model, "auto")
-        return column.map(lambda ids: None if ids is None else pieces.decode(list(ids)).decode("utf-8", "replace"))
+        for batch in batches:
+            out = [None if ids is None else pieces.decode(ids).decode("utf-8", "replace") for ids in (x.as_py() for x in batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*keep, text_col])
+            trim()
 
-    return table.withColumn(text_col, text(F.col(pieces_col)))
+    rows = table.select(*keep)
+    return rows.mapInArrow(kernel, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))

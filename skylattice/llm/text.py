@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once; one longer text is handled alone.
 BLOCK = 1 << 20
@@ -48,6 +49,17 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def bound_batches(df: DataFrame, mb: int = 4) -> None:
+    """Let Arrow batches hold at most ``mb`` megabytes, unless the session has its own bound.
+
+    Spark's default is 64 MB, which a task holds several times over: while the
+    vectors grow, on their way to Python, and there.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("64MB", "67108864b", "67108864"):
+        conf.set(key, f"{mb}m")
+
+
 def trim() -> None:
     """Give memory that is free again back to the system, so that workers stay small between batches."""
     pa.default_memory_pool().release_unused()

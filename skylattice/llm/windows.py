@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.text import BLOCK, blocks, buffers, mix, powers, rolling, word_bounds, word_hashes
+from skylattice.llm.text import BLOCK, blocks, bound_batches, buffers, mix, powers, rolling, word_bounds, word_hashes
 from skylattice.storage import BROADCAST_BYTES, broadcast_if_small, estimated_bytes, materialize
 
 _POS = np.uint64((1 << 24) - 1)
@@ -101,6 +101,7 @@ class Windows:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, units: Callable, resolve: Callable, width: int, k: int):
         self.units, self.resolve, self.width, self.k = units, resolve, width, k
+        bound_batches(docs)
         if width - k + 1 > 62:
             raise ValueError("a run's windows must fit a 63-bit mask")
         text = F.coalesce(F.col(text_col), F.lit(""))

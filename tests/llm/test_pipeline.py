@@ -87,8 +87,21 @@ def test_every_stage_takes_every_row(spark, kind):
         out = stage(spark, docs, "")
         if name != "sentence_pieces":
             assert out.columns == docs.columns
-        n = out.count()
-        assert n if data else not n
+        got = Counter((r.doc_id, r.text) for r in out.select("doc_id", "text").collect()) if name != "sentence_pieces" else out.count()
+        want = Counter((r[0], r[1]) for r in data)
+        if name == "language_id":  # rows without a letter go, clean ones stay
+            assert got == Counter({k: n for k, n in want.items() if k[1] and any(map(str.isalpha, k[1]))})
+        elif name == "exact_dedup":
+            best = {}
+            for i, t in want:
+                best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+            assert Counter((-1 if i is None else i, t or "") for i, t in got.elements()) == Counter((i, t) for t, i in best.items())
+        elif name == "near_dedup":
+            assert {t for _, t in got} == {t for _, t in want} and all(n <= want[k] for k, n in got.items())
+        elif name == "mixing":
+            assert {i for i, _ in got} <= {i for i, t in want if t and t.strip()} and sum(got.values()) >= (1 if data else 0)
+        else:
+            assert got == len(data)
     assert name == "sentence_pieces"
 
 

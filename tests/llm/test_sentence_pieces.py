@@ -49,24 +49,55 @@ def total(p: sp.Pieces, ids: list[int]) -> int:
     return out
 
 
-@pytest.mark.parametrize("chunk", [16, 37, 4096])
+@pytest.mark.parametrize("chunk", [48, 61, 4096])
 def test_best_score_and_round_trip(pieces, chunk):
     rng = random.Random(3)
     texts = TEXTS + ["".join(rng.choice("etaoin shrdlu\né中") for _ in range(n)) for n in (1, 5, 60, 300)]
     for t in texts:
         pieces.cache.clear()
-        ids = np.frombuffer(pieces.encode(t, chunk), "<i4").tolist()
+        ids = np.frombuffer(pieces.encode_block([t], chunk)[0], "<i4").tolist()
         assert pieces.decode(ids) == t.encode()
         assert total(pieces, ids) == plain(pieces, t)
 
 
-def test_giant_stretch_equals_one_lane(pieces):
+@pytest.mark.parametrize("letters", ["etaoinshrdlucmfwyp", "aab\U0001f600中 "])
+def test_giant_stretch(pieces, letters):
+    """A text without a break has full matrices; the best score is that of one long scan."""
     rng = random.Random(5)
-    text = "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(3000))
-    one = pieces.segment([text], 4096)[0]
-    score = dict(zip(pieces.ids.tolist(), pieces.score.tolist(), strict=True))
-    for chunk in (16, 100, 999):
-        assert sum(score[i] for i in pieces.scan(text, chunk)) == sum(score[i] for i in one)
+    text = "".join(rng.choice(letters) for _ in range(1500))
+    for chunk in (pieces.longest, 100, 999):
+        ids = np.frombuffer(pieces.encode_block([text], chunk)[0], "<i4").tolist()
+        assert total(pieces, ids) == plain(pieces, text) and pieces.decode(ids) == text.encode()
+
+
+def test_every_chunk_has_a_matrix(pieces):
+    """Ordinary texts go through chunk matrices too, and chunk products are what one chunk gives."""
+    text = pieces.mark("the thing that ering onheed with naïve words " * 30, True)
+    one = pieces.chunks("", text, "", 1 << 20)
+    many = pieces.chunks("", text, "", 100)
+    assert len(one) == 1 and len(many) == -(-len(text) // 100) and not any(c.whole for c in many)
+    assert "".join(c.left + "".join(c.parts) + c.right for c in many) == text
+    pieces.remember({p for c in one + many for p in c.parts})
+    assert (sp.max_plus_scan(pieces.matrices(many))[-1][0, 0] == pieces.matrices(one)[0, 0, 0]).all()
+
+
+def test_segments_are_shared_by_tasks(spark, pieces):
+    """Texts of several segments: rows, a scan of their matrices, and traces give the best score again."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("etaoin shrdlu\né中") for _ in range(900)), "x" * 700, "", "short", "\U0001f600 é" * 200, "the thing " * 90]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts + texts[:1])], "doc_id long, text string, row string")
+    got = sp.encode(docs, chunk=50, segment=256).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert r.round_trip and r.row == "a" and pieces.decode(r.pieces) == r.text.encode() and r.n_tokens == len(r.pieces)
+        assert total(pieces, r.pieces) == plain(pieces, r.text)
+
+
+def test_small_cache(pieces, monkeypatch):
+    monkeypatch.setattr(sp, "_CACHE_BYTES", 100)
+    texts = ["the thing", "a thing", "that thing"]
+    got = [pieces.encode_block([t], 64)[0] for t in texts]
+    assert got == pieces.encode_block(texts, 64)
 
 
 def test_scan_is_associative():
@@ -82,7 +113,7 @@ def test_against_the_library(pieces):
     """No segmentation of the library scores better, and both decode alike."""
     lib = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
     for t in ["Hello world", "the thing", "internationalisation of words", "erenenst thaner ing that", "éléphant", "a\nb"]:
-        ids = np.frombuffer(pieces.encode(t, 64), "<i4").tolist()
+        ids = np.frombuffer(pieces.encode_block([t], 64)[0], "<i4").tolist()
         assert total(pieces, ids) >= total(pieces, lib.encode(t))
         assert lib.decode(ids) == t == pieces.decode(lib.encode(t)).decode()
 
