@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed texts as pieces."""
-    return sentence_pieces.encode(docs).select("doc_id", "source", "pieces", "n_tokens", "round_trip")
+    return sentence_pieces.encode(docs, keep=["doc_id", "source"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
