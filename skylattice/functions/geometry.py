@@ -1,6 +1,8 @@
 """Plane and pose geometry as column expressions.
 
-A 3x3 matrix is a list of nine columns or numbers, row by row.
+A 3x3 matrix is a list of nine columns or numbers, row by row.  Where a
+denominator is zero (a point at infinity, the pole of a lens, a frame without
+width) the result is null.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ def _c(x: Value) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def _over(a: Value, b: Value) -> Column:
+    return F.try_divide(_c(a), _c(b))
+
+
 def normalized_to_pixel(x: Column, y: Column, width: Value, height: Value) -> tuple[Column, Column]:
     """Coordinates from the centre in units of the longer side, as pixels."""
     side = F.greatest(_c(width), _c(height))
@@ -27,14 +33,14 @@ def normalized_to_pixel(x: Column, y: Column, width: Value, height: Value) -> tu
 
 def rescale(x: Column, y: Column, size: tuple[Value, Value], to: tuple[Value, Value]) -> tuple[Column, Column]:
     """Pixels of one frame size as pixels of another."""
-    return x * _c(to[0]) / _c(size[0]), y * _c(to[1]) / _c(size[1])
+    return _over(x * _c(to[0]), size[0]), _over(y * _c(to[1]), size[1])
 
 
 def apply_homography(m: Sequence[Value], x: Column, y: Column) -> tuple[Column, Column]:
-    """A homogeneous transform with perspective divide."""
+    """A homogeneous transform with perspective divide; null on the line that goes to infinity."""
     h = [_c(v) for v in m]
     w = h[6] * x + h[7] * y + h[8]
-    return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
+    return _over(h[0] * x + h[1] * y + h[2], w), _over(h[3] * x + h[4] * y + h[5], w)
 
 
 def pad_affine(m: Sequence[Value]) -> list[Value]:
@@ -44,25 +50,25 @@ def pad_affine(m: Sequence[Value]) -> list[Value]:
 
 def conjugate_resize(m: Sequence[Value], source: tuple[Value, Value], target: tuple[Value, Value], work: tuple[Value, Value]) -> list[Column]:
     """A transform between work frames as one between full frames: inv(S_target) * M * S_source."""
-    sx, sy = _c(work[0]) / _c(source[0]), _c(work[1]) / _c(source[1])
-    tx, ty = _c(work[0]) / _c(target[0]), _c(work[1]) / _c(target[1])
+    sx, sy = _over(work[0], source[0]), _over(work[1], source[1])
+    tx, ty = _over(target[0], work[0]), _over(target[1], work[1])
     h = [_c(v) for v in m]
-    rows = ([1 / tx] * 3, [1 / ty] * 3, [F.lit(1.0)] * 3)
+    rows = ([tx] * 3, [ty] * 3, [F.lit(1.0)] * 3)
     columns = (sx, sy, F.lit(1.0)) * 3
     return [h[i] * r * c for i, (r, c) in enumerate(zip([x for row in rows for x in row], columns, strict=True))]
 
 
 def undistort(x: Column, y: Column, k: Value, center: tuple[Value, Value], scale: Value) -> tuple[Column, Column]:
-    """The division model: c + d / (1 + k r^2), r in units of ``scale``."""
+    """The division model: c + d / (1 + k r^2), r in units of ``scale``; null at the pole."""
     dx, dy = x - _c(center[0]), y - _c(center[1])
-    f = 1 + _c(k) * (dx * dx + dy * dy) / (_c(scale) * _c(scale))
-    return _c(center[0]) + dx / f, _c(center[1]) + dy / f
+    f = 1 + _over(_c(k) * (dx * dx + dy * dy), _c(scale) * _c(scale))
+    return _c(center[0]) + _over(dx, f), _c(center[1]) + _over(dy, f)
 
 
 def distort(x: Column, y: Column, k: Value, center: tuple[Value, Value], scale: Value) -> tuple[Column, Column]:
     """Its first-order inverse: c + d * (1 - k r^2)."""
     dx, dy = x - _c(center[0]), y - _c(center[1])
-    f = 1 - _c(k) * (dx * dx + dy * dy) / (_c(scale) * _c(scale))
+    f = 1 - _over(_c(k) * (dx * dx + dy * dy), _c(scale) * _c(scale))
     return _c(center[0]) + dx * f, _c(center[1]) + dy * f
 
 
@@ -76,30 +82,42 @@ def determinant(m: Sequence[Value]) -> Column:
 
 
 def degenerate(m: Sequence[Value], width: Value, height: Value) -> Column:
-    """Whether a homography nearly collapses the plane or has strong perspective."""
-    px, py = _c(m[6]) / _c(m[8]), _c(m[7]) / _c(m[8])
-    return (F.abs(determinant(m)) < 1e-9) | (F.abs(px) * _c(width) > 0.5) | (F.abs(py) * _c(height) > 0.5)
+    """Whether a homography nearly collapses the plane or has strong perspective; one that sends the origin to infinity does."""
+    px, py = _over(m[6], m[8]), _over(m[7], m[8])
+    return F.coalesce((F.abs(determinant(m)) < 1e-9) | (F.abs(px) * _c(width) > 0.5) | (F.abs(py) * _c(height) > 0.5), F.lit(True))
 
 
 def decompose_affine(m: Sequence[Value]) -> dict[str, Column]:
-    """rotation (degrees), scale (mean of the singular values), anisotropy, reflection of a 2x2 part (a, b, c, d)."""
+    """rotation (degrees), scale (mean of the singular values), anisotropy, reflection of a 2x2 part (a, b, c, d).
+
+    The rotation is the angle of the first column of the nearest orthogonal
+    matrix, which with a reflection is no rotation.
+    """
     a, b, c, d = (_c(v) for v in m)
+    mirror = a * d - b * c < 0
     q, r = F.sqrt((a + d) ** 2 + (c - b) ** 2), F.sqrt((a - d) ** 2 + (c + b) ** 2)
     s1, s2 = (q + r) / 2, F.abs(q - r) / 2
     return {
-        "rotation": F.degrees(F.atan2(c - b, a + d)),
+        "rotation": F.degrees(F.when(mirror, F.atan2(c + b, a - d)).otherwise(F.atan2(c - b, a + d))),
         "scale": (s1 + s2) / 2,
         "anisotropy": F.when(s2 <= 1e-9, F.lit(float("inf"))).otherwise(s1 / s2),
-        "reflection": a * d - b * c < 0,
+        "reflection": mirror,
     }
 
 
+def affine_warnings(parts: dict[str, Column], scale: tuple[float, float] = (0.3, 3.0), rotation: float = 25.0, anisotropy: float = 1.6) -> Column:
+    """What is out of range in a decomposition: an array of scale, rotation, anisotropy and reflection."""
+    found = (("scale", ~parts["scale"].between(*scale)), ("rotation", F.abs(parts["rotation"]) > rotation), ("anisotropy", parts["anisotropy"] > anisotropy), ("reflection", parts["reflection"]))
+    return F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in found)))
+
+
 def focal_from_35mm(focal: Value, width: Value, height: Value) -> Column:
     return _c(focal) * F.greatest(_c(width), _c(height)) / 36.0
 
 
 def focal_from_hfov(degrees: Value, width: Value) -> Column:
-    return _c(width) / (2 * F.tan(F.radians(_c(degrees)) / 2))
+    """Null for a field of view of 0."""
+    return _over(width, 2 * F.tan(F.radians(_c(degrees)) / 2))
 
 
 def focal_from_plane(focal_mm: Value, resolution: Value, unit: Value) -> Column:
@@ -167,3 +185,36 @@ def lat_lon_to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Colu
     east = eta + sum((c * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, c in enumerate(alpha[1:], 2)), alpha[0] * F.cos(2 * xi) * F.sinh(2 * eta))
     north = xi + sum((c * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, c in enumerate(alpha[1:], 2)), alpha[0] * F.sin(2 * xi) * F.cosh(2 * eta))
     return 500000 + k0 * big * east, k0 * big * north + F.when(zone >= 32700, 10_000_000.0).otherwise(0.0)
+
+
+def ecef_to_geodetic(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Latitude, longitude (degrees) and height above the WGS 84 ellipsoid of earth-centred metres.
+
+    Fixed-point steps from the spherical start; three of them are exact to a
+    micrometre for heights of aircraft.
+    """
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    p = F.sqrt(x * x + y * y)
+    beta = F.atan2(z, p * (1 - f))
+    for _ in range(3):
+        lat = F.atan2(z + e2 / (1 - e2) * a * (1 - f) * F.pow(F.sin(beta), 3), p - e2 * a * F.pow(F.cos(beta), 3))
+        beta = F.atan2((1 - f) * F.sin(lat), F.cos(lat))
+    n = a / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
+    # along the normal, which holds at the poles too
+    height = p * F.cos(lat) + (z + e2 * n * F.sin(lat)) * F.sin(lat) - n
+    return F.degrees(lat), F.degrees(F.atan2(y, x)), height
+
+
+def ecef_to_utm(x: Column, y: Column, z: Column, zone: Column | int) -> tuple[Column, Column, Column]:
+    """Easting, northing and height of earth-centred metres; ``zone`` is an EPSG code 326xx or 327xx."""
+    lat, lon, height = ecef_to_geodetic(x, y, z)
+    east, north = lat_lon_to_utm(lat, lon, zone if isinstance(zone, Column) else F.lit(zone))
+    return east, north, height
+
+
+def ground_point(x: Value, y: Value, z: Value, altitude: Value = 56.3) -> tuple[Column, Column, Column]:
+    """The point ``altitude`` below a camera centre, towards the centre of the earth; null for a centre at 0."""
+    r = F.sqrt(_c(x) * _c(x) + _c(y) * _c(y) + _c(z) * _c(z))
+    k = 1 - _over(altitude, r)
+    return _c(x) * k, _c(y) * k, _c(z) * k

@@ -8,7 +8,7 @@ the longest path, not with its length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skylattice.storage import drop, materialize
@@ -22,12 +22,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     table gives an empty result; other columns are not read.
     """
     valid = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    e = valid.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = materialize(e, "cc")
-    stamp = _stamp(e)
+    e, stamp = _written(valid.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     for _ in range(max_rounds):
-        nxt = materialize(_small_star(_large_star(e)), "cc")
-        new = _stamp(nxt)
+        nxt, new = _written(_small_star(_large_star(e)))
         drop(e)
         e = nxt
         if new == stamp:
@@ -49,7 +46,6 @@ def _large_star(e: DataFrame) -> DataFrame:
         .join(low, "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(loops)
-        .distinct()
     )
 
 
@@ -59,6 +55,10 @@ def _small_star(e: DataFrame) -> DataFrame:
     return low.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
 
 
-def _stamp(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _written(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written to the shared folder, and their count and hash, which are taken on the way."""
+    seen = Observation()
+    e = e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    e = materialize(e, "cc")
+    found = seen.get
+    return e, (found.get("n", 0), found.get("h"))

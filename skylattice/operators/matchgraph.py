@@ -97,6 +97,22 @@ def reachable(tracks: DataFrame, available: DataFrame | None = None) -> DataFram
     return shared.withColumn("rank", F.row_number().over(w)).select("a", "b", "shared", "rank")
 
 
+def by_inliers(fits: DataFrame, available: DataFrame | None = None) -> DataFrame:
+    """``fits`` (target, source, inliers) with rank: most inliers first, ties by image number; sources without an output are left out."""
+    if available is not None:
+        fits = fits.join(available.select(F.col("image").alias("source")), "source", "left_semi")
+    w = Window.partitionBy("target").orderBy(F.desc("inliers"), F.col("source").try_cast("long"), F.col("source"))
+    return fits.withColumn("rank", F.row_number().over(w))
+
+
+def fragmentation(edges: DataFrame, nodes: DataFrame, top: int = 10) -> DataFrame:
+    """component, size, share, fragmented of the ``top`` largest components; fragmented: the largest holds under half of all images."""
+    sizes = component_sizes(edges, nodes)
+    total = sizes.agg(F.sum("size").alias("n"), F.max("size").alias("most"))
+    out = sizes.join(F.broadcast(total)).select("component", "size", F.try_divide("size", "n").alias("share"), (2 * F.col("most") < F.col("n")).alias("fragmented"))
+    return out.orderBy(F.desc("size"), "component").limit(top)
+
+
 def component_sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """component, size over all nodes; a node without edges is its own component.  ``a``, ``b`` and ``node`` are integers."""
     label = connected_components(edges)

@@ -54,3 +54,18 @@ def exact_median(df: DataFrame, value: str) -> float | None:
         return None
     middle = number_rows(rows, [value], "pos", 0).filter(F.col("pos").isin([(n - 1) // 2, n // 2]))
     return middle.agg(F.avg(value)).first()[0]
+
+
+def random_sample(df: DataFrame, k: int, keys: list[str], seed: int = 0) -> DataFrame:
+    """``k`` rows without replacement, the same in every run: those with the smallest seeded hashes of ``keys``."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(k)
+
+
+def middle_row(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """The row at position n // 2 (from 0) in ``order``; none of an empty table."""
+    return number_rows(df, order, "pos", 0).filter(F.col("pos") == df.count() // 2).drop("pos")
+
+
+def first_rows(df: DataFrame, order: list[Column | str], k: int = 10) -> DataFrame:
+    """The first ``k`` rows in ``order``, as a partial top-k a task."""
+    return df.orderBy(*order).limit(k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,18 +27,20 @@ def extract_id(name: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two strings."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
-    return F.size(same)
+    """Length of the common prefix of two strings, in one pass over their characters."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, F.lit(False))
+    # empty strings split into one empty part
+    return F.least(F.when(first > 0, first - 1).otherwise(F.size(same)), F.length(a), F.length(b)).cast("int")
 
 
 def auto_threshold(sizes: DataFrame, col: str) -> DataFrame:
     """One row, threshold: the geometric mean around the largest ratio of neighbouring distinct sizes.
 
-    The first of equal ratios wins; fewer than two sizes give no row.
+    The first of equal ratios wins; fewer than two sizes give no row.  Sizes
+    that are null or not positive (unread images) take no part.
     """
-    distinct = number_rows(sizes.select(F.col(col).cast("double").alias("p")).filter(F.col("p").isNotNull()).distinct(), ["p"])
+    distinct = number_rows(sizes.select(F.col(col).cast("double").alias("p")).filter(F.col("p") > 0).distinct(), ["p"])
     after = distinct.select((F.col("rn") - 1).alias("rn"), F.col("p").alias("nx"))
     pairs = distinct.join(after, "rn")
     best = pairs.agg(F.max_by(F.struct("p", "nx"), F.struct(F.col("nx") / F.col("p"), -F.col("p"))).alias("b"))
@@ -141,6 +145,28 @@ def unmatched(files: DataFrame, pairs: DataFrame, name: str, side: str) -> DataF
     return files.join(pairs.select(F.col(side).alias(name)), name, "left_anti").select(F.lit(side).alias("side"), name)
 
 
+def parse_output(path: Column, suffix: str) -> Column:
+    """The image number in an output's name, ``<idx><suffix>``; null for other names."""
+    return F.nullif(F.regexp_extract(path, r"([^/\\]+)" + re.escape(suffix) + "$", 1), F.lit(""))
+
+
+def dry_run(plan: DataFrame, order: str = "idx", n: int = 10) -> DataFrame:
+    """The first ``n`` planned rows; nothing is written."""
+    return plan.orderBy(order).limit(n)
+
+
+def original_names(mapping: DataFrame, original: str = "original_visible", new: str = "new_visible") -> DataFrame:
+    """idx, original, new: file names without folders; of rows with one new name the one with the greatest index stays.
+
+    Read from left to right it leads from the survey's names to the organised
+    ones, and from right to left back.
+    """
+    name = lambda c: F.regexp_extract(c, r"([^/\\]*)$", 1)
+    rows = mapping.select(F.col("index").alias("idx"), name(original).alias("original"), name(new).alias("new"))
+    last = rows.groupBy("new").agg(F.max_by(F.struct("idx", "original"), F.struct(F.col("idx").try_cast("long"), "idx")).alias("r"))
+    return last.select("r.idx", "r.original", "new")
+
+
 def file_mapping_index(mapping: DataFrame, path: str, key: str) -> DataFrame:
     """One path a key, the greatest by name."""
     return mapping.groupBy(key).agg(F.max(path).alias(path))

@@ -6,6 +6,7 @@ Images are (height, width) or (height, width, channels) arrays of uint8.
 from __future__ import annotations
 
 import struct
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -39,25 +40,39 @@ def decode_png(data: bytes, alpha: bool = False) -> np.ndarray:
             parts.append(data[at + 8 : at + 8 + n])
         at += 12 + n
     raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h, w * channels), np.uint8)
-    for y in range(h):
-        line, above = raw[y, 1:].astype(np.int32), out[y - 1].astype(np.int32) if y else np.zeros(w * channels, np.int32)
-        if raw[y, 0] == 0:
-            out[y] = line
-        elif raw[y, 0] == 2:
-            out[y] = line + above
+    out = np.zeros((h + 1, w, channels), np.uint8)
+    lines = raw[:, 1:].reshape(h, w, channels)
+    for y, kind in enumerate(raw[:, 0]):
+        line, above = lines[y], out[y]
+        if kind == 0:
+            out[y + 1] = line
+        elif kind == 1:  # sums of what stands to the left, modulo 256
+            out[y + 1] = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif kind == 2:
+            out[y + 1] = line + above
         else:
-            row = np.zeros(w * channels, np.int32)
-            for x in range(w * channels):
-                a, b = row[x - channels] if x >= channels else 0, above[x]
-                c = above[x - channels] if x >= channels else 0
-                p = a + b - c
-                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                row[x] = (line[x] + {1: a, 3: (a + b) // 2, 4: near}[int(raw[y, 0])]) & 255
-            out[y] = row
+            out[y + 1] = _unfilter(line.astype(np.int32), above.astype(np.int32), kind == 4)
+    out = out[1:]
     return out.reshape(h, w, channels) if channels > 1 else out
 
 
+def _unfilter(line: np.ndarray, above: np.ndarray, paeth: bool) -> np.ndarray:
+    """The two filters in which a pixel depends on the one before it: all channels of a pixel at once."""
+    out = np.zeros_like(line)
+    left = corner = np.zeros(line.shape[1], np.int32)
+    for x in range(len(line)):
+        up = above[x]
+        if paeth:
+            p = left + up - corner
+            a, b, c = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+            guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        else:
+            guess = (left + up) // 2
+        out[x] = left = (line[x] + guess) & 255
+        corner = up
+    return out.astype(np.uint8)
+
+
 def sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Values at coordinates, and whether these lie inside the image."""
     h, w = image.shape[:2]
@@ -97,16 +112,25 @@ def remap(image: np.ndarray, map_x: np.ndarray, map_y: np.ndarray, nearest: bool
 
 def upsample(gx: np.ndarray, gy: np.ndarray, field: np.ndarray, width: int, height: int) -> np.ndarray:
     """A coarse field at its exact grid coordinates, bilinearly at every pixel."""
-    x, y = np.arange(width), np.arange(height)
+    return resample(gx, gy, field, np.arange(width), np.arange(height))
+
+
+def resample(gx: np.ndarray, gy: np.ndarray, field: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A field on a grid, bilinearly at columns ``x`` and rows ``y``; beyond the grid its edge goes on."""
     i, j = (np.clip(np.searchsorted(g, v, "right") - 1, 0, max(len(g) - 2, 0)) for g, v in ((gx, x), (gy, y)))
-    fx = ((x - gx[i]) / np.maximum(1, gx[np.minimum(i + 1, len(gx) - 1)] - gx[i]))[None, :]
-    fy = ((y - gy[j]) / np.maximum(1, gy[np.minimum(j + 1, len(gy) - 1)] - gy[j]))[:, None]
     i1, j1 = np.minimum(i + 1, len(gx) - 1), np.minimum(j + 1, len(gy) - 1)
+    fx = np.clip((x - gx[i]) / np.maximum(1e-12, gx[i1] - gx[i]), 0, 1)[None, :]
+    fy = np.clip((y - gy[j]) / np.maximum(1e-12, gy[j1] - gy[j]), 0, 1)[:, None]
     a = field[np.ix_(j, i)] * (1 - fx) + field[np.ix_(j, i1)] * fx
     b = field[np.ix_(j1, i)] * (1 - fx) + field[np.ix_(j1, i1)] * fx
     return a * (1 - fy) + b * fy
 
 
+def three_channels(image: np.ndarray) -> np.ndarray:
+    """A gray or colour image with three channels; an alpha channel goes."""
+    return np.repeat(image[..., None], 3, axis=2) if image.ndim == 2 else image[..., :3]
+
+
 def alpha_mask(alpha: np.ndarray, rule: str = "positive") -> np.ndarray:
     """Valid pixels of an alpha channel: ``positive``, over ``half`` of 255, or from 50 % of its ``relative`` maximum."""
     if rule == "half":
@@ -146,8 +170,42 @@ def distance(mask: np.ndarray) -> np.ndarray:
         column[y] = np.minimum(column[y], column[y - 1] + 1)
     for y in range(h - 2, -1, -1):
         column[y] = np.minimum(column[y], column[y + 1] + 1)
-    x = np.arange(w)
-    return np.sqrt(np.stack([((x[:, None] - x[None, :]) ** 2 + row[None, :] ** 2).min(axis=1) for row in column]))
+    return np.sqrt(_envelope(column**2))
+
+
+def _envelope(f: np.ndarray) -> np.ndarray:
+    """min over j of f[:, j] + (i - j)^2 for every column i: the lower envelope of parabolas, all rows side by side.
+
+    Memory is a few times the image's, whatever its width.
+    """
+    h, w = f.shape
+    row = np.arange(h)
+    at = np.zeros((h, w), np.int64)  # parabolas of the envelope, as a stack a row
+    start = np.full((h, w + 1), np.inf)
+    start[:, 0] = -np.inf
+    top = np.zeros(h, np.int64)
+    for j in range(1, w):
+        todo = row
+        meet = np.empty(h)
+        while len(todo):  # drop what the new parabola hides
+            last = at[todo, top[todo]]
+            cross = (f[todo, j] + j * j - f[todo, last] - last * last) / (2.0 * (j - last))
+            hidden = cross <= start[todo, top[todo]]
+            meet[todo] = cross
+            todo = todo[hidden]
+            top[todo] -= 1
+        top += 1
+        at[row, top], start[row, top] = j, meet
+        start[row, np.minimum(top + 1, w)] = np.inf
+    out, use = np.empty_like(f, dtype=float), np.zeros(h, np.int64)
+    for i in range(w):
+        todo = row
+        while len(todo):
+            todo = todo[start[todo, use[todo] + 1] < i]
+            use[todo] += 1
+        best = at[row, use]
+        out[:, i] = f[row, best] + (i - best) ** 2.0
+    return out
 
 
 def composite(base: np.ndarray, covered: np.ndarray, layer: np.ndarray, mask: np.ndarray, feather: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +225,12 @@ def overlay(visible: np.ndarray, thermal: np.ndarray, mask: np.ndarray) -> np.nd
 def inpaint(image: np.ndarray, missing: np.ndarray, radius: int = 5) -> np.ndarray:
     """Missing pixels from known ones within the radius, weighted by distance, ring after ring.
 
-    An approximation: fast marching takes gradients along as well.
+    An approximation: fast marching takes gradients along as well.  Nothing
+    known anywhere leaves the image as it is; a frame of which more than half
+    is missing warns.
     """
+    if missing.mean() > 0.5:
+        warnings.warn(f"{missing.mean():.0%} of the frame has no source", stacklevel=2)
     out, known = image.astype(float), ~missing
     disk = np.argwhere(_ellipse(radius)) - radius
     disk = disk[(disk != 0).any(axis=1)]
@@ -193,6 +255,15 @@ def crop_box(points: np.ndarray, width: int, height: int, margin: int) -> tuple[
     return max(0, int(lo[0])), max(0, int(lo[1])), min(width, int(hi[0])), min(height, int(hi[1]))
 
 
+def source_box(m: np.ndarray, box: tuple[int, int, int, int], width: int, height: int, margin: int = 20) -> tuple[int, int, int, int]:
+    """What a target box needs of the source frame: around the box's corners through the inverse transform."""
+    x0, y0, x1, y1 = box
+    corners = np.array([[x0, y0, 1], [x1 - 1, y0, 1], [x0, y1 - 1, 1], [x1 - 1, y1 - 1, 1]], float) @ np.linalg.inv(m).T
+    if (corners[:, 2] <= 0).any() and (corners[:, 2] >= 0).any():  # the box reaches the horizon
+        return 0, 0, width, height
+    return crop_box(corners[:, :2] / corners[:, 2:], width, height, margin)
+
+
 def gray(bgr: np.ndarray) -> np.ndarray:
     """Luma of a BGR image."""
     return np.rint(bgr[..., 0] * 0.114 + bgr[..., 1] * 0.587 + bgr[..., 2] * 0.299).astype(np.uint8)

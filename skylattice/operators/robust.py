@@ -19,9 +19,12 @@ THRESHOLD, CONFIDENCE, ITERATIONS = 3.0, 0.999, 5000
 
 
 def guided_ratio(pool: DataFrame, x: str, y: str, conf: str, high: float, low: float, tolerance: float) -> DataFrame:
-    """One row: ratio fitted on the confident pool, rows kept (confident, or agreeing with the fit), their RMSE and median residual."""
+    """One row: ratio fitted on the confident pool, rows kept (confident, or agreeing with the fit), their RMSE and median residual.
+
+    Without a confident row with x the ratio is null, as are the residuals.
+    """
     sure = pool.filter(F.col(conf) >= high)
-    ratio = sure.agg((F.sum(F.col(x) * F.col(y)) / F.sum(F.col(x) * F.col(x))).alias("k"))
+    ratio = sure.agg((F.try_divide(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x)))).alias("k"))
     residual = pool.join(F.broadcast(ratio)).select(F.abs(F.col(y) - F.col("k") * F.col(x)).alias("e"), F.col(conf).alias("c"), "k")
     kept = residual.filter((F.col("c") >= high) | ((F.col("c") >= low) & (F.col("e") < tolerance)))
     kept = materialize(kept.select("e", "k"), "guided")

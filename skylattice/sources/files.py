@@ -7,6 +7,8 @@ import io
 import pickle
 import re
 import struct
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skylattice.functions.geometry import compose_pose
+
 #: Extensions of images, and folders that hold results, not inputs.
 EXTENSIONS = ("jpg", "jpeg", "tif", "tiff", "png")
 SKIP = ("visible", "thermal", "register_results", "sfm_rig")
@@ -147,7 +151,7 @@ def read_features(spark: SparkSession, folder: str) -> DataFrame:
                 try:
                     p = feature_points(bytes(content))
                     yield pd.DataFrame({"path": path, "kp": np.arange(len(p), dtype=np.int32), "x": p[:, 0], "y": p[:, 1], "error": None})
-                except ValueError as e:
+                except (ValueError, KeyError, IndexError, OSError, EOFError, zipfile.BadZipFile, zlib.error) as e:
                     yield pd.DataFrame({"path": [path], "kp": pd.array([None], "Int32"), "x": [np.nan], "y": [np.nan], "error": [str(e)]})
 
     return files.mapInPandas(parse, "path string, kp int, x float, y float, error string")
@@ -173,17 +177,53 @@ def match_map(data: bytes) -> dict[str, np.ndarray]:
 
 
 def read_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """path, neighbour, n, kp_this, kp_other: a row a match, and one row with n = 0 and nulls for an empty list."""
+    """path, neighbour, n, kp_this, kp_other, error: a row a match, and one row with n = 0 and nulls for an empty list.
+
+    A file that cannot be read gives one row with its error, and the others go on.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pkl.gz").option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf.path, pdf.content, strict=True):
-                for name, m in match_map(bytes(content)).items():
+                try:
+                    found = match_map(bytes(content))
+                except (ValueError, TypeError, KeyError, IndexError, AttributeError, OSError, EOFError, zlib.error, pickle.UnpicklingError) as e:
+                    yield pd.DataFrame({"path": [path], "neighbour": [None], "n": [0], "kp_this": pd.array([None], "Int64"), "kp_other": pd.array([None], "Int64"), "error": [f"{type(e).__name__}: {e}"]})
+                    continue
+                for name, m in found.items():
                     some = m if len(m) else np.array([[np.nan, np.nan]])
-                    yield pd.DataFrame({"path": path, "neighbour": name, "n": len(m), "kp_this": some[:, 0], "kp_other": some[:, 1]}).astype({"kp_this": "Int64", "kp_other": "Int64"})
+                    yield pd.DataFrame({"path": path, "neighbour": name, "n": len(m), "kp_this": some[:, 0], "kp_other": some[:, 1], "error": None}).astype({"kp_this": "Int64", "kp_other": "Int64"})
+
+    return files.mapInPandas(parse, "path string, neighbour string, n int, kp_this long, kp_other long, error string")
+
+
+def read_raw_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """idx, x0, y0, x1, y1, conf, error from bundles ``<idx>.npz`` with mkpts0, mkpts1 and conf.
+
+    A bundle that cannot be read gives one row with its error.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(folder)
+    files = files.select(F.regexp_extract("path", r"([^/\\]*)\.npz$", 1).alias("idx"), "content")
+    names = ["x0", "y0", "x1", "y1", "conf"]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for idx, content in zip(pdf.idx, pdf.content, strict=True):
+                try:
+                    with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as bundle:
+                        rows = np.column_stack([bundle["mkpts0"].reshape(-1, 2), bundle["mkpts1"].reshape(-1, 2), bundle["conf"].reshape(-1, 1)]).astype(float)
+                    yield pd.DataFrame(rows, columns=names).assign(idx=idx, error=None)[["idx", *names, "error"]]
+                except (ValueError, KeyError, OSError, EOFError, zipfile.BadZipFile, zlib.error) as e:
+                    yield pd.DataFrame([(idx, *[np.nan] * 5, f"{type(e).__name__}: {e}")], columns=["idx", *names, "error"])
+
+    return files.mapInPandas(parse, "idx string, x0 double, y0 double, x1 double, y1 double, conf double, error string")
+
 
-    return files.mapInPandas(parse, "path string, neighbour string, n int, kp_this long, kp_other long")
+def pose_matches(raw: DataFrame, poses: DataFrame, least: float = 0.5) -> DataFrame:
+    """``poses`` with the confident raw matches of their images, by the number in names ``DJI_<idx>_V.<ext>``; images without either are left out."""
+    idx = F.regexp_extract("image", r"(?i)DJI_(\d+)_V\.[^./\\]+$", 1)
+    return raw.filter(F.col("conf") >= least).join(poses.withColumn("idx", idx).filter("idx <> ''"), "idx")
 
 
 _CAMERA = "width int, height int, focal double, focal_x double, focal_y double, c_x double, c_y double, k1 double, k2 double, k3 double, p1 double, p2 double"
@@ -239,6 +279,40 @@ def write_table(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").csv(path, header=True)
 
 
+def append_rows(df: DataFrame, path: str, schema: T.StructType) -> None:
+    """Append rows with the columns of ``schema`` to a headed CSV table."""
+    write_table(df.select([F.col(f.name).cast(f.dataType) for f in schema]), path, append=True)
+
+
+def export_tracks(tracks: DataFrame, path: str) -> None:
+    """track_id, image, feature_id as a headed CSV table, written anew each time."""
+    write_table(tracks.select("track_id", "image", "feature_id"), path)
+
+
+def agisoft_poses(sensors: DataFrame, cameras: DataFrame, chunk: DataFrame) -> DataFrame:
+    """label, width, height, K, R, t, C: world poses of the cameras whose sensor is known, of :func:`read_camera_xml`.
+
+    A camera transform is 4 x 4, from the camera to the chunk; the chunk's
+    scale is 1 if it names none.
+    """
+    m = F.col("transform")
+    local = F.array(*(m[4 * i + j] for i in range(3) for j in range(3)))
+    center = F.array(*(m[4 * i + 3] for i in range(3)))
+    place = chunk.select(F.col("rotation").alias("cr"), F.col("translation").alias("ct"), F.coalesce("scale", F.lit(1.0)).alias("cs"))
+    rows = cameras.join(sensors, "sensor").join(F.broadcast(place.limit(1)))  # one chunk
+    pose = compose_pose(local, center, F.col("cr"), F.col("ct"), F.col("cs"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    k = F.array(F.col("fx"), zero, F.col("width") / 2 + F.col("cx"), zero, F.col("fy"), F.col("height") / 2 + F.col("cy"), zero, zero, one)
+    return rows.select("label", "width", "height", k.alias("K"), pose["R"].alias("R"), pose["t"].alias("t"), pose["C"].alias("C"))
+
+
+def organised_poses(poses: DataFrame, names: DataFrame) -> DataFrame:
+    """``poses`` by organised image name: label to original name (with or without its extension) to new name; others are left out."""
+    bare = lambda c: F.regexp_replace(c, r"(?<=.)\.[^.]*$", "")
+    keyed = names.select(bare(F.col("original")).alias("k"), F.col("new").alias("image"), "idx")
+    return poses.withColumn("k", bare(F.col("label"))).join(keyed, "k").drop("k", "label")
+
+
 def read_origin(spark: SparkSession, path: str) -> DataFrame:
     """latitude, longitude, altitude (0 if missing) of a survey's origin; no row without a file."""
     try:
@@ -264,21 +338,44 @@ def image_features(images: DataFrame, mapping: DataFrame, shots: DataFrame, feat
     return found.select("idx", "kp", x.cast("float").alias("x"), y.cast("float").alias("y"))
 
 
-def copy_planned(plan: DataFrame, target: str, move: bool = False) -> None:
-    """Copy (or move) the files of a naming plan, on the executors, into ``visible`` and ``thermal`` below ``target``.
+def copy_planned(plan: DataFrame, target: str, move: bool = False) -> DataFrame:
+    """Copy (or move) the files of a naming plan into ``visible`` and ``thermal`` below ``target``; source, target, error.
 
-    Paths must be ones that executors can open.
+    The executors copy, from store to store by Arrow's file systems (local,
+    HDFS, S3, GCS).  A file that cannot be copied reports why, and the others
+    go on.  Copying happens once, before this returns.
     """
-    import os
-    import shutil
+    from skylattice.storage import materialize
+
+    sides = [plan.select(F.col(s).alias("source"), F.concat(F.lit(f"{target.rstrip('/')}/{s}/"), F.col(f"new_{s}")).alias("target")) for s in ("visible", "thermal")]
 
-    def run(rows) -> None:
-        for r in rows:
-            for source, name, side in ((r.visible, r.new_visible, "visible"), (r.thermal, r.new_thermal, "thermal")):
-                os.makedirs(os.path.join(target, side), exist_ok=True)
-                (shutil.move if move else shutil.copy2)(source.removeprefix("file:"), os.path.join(target, side, name))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    plan.select("visible", "thermal", "new_visible", "new_thermal").foreachPartition(run)
+        def place(path: str) -> tuple:
+            path = re.sub(r"^file:/+", "/", path)
+            return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+        for pdf in batches:
+            errors = []
+            for source, to in zip(pdf.source, pdf.target, strict=True):
+                try:
+                    (a, from_path), (b, to_path) = place(source), place(to)
+                    b.create_dir(to_path.rpartition("/")[0], recursive=True)
+                    if move and a.equals(b):
+                        a.move(from_path, to_path)
+                    else:
+                        fs.copy_files(from_path, to_path, source_filesystem=a, destination_filesystem=b)
+                        if move:
+                            a.delete_file(from_path)
+                    errors.append(None)
+                except (OSError, ValueError) as e:
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(error=errors)
+
+    both = sides[0].unionByName(sides[1])
+    spread = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(both.repartition(spread).mapInPandas(run, "source string, target string, error string"), "copied")
 
 
 def reset_outputs(paths: list[str], mode: str) -> None:

@@ -2,15 +2,17 @@
 
 Spark drops shuffle files when an executor is lost and then recomputes whole
 lineages; a written table is read again instead.  The folder is the session's
-``spark.checkpoint.dir``; only where that is unset (as in tests) a folder of
-our own is made and set.
+``spark.checkpoint.dir``; only where that is unset and the session is a single
+local process (as in tests) a folder of our own is made and set.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +24,14 @@ BROADCAST_NESTED_BYTES = 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables; an error on a cluster that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = tempfile.mkdtemp(prefix="skylattice-")
             spark.sparkContext.setCheckpointDir(base)
@@ -59,6 +63,35 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _file_system(spark, path)
+    return fs.exists(place)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet next to ``path`` and then put it in its place, so that readers never see half a table."""
+    spark = df.sparkSession
+    fs, place = _file_system(spark, path)
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    fs.delete(place, True)
+    if not fs.rename(_file_system(spark, new)[1], place):
+        raise OSError(f"{path} could not be replaced")
+
+
+def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], again: bool = False) -> DataFrame:
+    """The table at ``path``, which is built and put there first if it is missing (or ``again``)."""
+    if again or not exists(spark, path):
+        replace_table(build(), path)
+    return spark.read.parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; for a written table, the bytes of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

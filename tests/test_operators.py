@@ -174,7 +174,13 @@ def test_rays_round_trip():
     a, b = (p.project(ground)[0] for p in poses)
     assert rays.pose_error(*poses, a, b) < 1e-6
     grid = rays.Grid(np.zeros((60, 60)), -30, -30, 1.0)
-    assert rays.pose_error(*poses, a, b, grid=grid) < 0.5
+    assert rays.pose_error(*poses, a, b, rays.Ground(grid=grid)) < 0.5
+    slope = rays.Grid(np.tile(np.arange(61.0), (61, 1)), 0, 0, 1.0)
+    dip = np.array([[0.6, 0, -0.8]])
+    at, _ = rays.hit_grid(np.array([5.0, 5, 60]), dip, slope)
+    assert abs(at[0, 2] - at[0, 0]) < 1.4 * 2 / 2**9  # the middle of a bracket of 2 after 8 halvings
+    moved, _ = rays.hit_grid(np.array([0.0, 0, 60]), dip, slope, to_grid=lambda p: p + [5.0, 5, 0])
+    assert np.allclose(moved + [5.0, 5, 0], at)
     up, found = rays.hit_grid(poses[0].C, np.array([[0.0, 0, 1]]), grid)
     assert not found[0] and up[0, 2] == 850
     box = rays.footprint(poses[0], 640, 480)
@@ -182,6 +188,138 @@ def test_rays_round_trip():
     assert not rays.accept_fill([]) and rays.accept_fill([10.0, 40.0]) and rays.accept_rig(1.0, 1.0) and not rays.accept_rig(1.5, 1.0)
 
 
+def turn(v):
+    t = np.linalg.norm(v)
+    k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]]) / t
+    return np.eye(3) + np.sin(t) * k + (1 - np.cos(t)) * k @ k
+
+
+def test_rig_from_a_homography():
+    """Planted motions over a plane are among those found, and the one nearest to no rotation is taken."""
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        r, t, n = turn(rng.normal(size=3) * 0.1), rng.normal(size=3) * 0.2, rng.normal(size=3)
+        n /= np.linalg.norm(n)
+        found = rays.homography_motions((r + np.outer(t, n)) * rng.uniform(0.5, 2))
+        assert any(np.allclose(a, r, atol=1e-6) and np.allclose(b, t, atol=1e-6) for a, b, _ in found)
+    k = np.diag([500.0, 500, 1])
+    r, t = rays.rig_of_homography(k @ (turn(np.array([0, 0, 0.02])) + np.outer([0.01, 0, 0], [0, 0, 1.0])) @ np.linalg.inv(k), k, k, 50.0)
+    assert np.allclose(t, [0.5, 0, 0], atol=1e-6) and np.allclose(r, turn(np.array([0, 0, 0.02])), atol=1e-6)
+
+
+def test_zero_denominators(spark):
+    """Nothing divides by zero: results are null, and the rest of the rows go on."""
+    one = spark.range(1)
+    null = [*geo.apply_homography([1, 0, 0, 0, 1, 0, 1, 0, 0], F.lit(0.0), F.lit(2.0)), *geo.undistort(F.lit(1.0), F.lit(0.0), -1.0, (0, 0), 1.0), geo.focal_from_hfov(0.0, 640)]
+    null += [*geo.rescale(F.lit(1.0), F.lit(1.0), (0, 0), (5, 5)), *geo.distort(F.lit(1.0), F.lit(1.0), 0.1, (0, 0), 0.0), *geo.ground_point(0.0, 0.0, 0.0)]
+    assert not any(x is not None for x in one.select(*(c.alias(f"c{i}") for i, c in enumerate(null))).first())
+    assert one.select(geo.degenerate([1, 0, 0, 0, 1, 0, 0, 0, 0.0], 640, 480).alias("d")).first().d
+    assert organize.auto_threshold(spark.createDataFrame([(0,), (0,), (4,), (16,)], "p long"), "p").first().threshold == 8.0
+    pool = spark.createDataFrame([(0.0, 1.0, 0.9), (0.0, 2.0, 0.9)], "x double, y double, conf double")
+    assert robust.guided_ratio(pool, "x", "y", "conf", 0.5, 0.1, 1.0).first().ratio is None
+
+
+def test_decomposition_is_that_of_the_svd(spark):
+    rng = np.random.default_rng(1)
+    rows = [tuple(map(float, rng.normal(size=4))) for _ in range(60)] + [(2.0, 1.0, 1.0, -1.0), (1.0, 0.0, 0.0, 1.0), (1.0, 2.0, 2.0, 4.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    parts = geo.decompose_affine([F.col(x) for x in "abcd"])
+    for r in df.select("*", *(c.alias(n) for n, c in parts.items()), geo.affine_warnings(parts).alias("notes")).collect():
+        m = np.array([[r.a, r.b], [r.c, r.d]])
+        u, s, vt = np.linalg.svd(m)
+        if s[1] > 1e-9:
+            assert np.isclose(r.rotation, np.degrees(np.arctan2((u @ vt)[1, 0], (u @ vt)[0, 0]))) and np.isclose(r.anisotropy, s[0] / s[1])
+        assert np.isclose(r.scale, s.mean()) and r.reflection == (np.linalg.det(m) < -0.0) and ("reflection" in r.notes) == r.reflection
+        assert ("scale" in r.notes) == (not 0.3 <= s.mean() <= 3.0) and ("anisotropy" in r.notes) == (r.anisotropy > 1.6)
+
+
+def test_earth_centred(spark):
+    """The way out to the ellipsoid and back."""
+    a, e2 = 6378137.0, 1 - (1 - 1 / 298.257223563) ** 2
+    for lat, lon, h in ((52.52, 13.405, 90.0), (-33.9, 151.2, 500.0), (0.0, 0.0, 0.0), (89.9999, 10.0, 3000.0)):
+        p, q = np.radians(lat), np.radians(lon)
+        n = a / np.sqrt(1 - e2 * np.sin(p) ** 2)
+        xyz = [(n + h) * np.cos(p) * np.cos(q), (n + h) * np.cos(p) * np.sin(q), (n * (1 - e2) + h) * np.sin(p)]
+        got = spark.range(1).select(*(c.alias(x) for c, x in zip(geo.ecef_to_geodetic(*map(F.lit, map(float, xyz))), "abc"))).first()
+        assert np.allclose(got, (lat, lon, h), atol=1e-5)
+        x, y, z = spark.range(1).select(*(c.alias(x) for c, x in zip(geo.ground_point(*map(float, xyz), 50.0), "abc"))).first()
+        assert np.isclose(np.linalg.norm(np.array(xyz) - [x, y, z]), 50.0)
+
+
+def test_samples_and_rows(spark):
+    df = spark.range(100).withColumn("v", (F.col("id") * 37) % 100)
+    a, b = ([r.id for r in numbering.random_sample(df.repartition(k), 8, ["id"]).collect()] for k in (2, 5))
+    assert a == b and len(set(a)) == 8 and a != [r.id for r in numbering.random_sample(df, 8, ["id"], seed=1).collect()]
+    assert numbering.middle_row(df, ["v"]).first().v == 50 and numbering.middle_row(df.limit(0), ["v"]).count() == 0
+    assert [r.v for r in numbering.first_rows(df, ["v"], 3).collect()] == [0, 1, 2]
+    names = spark.createDataFrame([("2", "d/a.JPG", "x"), ("10", "d/b.JPG", "x"), ("3", "c.JPG", "e/y")], "index string, original_visible string, new_visible string")
+    assert sorted(map(tuple, organize.original_names(names).collect())) == [("10", "b.JPG", "x"), ("3", "c.JPG", "y")]
+    outputs = spark.createDataFrame([("a/0001_T.png",), ("b.txt",)], "p string")
+    assert [r.i for r in outputs.select(organize.parse_output(F.col("p"), "_T.png").alias("i")).collect()] == ["0001", None]
+    fits = spark.createDataFrame([("1", "10", 5), ("1", "9", 5), ("1", "2", 7), ("1", "3", 9)], "target string, source string, inliers int")
+    have = spark.createDataFrame([("10",), ("9",), ("2",)], "image string")
+    assert [r.source for r in matchgraph.by_inliers(fits, have).orderBy("rank").collect()] == ["2", "9", "10"]
+    edges = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    got = matchgraph.fragmentation(edges, spark.range(1, 7).select(F.col("id").alias("node"))).collect()
+    assert [(r.component, r["size"], r.fragmented) for r in got] == [(1, 2, True), (3, 2, True), (5, 1, True), (6, 1, True)]
+
+
+def test_surface_extras(spark):
+    grid = spark.createDataFrame([(0, 0, 1.0), (1, 2, 5.0), (2, 1, 9.0)], "iy int, ix int, z double")
+    points = spark.createDataFrame([(0.0, 0.0, 1.0), (2.0, 2.0, 9.0)], "x double, y double, z double")
+    extent = surface.grid_extent(points, 1.0)
+    filled = surface.fill_empty(grid, extent)
+    want = {}
+    cells = {(0, 0): 1.0, (1, 2): 5.0, (2, 1): 9.0}
+    for y in range(3):
+        for x in range(3):
+            want[y, x] = cells[min(cells, key=lambda c: ((c[0] - y) ** 2 + (c[1] - x) ** 2, c))]
+    assert {(r.iy, r.ix): r.z for r in filled.collect()} == want
+    share = surface.empty_share(filled).first()
+    assert (share.cells, share.empty) == (9, 6) and share.share == pytest.approx(2 / 3)
+    assert {r.z for r in surface.fill_median(grid, extent).filter("filled").collect()} == {5.0}
+    heights = surface.height_samples(points.withColumn("z", F.lit(50.0)), filled, extent, ["x"], 1.0, 1).collect()
+    assert [r.above for r in heights] == [49.0]
+    rng = np.random.default_rng(2)
+    data = [(i, *map(float, (x, x + w, y, y + h))) for i, (x, y, w, h) in enumerate(rng.uniform(0, [20, 20, 6, 6], (60, 4)))]
+    boxes = spark.createDataFrame(data, "id int, x0 double, x1 double, y0 double, y1 double")
+    want = sorted((p[0], q[0]) for p in data for q in data if p[0] < q[0] and p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4])
+    for cell_y in (None, 1.7):
+        assert sorted(map(tuple, surface.overlapping_boxes(boxes, "id", 2.5, cell_y=cell_y).collect())) == want
+
+
+def test_crops_and_fields():
+    m = np.array([[1, 0, 10], [0, 1, 5], [0, 0, 1.0]])
+    assert raster.crop_box(np.array([[3.2, 4.0], [8.0, 9.5]]), 100, 100, 2) == (1, 2, 11, 13)
+    assert raster.source_box(m, (20, 20, 31, 31), 100, 100, 3) == (7, 12, 24, 29)
+    gx, gy = np.array([0, 4, 7]), np.array([0, 5])
+    field = np.add.outer(gy * 2.0, gx * 3.0)
+    assert np.allclose(raster.upsample(gx, gy, field, 8, 6), np.add.outer(np.arange(6) * 2.0, np.arange(8) * 3.0))
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        mask = rng.random((rng.integers(1, 15), rng.integers(1, 15))) < rng.random()
+        ys, xs = np.nonzero(~mask)
+        if len(ys):
+            y, x = np.mgrid[: mask.shape[0], : mask.shape[1]]
+            assert np.allclose(raster.distance(mask), np.sqrt(((y[..., None] - ys) ** 2 + (x[..., None] - xs) ** 2).min(axis=-1)))
+    with pytest.warns(UserWarning):
+        raster.inpaint(np.zeros((4, 4), np.uint8), np.arange(16).reshape(4, 4) > 5)
+
+
+def test_bad_files_do_not_stop_the_scan(spark, tmp_path):
+    (tmp_path / "a.pkl.gz").write_bytes(gzip.compress(pickle.dumps({"n": np.array([[1, 2]])})))
+    (tmp_path / "b.pkl.gz").write_bytes(b"no gzip")
+    got = files.read_matches(spark, str(tmp_path)).collect()
+    assert {(r.kp_this, r.error is None) for r in got} == {(1, True), (None, False)}
+    (tmp_path / "c.npz").write_bytes(b"PK no zip")
+    np.savez(tmp_path / "0007.npz", mkpts0=np.ones((2, 2)), mkpts1=np.zeros((2, 2)), conf=np.array([0.2, 0.9]))
+    assert [r.error is None for r in files.read_features(spark, str(tmp_path)).filter("path like '%c.npz'").collect()] == [False]
+    raw = files.read_raw_matches(spark, str(tmp_path))
+    assert sorted((r.idx, r.conf) for r in raw.filter("error is null").collect()) == [("0007", 0.2), ("0007", 0.9)] and raw.filter("error is not null").count() == 1
+    poses = spark.createDataFrame([("DJI_0007_V.jpeg", 1), ("other", 2)], "image string, p int")
+    assert [(r.idx, r.conf, r.p) for r in files.pose_matches(raw.drop("error"), poses).collect()] == [("0007", 0.9, 1)]
+
+
 def test_headers():
     png = raster.encode_png(np.zeros((5, 9), np.uint8))
     assert files.image_size(png) == (9, 5)
