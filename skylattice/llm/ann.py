@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 from skylattice.storage import materialize
 
 
-def beam_search(data: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int, visited_max: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the ``beam`` nearest points found (by largest dot product of unit vectors) and their products.
+def beam_search(data: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int, trail_max: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the ``beam`` nearest points found (by largest dot product of unit vectors), their products, and the same of the first ``trail_max`` points expanded on the way.
 
-    ``visited_max`` > 0 returns the points expanded on the way instead.
     Missing entries are -1.
     """
     q, n = len(queries), len(data)
@@ -44,8 +43,8 @@ def beam_search(data: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries:
     seen[:, entry[:k]] = True
     order = np.argsort(-score, axis=1, kind="stable")
     ids, score, open_ = (np.take_along_axis(x, order, 1) for x in (ids, score, open_))
-    trail = np.full((q, visited_max), -1, np.int64)
-    trail_score = np.full((q, visited_max), -np.inf, np.float32)
+    trail = np.full((q, trail_max), -1, np.int64)
+    trail_score = np.full((q, trail_max), -np.inf, np.float32)
     hops = np.zeros(q, np.int64)
     live = np.arange(q)
     while len(live):
@@ -55,8 +54,8 @@ def beam_search(data: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries:
         at = open_[live].argmax(axis=1)  # the nearest not yet expanded
         node = ids[live, at]
         open_[live, at] = False
-        if visited_max:
-            keep = hops[live] < visited_max
+        if trail_max:
+            keep = hops[live] < trail_max
             trail[live[keep], hops[live[keep]]] = node[keep]
             trail_score[live[keep], hops[live[keep]]] = score[live[keep], at[keep]]
             hops[live] += 1
@@ -72,7 +71,7 @@ def beam_search(data: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries:
         ids[live] = np.take_along_axis(all_ids, pick, 1)
         score[live] = np.take_along_axis(all_s, pick, 1)
         open_[live] = np.take_along_axis(all_open, pick, 1)
-    return (trail, trail_score) if visited_max else (ids, score)
+    return ids, score, trail, trail_score
 
 
 def robust_prune(data: np.ndarray, points: np.ndarray, ids: np.ndarray, score: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -122,8 +121,7 @@ def build_graph(data: np.ndarray, degree: int = 32, beam: int = 64, alpha: float
     at, size = 0, 8
     while at < len(order):
         points = order[at : at + size]
-        ids, score = beam_search(data, graph, entry, data[points], beam)
-        trail, far = beam_search(data, graph, entry, data[points], beam, visited_max=beam)
+        ids, score, trail, far = beam_search(data, graph, entry, data[points], beam, beam)
         ids, score = np.concatenate([ids, trail], axis=1), np.concatenate([score, far], axis=1)
         graph[points] = robust_prune(data, points, ids, score, degree, alpha)
         _add_back(data, graph, points, degree, alpha)
@@ -230,8 +228,7 @@ def nearest(
     ask = ask.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
     ask = ask.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))  # about query_block rows each
     pairs = ask.select("block", "asked", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(spread, "shard", "block").join(index.hint("merge"), "shard")
+    pairs = pairs.join(index.hint("merge"), "shard")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +239,7 @@ def nearest(
                 asked = batch.column(1).slice(r, 1).flatten()
                 qid = np.asarray(asked.field("id"))
                 q = _matrix(asked.field("v"))
-                found, _ = beam_search(_unit(raw), graph, entry, _unit(q), beam)
+                found, *_ = beam_search(_unit(raw), graph, entry, _unit(q), beam)
                 ok = found >= 0
                 who = np.repeat(np.arange(len(q)), ok.sum(axis=1))
                 point = found[ok]

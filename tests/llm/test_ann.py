@@ -31,7 +31,7 @@ def test_recall(spark):
     rng = np.random.default_rng(0)
     centers = rng.normal(size=(12, 24))
     rows = [(i, (centers[i % 12] + 0.6 * rng.normal(size=24)).astype(np.float32).tolist()) for i in range(3000)]
-    got, want = search(spark, rows, shard_rows=1100), brute(rows)
+    got, want = search(spark, rows, shard_rows=1100, query_block=16), brute(rows)  # three shards, four blocks of queries
     assert set(got) == set(want)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.95 * sum(map(len, want.values()))
