@@ -1,15 +1,17 @@
-"""Main text of web pages: structure first, then nearest-URL page differencing.
-
-A page's blocks are its lines.  Blocks in navigation, headers, footers, asides,
-forms, scripts, adverts, notices and reader comments go by their element or
-its class, id or role.  A class or id counts only if it names the element itself
-and the element holds no article text.  What templates leave beyond that is found by
-differencing: the pages of a host are ordered by URL path, each is paired with
-its nearest neighbours there, their lines are aligned by longest common
-subsequence, and shared lines are deleted.  A neighbour whose main text is
+"""Main text of web pages by nearest-URL page differencing, and by structure.
+
+A page's blocks are its lines, those of its menus, headers and footers too.
+The pages of a host are ordered by URL path, each is paired with its nearest
+neighbours there, their lines are aligned by longest common subsequence, and
+shared lines are deleted: that is the template.  A neighbour whose main text is
 mostly the same is a copy of the article and tells nothing about the template:
 the next ones are tried, at doubling distance up to the ends of the host.
-Inside an ``article`` or ``main`` element lines are never deleted.
+Inside an ``article`` or ``main`` element lines are never deleted this way.
+
+What boilerplate a page does not share with its neighbours (comments, adverts,
+related links, a menu of its own) goes by its element or its class, id or role.
+A class or id counts only if it names the element itself and the element holds
+no article text.
 
 Pages of a host with equal lines count as one.  Pages are numbered in URL
 order, so neighbours are joined by number, without a window over a host.
@@ -32,6 +34,8 @@ from skylattice.operators.numbering import number_rows
 from skylattice.storage import broadcast_if_small, materialize
 
 _DROP = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "object", "head", "title", "menu", "dialog", "canvas", "video", "audio", "label", "fieldset"}
+#: Of these not even the lines are compared: they are no text.
+_NO_TEXT = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "head", "title", "canvas", "video", "audio", "select"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set(
@@ -118,13 +122,14 @@ def _bad(tokens: list[str], at: int, name: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str | None) -> tuple[list[str], list[bool]]:
-    """The text blocks of a page and whether each is inside an article or main element."""
+def lines(page: str | None) -> tuple[list[str], list[bool], list[bool]]:
+    """The text blocks of a page, whether each is inside an article or main element, and whether it is boilerplate by structure."""
     out: list[str] = []
     main: list[bool] = []
+    bad_: list[bool] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, dropped, main
-    dropped, inside, raw = 0, 0, ""
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, boilerplate, without text, main
+    dropped, mute, inside, raw = 0, 0, 0, ""
 
     def flush() -> None:
         if buffer:
@@ -132,14 +137,23 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
             if text:
                 out.append(text)
                 main.append(inside > 0)
+                bad_.append(dropped > 0)
             buffer.clear()
 
+    def close(k: int) -> None:
+        nonlocal dropped, mute, inside
+        for _, bad, no_text, is_main in stack[k:]:
+            dropped -= bad
+            mute -= no_text
+            inside -= is_main
+        del stack[k:]
+
     tokens = _TOKEN.findall(page or "")
     for at, token in enumerate(tokens):
         tag = _TAG.match(token) if token[0] == "<" else None
         if not tag:
             if token[0] != "<" or (len(token) > 1 and not token[1].isalpha() and token[1] not in "!?/"):
-                if not dropped and not raw:
+                if not mute and not raw:
                     buffer.append(token)
             continue
         closing, name = tag.group(1), tag.group(2).lower()
@@ -147,36 +161,35 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
             if not closing or name != raw:
                 continue
             raw = ""
-        if name in _BLOCK and not dropped:
+        if name in _BLOCK and not mute:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for _, bad, is_main in stack[k:]:
-                        dropped -= bad
-                        inside -= is_main
-                    del stack[k:]
-                    break
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if k is not None:
+                if any(bad and not no_text for _, bad, no_text, _ in stack[k:]):
+                    flush()  # a line never holds both boilerplate and text
+                close(k)
         elif name not in _VOID and not token.endswith("/>"):
             if name == "p" and stack and stack[-1][0] == "p":
-                _, bad, is_main = stack.pop()
-                dropped -= bad
+                close(len(stack) - 1)
             bad = not dropped and _bad(tokens, at, name, inside > 0)
+            # lines are blocks: what is dropped inside a line is left out of it
+            no_text = bad and (name in _NO_TEXT or name not in _BLOCK)
             is_main = name in _MAIN and not dropped
             if name in _RAW:
                 raw = name
-            stack.append((name, bad, is_main))
+            stack.append((name, bad, no_text, is_main))
             dropped += bad
+            mute += no_text
             inside += is_main
     flush()
-    return out, main
+    return out, main, bad_
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which entries of ``a`` lie on a longest common subsequence with ``b``.
 
-    Common ends are taken first; then rows of the table advance by whole
-    vectors, and only one bit a cell is kept for the way back.
+    Common ends are taken first.
     """
     out = np.zeros(len(a), bool)
     n = min(len(a), len(b))
@@ -194,23 +207,51 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     b = b[np.isin(b, a)]
     if not len(here) or not len(b):
         return out
+    out[head + here[_align(a[here], b)]] = True
+    return out
+
+
+#: Cells of the table of one alignment that may be held at once, as bytes.
+_CELLS = 1 << 24
+
+
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of a longest common subsequence of ``a`` with every prefix of ``b``."""
     score = np.zeros(len(b) + 1, np.int32)
-    up = np.zeros((len(here), len(b)), bool)
-    for i, k in enumerate(here):
-        hit = np.where(b == a[k], score[:-1] + 1, 0)
-        new = np.maximum.accumulate(np.maximum(hit, score[1:]))
+    for x in a:
+        score[1:] = np.maximum.accumulate(np.maximum(np.where(b == x, score[:-1] + 1, 0), score[1:]))
+    return score
+
+
+def _align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in ``a`` of a longest common subsequence.
+
+    Rows of the table advance by whole vectors, with a bit a cell for the way
+    back; a table that is too large is halved where the best scores of both
+    halves add up to the most, so memory is linear in long pages.
+    """
+    if not len(a) or not len(b):
+        return np.empty(0, np.int64)
+    if len(a) > 1 and len(a) * len(b) > _CELLS:
+        mid = len(a) // 2
+        cut = int((_scores(a[:mid], b) + _scores(a[mid:][::-1], b[::-1])[::-1]).argmax())
+        return np.concatenate([_align(a[:mid], b[:cut]), mid + _align(a[mid:], b[cut:])])
+    score = np.zeros(len(b) + 1, np.int32)
+    up = np.zeros((len(a), len(b)), bool)
+    for i, x in enumerate(a):
+        new = np.maximum.accumulate(np.maximum(np.where(b == x, score[:-1] + 1, 0), score[1:]))
         up[i] = score[1:] == new
-        score = np.concatenate([[0], new]).astype(np.int32)
-    i, j = len(here) - 1, len(b) - 1
+        score[1:] = new
+    found, i, j = [], len(a) - 1, len(b) - 1
     while i >= 0 and j >= 0:
         if up[i, j]:
             i -= 1
-        elif b[j] == a[here[i]]:
-            out[head + here[i]] = True
+        elif b[j] == a[i]:
+            found.append(i)
             i, j = i - 1, j - 1
         else:
             j -= 1
-    return out
+    return np.array(found[::-1], np.int64)
 
 
 def _hash(line: str) -> int:
@@ -283,11 +324,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for url, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                text, main = lines(page)
+                text, main, bad = lines(page)
                 host, path = host_path(url)
                 hashes = [_hash(t) for t in text]
-                sig = hashlib.blake2b(repr((host, hashes, main)).encode("utf-8", "replace"), digest_size=16).digest()
-                for o, x in zip(out, (sig, host, path, hashes, [len(t) for t in text], main), strict=True):
+                # boilerplate by structure weighs nothing when copies of an article are told from other pages
+                weights = [0 if b else len(t) for t, b in zip(text, bad, strict=True)]
+                sig = hashlib.blake2b(repr((host, hashes, main, weights)).encode("utf-8", "replace"), digest_size=16).digest()
+                for o, x in zip(out, (sig, host, path, hashes, weights, main), strict=True):
                     o.append(x)
             kinds = (pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays(
@@ -343,7 +386,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out = []
             for page, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 drop = set(drop or ())
-                out.append("\n\n".join(t for i, t in enumerate(lines(page)[0]) if i not in drop))
+                text, _, bad = lines(page)
+                out.append("\n\n".join(t for i, (t, b) in enumerate(zip(text, bad, strict=True)) if not b and i not in drop))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["own", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()

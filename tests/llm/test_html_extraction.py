@@ -1,12 +1,17 @@
 """Page differencing against brute force, and hand-made pages."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
 from skylattice.llm import html_extraction as hx
 
 
+def kept(page):
+    return [t for t, bad in zip(*hx.lines(page)[::2]) if not bad]
+
+
 def lcs(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
@@ -25,17 +30,46 @@ def test_common_is_longest():
         assert got.sum() == lcs(a, b)
 
 
+def test_long_pages_in_little_memory(monkeypatch):
+    """Halving the table changes nothing, and a page of many lines needs no table of its square."""
+    rng = np.random.default_rng(1)
+    pairs = [[rng.integers(0, 5, rng.integers(0, 40)) for _ in range(2)] for _ in range(60)]
+    want = [hx.common(a, b).sum() for a, b in pairs]
+    monkeypatch.setattr(hx, "_CELLS", 20)
+    for (a, b), n in zip(pairs, want):
+        got = hx.common(a, b)
+        left = iter(b.tolist())
+        assert got.sum() == n == lcs(a, b) and all(any(x == y for y in left) for x in a[got].tolist())
+    monkeypatch.setattr(hx, "_CELLS", 1 << 18)
+    a, b = np.arange(6000), np.arange(6000)
+    a[::3] += 10_000
+    b[::5] += 20_000
+    tracemalloc.start()
+    assert hx.common(a, b).sum() == sum(i % 3 != 0 and i % 5 != 0 for i in range(6000))
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+
+
+def test_differencing_takes_the_template():
+    """Menus and footers are lines too, and differencing deletes them before structure is asked."""
+    page = lambda k: f"<nav><a>Home</a><a>About</a></nav><div>text {k}</div><p>in <span class='ad'>Buy</span> line {k}</p><footer>Site</footer><div class='comments'>said {k}</div>"
+    text, _, bad = hx.lines(page(1))
+    assert list(zip(text, bad)) == [("HomeAbout", True), ("text 1", False), ("in line 1", False), ("Site", True), ("said 1", True)]
+    both = [(f"/{k}", np.array([hx._hash(t) for t in hx.lines(page(k))[0]]), np.array([0, 6, 9, 0, 0]), np.zeros(5, bool)) for k in (1, 2)]
+    assert hx.shared_lines(both[0], [both[1][:2]]).tolist() == [True, False, False, True, False]
+
+
 def test_structure():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="<p>no</p>";</script></head><body>
     <header>Site</header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy</div><div id="cookie-notice">Cookies</div>
     <article><header><h1>Title &amp; more</h1></header><p>One  <b>two</b><br>three &lt;b&gt; &eacute;<p>Four<!-- no --> five</p><form><input value="x">Send</form><aside>Side</aside></article>
     <div class="comments"><p>First!</p></div><footer>&copy; me</footer></body></html>"""
-    assert hx.lines(page)[0] == ["Title & more", "One two", "three <b> é", "Four five"]
+    assert kept(page) == ["Title & more", "One two", "three <b> é", "Four five"]
     for odd in (None, "", "plain", "<", "<p", "a < b", "<div><p>x</div>y", "<script>never closed", "</p></p>", "<p>" * 3000 + "deep"):
         hx.lines(odd)
-    assert hx.lines('<div class="wide no-sidebar">x<div class="post-sidebar">y</div></div>')[0] == ["x"]
-    assert hx.lines("a < b<p>c")[0] == ["a < b", "c"]
-    assert hx.lines("<ul><li>x<li>y</ul>")[0] == ["x", "y"]
+    assert kept('<div class="wide no-sidebar">x<div class="post-sidebar">y</div></div>') == ["x"]
+    assert kept("a < b<p>c") == ["a < b", "c"]
+    assert kept("<ul><li>x<li>y</ul>") == ["x", "y"]
 
 
 def test_paths():
@@ -106,7 +140,7 @@ def test_runs_of_copies_and_heavy_templates(spark):
 
 
 def test_article_text_stays():
-    text = lambda page: " ".join(hx.lines(page)[0])
+    text = lambda page: " ".join(kept(page))
     assert text("<article><p>Let <math><mi>x</mi></math> be</p></article>") == "Let x be"
     assert text("<div><figure><img src=a><figcaption>A caption</figcaption></figure></div>") == "A caption"
     long = "word " * 60
