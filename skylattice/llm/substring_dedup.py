@@ -44,8 +44,10 @@ def count_windows(texts: DataFrame, width: int) -> DataFrame:
                 )
 
     rows = texts.mapInArrow(hashes, "m long, c long, id long, j int, h long, g long")
-    least = rows.groupBy("h", "g").agg(F.min("id").alias("least"))
-    hit = rows.join(least, ["h", "g"]).groupBy("m", "c")
+    # counted and found again in one exchange, so texts are hashed once: every column is used on both sides
+    rows = rows.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "g")
+    least = rows.groupBy("h", "g").agg(F.min(F.struct("id", "m", "c", "j")).alias("first"))
+    hit = rows.join(least.select("h", "g", F.col("first.id").alias("least")), ["h", "g"]).groupBy("m", "c")
     return hit.agg(F.collect_list(F.struct("j", F.lit(1).alias("n"), "least")).alias("ids"))  # a run's windows
 
 
