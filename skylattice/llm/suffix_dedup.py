@@ -2,7 +2,9 @@
 
 The collection is never sorted as a whole.  Runs of 50-byte windows are routed
 by minimizer (see :mod:`skylattice.llm.windows`) in packed blobs, a few bytes a
-run; what remains are distinct *open contents*: short strings, some of whose
+run.  Where many of a task's runs have one minimizer, only the least and the
+greatest id of each content go to its bucket, and the runs wait in salted
+groups for what is decided there; what remains are distinct *open contents*: short strings, some of whose
 windows may be equal.  Those of a bin are sorted by column-wise
 multi-document construction: each round inserts one symbol per string into
 the collection's Burrows-Wheeler transform, at the place that the rank of its
@@ -37,6 +39,8 @@ BUCKET_BYTES, BIN, HOT = 5_000_000, 8192, 20_000
 _SECOND = 0xA0761D6478BD642F
 #: Text bytes cut at once, and runs held before they are packed.
 _BLOCK, _HELD = 1 << 18, 200_000
+#: So many runs of one minimizer among those held are combined before they are sent, and the runs themselves dealt to salted groups.
+HOT_RUNS, _SALTS = 256, 1024
 
 
 def bwt_lcp(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +192,7 @@ def pack(columns: dict[str, np.ndarray], rk: np.ndarray, ids: np.ndarray) -> byt
     """Runs and the texts they are of, column by column; the small ones compressed."""
     used, columns["row"] = np.unique(columns["row"], return_inverse=True)
     parts = [columns[k].astype(t) for k, t in _FIELDS]
-    # the high 16 bits of a minimizer name its bucket; 48 bits and the whole content hash identify a run
+    # the bucket and 48 bits of the minimizer, and the whole content hash, identify a run
     low = (parts[0] & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
     # differences and byte planes compress best
     small = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (np.diff(parts[2], prepend=np.uint32(0)), parts[3], parts[4]))
@@ -215,8 +219,9 @@ class ByteWindows(Windows):
     def shared_runs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         width, k = self.width, self.k
         total = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        # buckets are powers of two of a minimizer's high 16 bits
-        bits = min(16, max(4, math.ceil(math.log2(max(1, total) / BUCKET_BYTES))))
+        # a bucket is named by the first bits of a minimizer, as many as keep it small
+        bits = min(31, max(4, math.ceil(math.log2(max(1, total) / BUCKET_BYTES))))
+        hot_runs = HOT_RUNS
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -232,16 +237,18 @@ class ByteWindows(Windows):
                         held.append((i + text, start + lo, n.astype(np.uint8), m, c))
                         size += len(text)
                     if size > _HELD or (j == batch.num_rows and size):
-                        yield _blobs(held, rk, ids, bits)
+                        yield _blobs(held, rk, ids, bits, hot_runs)
                         held, size = [], 0
                 trim()
 
-        blobs = self.rows.select("rk", "id", "text").mapInArrow(cut, "bucket int, blob binary")
+        blobs = self.rows.select("rk", "id", "text").mapInArrow(cut, "bucket long, blob binary")
 
         def decide(table: pa.Table) -> pa.Table:
             trim()
             bucket = int(table.column("bucket")[0].as_py())
-            return _decide(bucket << (16 - bits), [unpack(b) for b in table.column("blob").to_pylist()])
+            parts = [unpack(b) for b in table.column("blob").to_pylist()]
+            name = np.uint64((bucket & ((1 << bits) - 1)) << (64 - bits))
+            return _decide(name, parts) if bucket < 1 << bits else _held(name, parts)
 
         found = blobs.groupBy("bucket").applyInArrow(decide, "kind byte, m long, c long, id long, rk long, start int, n int, starts array<int>, counts array<int>")
         found = materialize(found, "byte-runs")
@@ -249,27 +256,71 @@ class ByteWindows(Windows):
         spans = F.transform(F.arrays_zip("starts", "counts"), lambda x: F.struct(x["starts"].alias("start"), (F.call_function("shiftleft", F.lit(1).cast("long"), x["counts"]) - 1).alias("mask")))
         whole = found.filter("kind = 0").select("rk", spans.alias("spans"))
         contents = found.filter("kind = 1").select("m", "c", "id", "rk", "start", "n")
-        return whole, contents, found.filter("kind > 0").select("m", "c", "id", "rk", "start")
-
-
-def _blobs(held: list, rk: np.ndarray, ids: np.ndarray, bits: int) -> pa.RecordBatch:
+        # what was decided of frequent minimizers goes to their runs
+        said = materialize(found.filter("kind = 3").select("m", F.col("id").alias("least"), (F.col("n") > 0).alias("open")), "hot-minimizer-answers")
+        hot = found.filter("kind = 4").select("m", "c", "id", "rk", "start", "n").join(broadcast_if_small(said), "m")
+        one = F.array(F.struct("start", F.expr("shiftleft(1L, n) - 1").alias("mask")))
+        whole = whole.unionByName(hot.filter("not open and least < id").select("rk", one.alias("spans")))
+        some = found.filter("kind in (1, 2)").select("m", "c", "id", "rk", "start")
+        return whole, contents, some.unionByName(hot.filter("open").select("m", "c", "id", "rk", "start"))
+
+
+def _combined(m: np.ndarray, c: np.ndarray, own: np.ndarray, start: np.ndarray, hot_runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs have one of the minimizers that ``hot_runs`` or more have, and which of these speak for their content: those of the least and of the greatest id."""
+    _, group, count = np.unique(m, return_inverse=True, return_counts=True)
+    hot = np.flatnonzero(count[group] >= hot_runs)
+    order = hot[np.lexsort((start[hot], own[hot], c[hot], m[hot]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (m[order][1:] != m[order][:-1]) | (c[order][1:] != c[order][:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1 if len(order) else first
+    return hot, order[np.unique(np.concatenate([first, last]))]
+
+
+def _blobs(held: list, rk: np.ndarray, ids: np.ndarray, bits: int, hot_runs: int) -> pa.RecordBatch:
+    """Packed runs by bucket.  Runs of frequent minimizers go to a salted group of their bucket; in the bucket itself few speak for them."""
     row, start, n, m, c = (np.concatenate([h[i] for h in held]) for i in range(5))
     bucket = (m >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    hot, speak = _combined(m, c, ids[row], start, hot_runs)
+    if len(hot):
+        salted = bucket.copy()
+        salted[hot] |= (1 + int(rk[row[hot[0]]]) % _SALTS) << bits
+        row, start, n, m, c = (np.concatenate([x, x[speak]]) for x in (row, start, n, m, c))
+        n[len(salted) :] |= 128
+        bucket = np.concatenate([salted, bucket[speak]])
+    order = np.lexsort((row, bucket))
     row, start, n, m, c, bucket = (x[order] for x in (row, start, n, m, c, bucket))
     cuts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True])
     blobs = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         blobs.append(pack({"m": m[a:b], "c": c[a:b], "row": row[a:b], "start": start[a:b], "n": n[a:b]}, rk, ids))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def _decide(bucket: int, parts: list) -> pa.Table:
-    """What the runs of a bucket say: kind 0 spans of a text that go, 1 an open content, 2 another run that has it."""
+def _joined(parts: list) -> tuple[np.ndarray, ...]:
+    """rk and id of the texts, and m, c, start, n and text of the runs, of unpacked blobs."""
     shift = np.cumsum([0] + [len(p[1]) for p in parts])
     rk, ids = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
     m, c, start, n = (np.concatenate([p[0][k] for p in parts]) for k in ("m", "c", "start", "n"))
-    row = np.concatenate([p[0]["row"] + s for p, s in zip(parts, shift, strict=False)])
+    return rk, ids, m, c, start, n, np.concatenate([p[0]["row"] + s for p, s in zip(parts, shift, strict=False)])
+
+
+def _rows(kind: np.ndarray, m: np.ndarray, c: np.ndarray, ids: np.ndarray, rk: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Table:
+    lists = pa.nulls(len(kind), pa.list_(pa.int32()))
+    columns = {"kind": pa.array(kind.astype(np.int8)), "m": pa.array(m.view(np.int64)), "c": pa.array(c.view(np.int64)), "id": pa.array(ids), "rk": pa.array(rk), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))}
+    return pa.table(columns | {"starts": lists, "counts": lists})
+
+
+def _held(name: np.uint64, parts: list) -> pa.Table:
+    """Kind 4: runs that wait for what is decided of their minimizer."""
+    rk, ids, m, c, start, n, row = _joined(parts)
+    return _rows(np.full(len(m), 4), m | name, c, ids[row], rk[row], start, n)
+
+
+def _decide(name: np.uint64, parts: list) -> pa.Table:
+    """What the runs of a bucket say: kind 0 spans of a text that go, 1 an open content, 2 another run that has it, 3 least id and whether contents are open for a frequent minimizer."""
+    rk, ids, m, c, start, n, row = _joined(parts)
+    hot, n = n >> 7 == 1, n & 127
     order = np.argsort(m, kind="stable")
     ms = m[order]
     first = np.flatnonzero(np.r_[True, ms[1:] != ms[:-1]])
@@ -279,6 +330,7 @@ def _decide(bucket: int, parts: list) -> pa.Table:
     cs = c[order]
     several = np.minimum.reduceat(cs, first) != np.maximum.reduceat(cs, first)
     shared = least < most
+    said = np.flatnonzero(shared & np.logical_or.reduceat(hot[order], first))
     gone = order[(shared & ~several)[group] & (least[group] < own)]
     gone = gone[np.argsort(row[gone], kind="stable")]
     cut = np.flatnonzero(np.r_[True, np.diff(row[gone]) != 0]) if len(gone) else np.empty(0, np.int64)
@@ -287,23 +339,14 @@ def _decide(bucket: int, parts: list) -> pa.Table:
     some = some[np.lexsort((start[some], ids[row[some]], c[some], m[some]))]
     lead = np.ones(len(some), bool)
     lead[1:] = (m[some][1:] != m[some][:-1]) | (c[some][1:] != c[some][:-1])
-    full = (m[some] | (np.uint64(bucket) << np.uint64(48))).view(np.int64)
-    k, z = len(cut), len(some)
+    k = len(cut)
     lists = [pa.ListArray.from_arrays(pa.array(np.append(cut, len(gone)).astype(np.int32)), pa.array(x[gone].astype(np.int32))) for x in (start, n)] if k else [pa.array([], pa.list_(pa.int32()))] * 2
-    pad = lambda x, kind: pa.concat_arrays([pa.nulls(k, kind), pa.array(x, kind)])
-    return pa.table(
-        {
-            "kind": pa.array(np.r_[np.zeros(k, np.int8), np.where(lead, 1, 2).astype(np.int8)]),
-            "m": pad(full, pa.int64()),
-            "c": pad(c[some].view(np.int64), pa.int64()),
-            "id": pad(ids[row[some]], pa.int64()),
-            "rk": pa.array(np.r_[rk[row[gone[cut]]], rk[row[some]]]),
-            "start": pad(start[some].astype(np.int32), pa.int32()),
-            "n": pad(n[some].astype(np.int32), pa.int32()),
-            "starts": pa.concat_arrays([lists[0], pa.nulls(z, pa.list_(pa.int32()))]),
-            "counts": pa.concat_arrays([lists[1], pa.nulls(z, pa.list_(pa.int32()))]),
-        }
-    )
+    none = lambda kind: pa.nulls(k, kind)
+    spans = pa.table({"kind": pa.array(np.zeros(k, np.int8)), "m": none(pa.int64()), "c": none(pa.int64()), "id": none(pa.int64()), "rk": pa.array(rk[row[gone[cut]]]), "start": none(pa.int32()), "n": none(pa.int32()), "starts": lists[0], "counts": lists[1]})
+    open_ = _rows(np.where(lead, 1, 2), m[some] | name, c[some], ids[row[some]], rk[row[some]], start[some], n[some])
+    zero = np.zeros(len(said), np.int64)
+    answers = _rows(np.full(len(said), 3), ms[first[said]] | name, zero.view(np.uint64), least[said], zero, zero, several[said])
+    return pa.concat_tables([spans, open_, answers])
 
 
 def _kernel(width: int):

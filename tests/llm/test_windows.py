@@ -61,9 +61,10 @@ def test_words(spark):
     assert Counter(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
-def test_bytes(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "runs"), [(20_000, 256), (0, 256), (20_000, 2), (0, 1)])
+def test_bytes(spark, hot, runs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", runs)
     monkeypatch.setattr(suffix_dedup, "BIN", 100)
     rows = corpus()
     want = Counter()
