@@ -10,19 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.storage import BROADCAST_NESTED_BYTES, estimated_bytes, materialize
+
 
 def tfidf(terms: DataFrame, doc: str, term: str) -> DataFrame:
     """doc, term, tf, df, weight: idf ln((N+1)/(df+1)), rows scaled to unit length; a zero row stays zero.
 
     ``terms`` has a row per occurrence.  N counts the documents that occur.
     """
-    tf = terms.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialize(terms.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     df = tf.groupBy(term).agg(F.count(F.lit(1)).alias("df"))
-    n = terms.agg(F.count_distinct(doc).alias("n"))
-    raw = tf.join(df, term).join(F.broadcast(n)).withColumn("w", F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)))
-    norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    n = tf.agg(F.count_distinct(doc).alias("n"))
+    raw = tf.join(df, term).join(F.broadcast(n)).withColumn("w", F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)))  # one row
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     weight = F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.lit(0.0))
-    return raw.join(norm, doc).select(doc, term, "tf", "df", weight.alias("weight"))
+    return raw.withColumn("norm", norm).select(doc, term, "tf", "df", weight.alias("weight"))
 
 
 def _blocks(vectors: DataFrame, id_col: str, vec_col: str, rows: int) -> tuple[DataFrame, int]:
@@ -96,13 +98,39 @@ def ratio_matches(left: DataFrame, right: DataFrame, id_col: str, vec_col: str,
     return near.filter((F.col("r") == 1) & (F.col("d") < ratio * F.col("second"))).select("a", "b")
 
 
-def nearest_word(vectors: DataFrame, words: DataFrame, id_col: str, vec_col: str, word_col: str, center_col: str) -> DataFrame:
-    """id, word: the nearest centre of each vector, ties to the smaller word; ``words`` is a vocabulary of bounded size."""
-    book = words.agg(F.sort_array(F.collect_list(F.struct(F.col(word_col).alias("w"), F.col(center_col).cast("array<double>").alias("c")))).alias("book"))
-    x = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).join(F.broadcast(book))
+def nearest_word(vectors: DataFrame, words: DataFrame, id_col: str, vec_col: str, word_col: str, center_col: str, limit: int = BROADCAST_NESTED_BYTES) -> DataFrame:
+    """id, word: the nearest centre of each vector, ties to the smaller word.
+
+    A vocabulary of at most ``limit`` bytes goes to every task as one row; a
+    larger one meets the vectors in blocks.
+    """
+    words = materialize(words.select(F.col(word_col).alias("w"), F.col(center_col).cast("array<double>").alias("c")), "words")
+    x = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    if estimated_bytes(words) > limit:
+        return _nearest_in_blocks(x, words)
+    book = words.agg(F.sort_array(F.collect_list(F.struct("w", "c"))).alias("book"))
     far = lambda c: F.aggregate(F.zip_with("v", c, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, y: s + y)
     best = F.array_min(F.transform("book", lambda e: F.struct(far(e["c"]).alias("d"), e["w"].alias("w"))))
-    return x.select("id", best["w"].alias("word"))
+    return x.join(F.broadcast(book)).select("id", best["w"].alias("word"))
+
+
+def _nearest_in_blocks(x: DataFrame, words: DataFrame, rows: int = 1024) -> DataFrame:
+    """The same, a block of vectors and a block of words at a time; words are numbers here."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (ia, va), (ib, vb) = _side(batch.column(0), r), _side(batch.column(1), r)
+                order = np.argsort(ib, kind="stable")
+                ib, vb = ib[order], vb[order]
+                d = np.stack([((v - vb) ** 2).sum(axis=1) for v in va])
+                at = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ia), pa.array(ib[at]), pa.array(d[np.arange(len(ia)), at])], ["id", "word", "d"])
+
+    book = words.select(F.col("w").alias("id"), F.col("c").alias("v"))
+    near = _pairs_of_blocks(x, book, "id", "v", rows).mapInArrow(kernel, "id long, word long, d double")
+    best = near.groupBy("id").agg(F.min(F.struct("d", "word")).alias("b"))
+    return best.select(F.col("id").cast(x.schema["id"].dataType).alias("id"), F.col("b.word").cast(words.schema["w"].dataType).alias("word"))
 
 
 def vocabulary(vectors: DataFrame, vec_col: str, n_words: int = 750, sample: int = 200_000, seed: int = 0) -> DataFrame:

@@ -1,18 +1,22 @@
 """Robust fits: ratios, homographies, affine and similarity transforms, lens and residual fields.
 
-Groups are fitted side by side; the sequential kernels are numpy on one
-group's matches.  Random draws are seeded, so reruns agree.
+Groups are fitted side by side; the sequential kernels are numpy on a bounded
+sample of a group's matches, and sums over all of them.  Random draws are
+seeded, so reruns agree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.functions.geometry import apply_homography
 from skylattice.operators.numbering import exact_median
-from skylattice.storage import materialize
+from skylattice.storage import broadcast_if_small, materialize
 
 #: Pixel threshold, confidence and iterations of the consensus search.
 THRESHOLD, CONFIDENCE, ITERATIONS = 3.0, 0.999, 5000
@@ -104,28 +108,102 @@ def consensus(p: np.ndarray, q: np.ndarray, model: str = "homography", threshold
     return (m, best) if m is not None else (None, none)
 
 
-def fit_groups(matches: DataFrame, key: str, model: str = "homography", threshold: float = THRESHOLD) -> DataFrame:
+#: Rows of a group on which hypotheses are drawn and compared.
+SAMPLE = 4096
+
+
+def fit_groups(matches: DataFrame, key: str, model: str = "homography", threshold: float = THRESHOLD, sample: int = SAMPLE, rounds: int = 2) -> DataFrame:
     """key, n, inliers, rmse, m (nine doubles, null if nothing fits), error: one robust fit a group of (x, y, u, v).
 
-    A failing group reports its error and does not stop the others.
+    Hypotheses are drawn, and the best is chosen, on at most ``sample`` rows
+    of a group (those with the smallest hashes).  Then ``rounds`` times all
+    rows of the group are tested against it and the transform is fitted anew
+    to all that agree, from sums that are combined on the map side; so a
+    group may have any number of rows.  A failing group reports its error and
+    does not stop the others.  Rows with a null take no part; a null key is
+    one group.
     """
+    kind = matches.schema[key].dataType.simpleString()
+    rows = matches.select(F.col(key).alias("k"), *(F.col(c).cast("double").alias(c) for c in "xyuv")).dropna(subset=list("xyuv"))
+    rows = materialize(rows, "fit-rows")
+    first = Window.partitionBy("k").orderBy(F.xxhash64(*"xyuv"), *"xyuv")
+    some = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample)
 
     def fit(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values(["x", "y", "u", "v"])
-        m, rmse, inliers, error = None, None, 0, None
+        pdf = pdf.sort_values(["x", "y", "u", "v"])
+        p, q = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
+        m, error = None, None
         try:
-            p, q = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
-            found, ok = consensus(p, q, model, threshold)
-            if found is not None:
-                inliers, m = int(ok.sum()), found.ravel().tolist()
-                rmse = float(np.sqrt(((project(found, p[ok]) - q[ok]) ** 2).sum(axis=1).mean()))
+            m, _ = consensus(p, q, model, threshold)
         except (np.linalg.LinAlgError, ValueError) as e:
-            error = str(e)
-        return pd.DataFrame({"k": [name[0]], "n": [len(pdf)], "inliers": [inliers], "rmse": [rmse], "m": [m], "error": [error]})
-
-    kind = matches.schema[key].dataType.simpleString()
-    rows = matches.select(F.col(key).alias("k"), *(F.col(c).cast("double") for c in "xyuv"))
-    return rows.groupBy("k").applyInPandas(fit, f"k {kind}, n long, inliers long, rmse double, m array<double>, error string").withColumnRenamed("k", key)
+            error = f"{type(e).__name__}: {e}"
+        flat = lambda x: None if x is None else x.ravel().tolist()
+        return pd.DataFrame({"k": [name[0]], "m": [flat(m)], "a": [flat(_center(p))], "b": [flat(_center(q))], "error": [error]})
+
+    fields = f"k {kind}, m array<double>, a array<double>, b array<double>, error string"
+    found = materialize(some.groupBy("k").applyInPandas(fit, fields), "fits")
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = []
+            for r in pdf.itertuples():
+                new = None if r.m is None or not r.hits else solve_sums(np.array(r.sums, float), np.reshape(r.a, (3, 3)), np.reshape(r.b, (3, 3)), model)
+                m.append(r.m if new is None else new.ravel().tolist())
+            yield pdf.assign(m=m)[["k", "m", "a", "b", "error"]]
+
+    for _ in range(rounds):
+        found = materialize(_scored(rows, found, threshold, True).mapInPandas(again, fields), "fits")
+    out = _scored(rows, found, threshold, False)
+    rmse = F.when(F.col("hits") > 0, F.sqrt(F.col("se") / F.col("hits")))
+    return out.select(F.col("k").alias(key), "n", F.when(F.col("m").isNull(), 0).otherwise(F.col("hits")).cast("long").alias("inliers"), F.when(F.col("m").isNotNull(), rmse).alias("rmse"), "m", "error")
+
+
+def _scored(rows: DataFrame, found: DataFrame, threshold: float, sums: bool) -> DataFrame:
+    """``found`` with n, hits and se (rows, those that agree, their squared errors), and the sums that :func:`solve_sums` takes."""
+    at = lambda name, i: F.col(name)[i]
+    joined = rows.join(broadcast_if_small(found.withColumnRenamed("k", "g")), F.col("k").eqNullSafe(F.col("g")))
+    px, py = apply_homography([at("m", i) for i in range(9)], F.col("x"), F.col("y"))
+    e = (px - F.col("u")) * (px - F.col("u")) + (py - F.col("v")) * (py - F.col("v"))
+    joined = joined.withColumn("e", e).withColumn("ok", F.coalesce(F.col("e") < threshold**2, F.lit(False)))
+    columns = [F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("hits"), F.sum(F.when(F.col("ok"), F.col("e"))).alias("se")]
+    if sums:
+        x, y = (at("a", 3 * i + i) * F.col(c) + at("a", 3 * i + 2) for i, c in enumerate("xy"))
+        u, v = (at("b", 3 * i + i) * F.col(c) + at("b", 3 * i + 2) for i, c in enumerate("uv"))
+        joined = joined.select("g", "e", "ok", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+        products = [F.col("x") * F.col("x"), F.col("x") * F.col("y"), F.col("x"), F.col("y") * F.col("y"), F.col("y"), F.lit(1.0)]
+        weights = [F.lit(1.0), F.col("u"), F.col("v"), F.col("u") * F.col("u") + F.col("v") * F.col("v")]
+        columns.append(F.array(*(F.sum(F.when(F.col("ok"), w * p).otherwise(F.lit(0.0))) for w in weights for p in products)).alias("sums"))
+    totals = joined.groupBy("g").agg(*columns)
+    return totals.join(broadcast_if_small(found), F.col("g").eqNullSafe(F.col("k"))).drop("g")
+
+
+def solve_sums(sums: np.ndarray, a: np.ndarray, b: np.ndarray, model: str) -> np.ndarray | None:
+    """The least-squares transform from sums over point pairs in normalised frames (``a`` and ``b`` lead there); None where it is undetermined.
+
+    ``sums`` has x x, x y, x, y y, y, 1, weighted by 1, u, v and u u + v v.
+    """
+    s, su, sv, sw = (np.array([[c[0], c[1], c[2]], [c[1], c[3], c[4]], [c[2], c[4], c[5]]]) for c in sums.reshape(4, 6))
+    if not np.isfinite(sums).all():
+        return None
+    if model == "homography":
+        o = np.zeros((3, 3))
+        value, vector = np.linalg.eigh(np.block([[s, o, -su], [o, s, -sv], [-su, -sv, sw]]))
+        if value[1] < 1e-10 * value[-1]:
+            return None
+        m = vector[:, 0].reshape(3, 3)
+    elif model == "affine":
+        if np.linalg.matrix_rank(s) < 3:
+            return None
+        m = np.vstack([np.linalg.solve(s, np.column_stack([su[:, 2], sv[:, 2]])).T, [0, 0, 1]])
+    else:
+        n, x, y, r = s[2, 2], s[0, 2], s[1, 2], s[0, 0] + s[1, 1]
+        left = np.array([[r, 0, x, y], [0, r, -y, x], [x, -y, n, 0], [y, x, 0, n]])
+        if np.linalg.matrix_rank(left) < 4:
+            return None
+        c, d, tx, ty = np.linalg.solve(left, [su[0, 2] + sv[1, 2], sv[0, 2] - su[1, 2], su[2, 2], sv[2, 2]])
+        m = np.array([[c, -d, tx], [d, c, ty], [0, 0, 1]])
+    m = np.linalg.inv(b) @ m @ a
+    return m / m[2, 2] if abs(m[2, 2]) > 1e-12 and np.isfinite(m).all() else None
 
 
 def divide(p: np.ndarray, k: float, center: np.ndarray, scale: float) -> np.ndarray:

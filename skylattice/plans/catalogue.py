@@ -6,6 +6,7 @@ Every query reads its whole tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geometry as geo
 from skylattice.operators import composite, matchgraph, numbering, organize, retrieval, robust, surface
-from skylattice.plans import incremental
+from skylattice.plans import incremental, registration
+from skylattice.sources import files
+from skylattice.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -424,21 +427,180 @@ def q_distort(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(c, 4).alias(n) for c, n in zip(out, ("ux", "uy", "ix", "iy"), strict=True)))
 
 
-@query("""
-WITH m AS (SELECT p_partkey, 1 + p_size / 100.0::DOUBLE AS a, p_retailprice / 5000 AS b, -p_size / 80.0::DOUBLE AS c, 1.0::DOUBLE AS d, p_size / 40000.0::DOUBLE AS g FROM part),
-s AS (SELECT *, sqrt((a + d) * (a + d) + (c - b) * (c - b)) AS q, sqrt((a - d) * (a - d) + (c + b) * (c + b)) AS r FROM m)
-SELECT p_partkey, round(degrees(atan2(c - b, a + d)), 3) AS rotation, round(((q + r) / 2 + abs(q - r) / 2) / 2, 4) AS scale,
-a * d - b * c < 0 AS reflection, abs(a * d - b * c) < 1e-9 OR abs(g) * 640 > 0.5 AS degenerate FROM s
-""")
+_SVD = """
+WITH m AS (SELECT p_partkey, 1 + p_size / 100.0::DOUBLE AS a, p_retailprice / 5000 AS b, -p_size / 80.0::DOUBLE AS c, 1 - p_size / 30.0::DOUBLE AS d, p_size / 40000.0::DOUBLE AS g FROM part),
+v AS (SELECT *, 0.5 * atan2(2 * (a * b + c * d), a * a + c * c - b * b - d * d) AS t FROM m),
+u AS (SELECT *, cos(t) AS vx, sin(t) AS vy, a * cos(t) + b * sin(t) AS ux, c * cos(t) + d * sin(t) AS uy, -a * sin(t) + b * cos(t) AS wx, -c * sin(t) + d * cos(t) AS wy FROM v),
+s AS (SELECT *, sqrt(ux * ux + uy * uy) AS s1, sqrt(wx * wx + wy * wy) AS s2 FROM u),
+r AS (SELECT *, degrees(atan2(uy / s1 * vx - wy / s2 * vy, ux / s1 * vx - wx / s2 * vy)) AS rotation, (s1 + s2) / 2 AS scale, s1 / s2 AS anisotropy, a * d - b * c < 0 AS reflection FROM s)
+"""
+
+
+@query(_SVD + "SELECT p_partkey, round(rotation, 3) AS rotation, round(scale, 4) AS scale, reflection, abs(a * d - b * c) < 1e-9 OR abs(g) * 640 > 0.5 AS degenerate FROM r")
 def q_sanity(spark, sf_dir):
-    size = F.col("p_size").cast("double")
-    m = _table(spark, sf_dir, "part").select("p_partkey", (1 + size / 100).alias("a"), (F.col("p_retailprice") / 5000).alias("b"), (-size / 80).alias("c"), F.lit(1.0).alias("d"), (size / 40000).alias("g"))
-    parts = geo.decompose_affine([F.col(c) for c in "abcd"])
+    m, parts = _affine(spark, sf_dir)
     flat = geo.degenerate([F.col("a"), F.col("b"), 0.0, F.col("c"), F.col("d"), 0.0, F.col("g"), 0.0, 1.0], 640, 480)
     # the determinant of the 3x3 is that of the 2x2 part here
     return m.select("p_partkey", F.round(parts["rotation"], 3).alias("rotation"), F.round(parts["scale"], 4).alias("scale"), parts["reflection"].alias("reflection"), flat.alias("degenerate"))
 
 
+def _affine(spark, sf_dir):
+    """2x2 parts of all kinds, reflections among them."""
+    size = F.col("p_size").cast("double")
+    m = _table(spark, sf_dir, "part").select("p_partkey", (1 + size / 100).alias("a"), (F.col("p_retailprice") / 5000).alias("b"), (-size / 80).alias("c"), (1 - size / 30).alias("d"), (size / 40000).alias("g"))
+    return m, geo.decompose_affine([F.col(c) for c in "abcd"])
+
+
+@query(_SVD + """SELECT p_partkey, concat_ws(',', CASE WHEN NOT scale BETWEEN 0.3 AND 3 THEN 'scale' END, CASE WHEN abs(rotation) > 25 THEN 'rotation' END,
+CASE WHEN anisotropy > 1.6 THEN 'anisotropy' END, CASE WHEN reflection THEN 'reflection' END) AS warnings FROM r""")
+def q_affine_warnings(spark, sf_dir):
+    m, parts = _affine(spark, sf_dir)
+    return m.select("p_partkey", F.concat_ws(",", geo.affine_warnings(parts)).alias("warnings"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(x * greatest(w, h) + w / 2, 6) AS px, round(y * greatest(w, h) + h / 2, 6) AS py, round((x * greatest(w, h) + w / 2) * 640 / w, 6) AS wx,
+round((y * greatest(w, h) + h / 2) * 480 / h, 6) AS wy, round(sqrt(power(x * w - y, 2) + power(y * h - x, 2)), 6) AS e
+FROM (SELECT l_orderkey, l_linenumber, l_discount - 0.05 AS x, l_tax - 0.04 AS y, 4000 + l_quantity AS w, 3000 + l_linenumber AS h FROM lineitem)
+""")
+def q_frames(spark, sf_dir):
+    """Normalised coordinates, frames of another size, and distances."""
+    x, y, w, h = F.col("l_discount") - 0.05, F.col("l_tax") - 0.04, F.col("l_quantity") + 4000, F.col("l_linenumber") + 3000
+    px, py = geo.normalized_to_pixel(x, y, w, h)
+    wx, wy = geo.rescale(px, py, (w, h), (640, 480))
+    out = {"px": px, "py": py, "wx": wx, "wy": wy, "e": geo.reprojection_error(x * w, y * h, y, x)}
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(c, 6).alias(n) for n, c in out.items()))
+
+
+@query("""
+SELECT p_partkey, round(p_size * 4032 / 36.0, 6) AS a, CASE WHEN p_size % 10 = 0 THEN NULL ELSE round(640 / (2 * tan(radians(p_size % 10 * 12) / 2)), 6) END AS b,
+round(p_retailprice / 100 * 3000 / CASE p_size % 4 WHEN 2 THEN 25.4 WHEN 3 THEN 10.0 END, 6) AS c FROM part
+""")
+def q_focal(spark, sf_dir):
+    """Focal lengths by three rules; a field of view of 0 and an unknown unit give null."""
+    size = F.col("p_size").cast("double")
+    out = {"a": geo.focal_from_35mm(size, 4032, 3024), "b": geo.focal_from_hfov(size % 10 * 12, 640), "c": geo.focal_from_plane(F.col("p_retailprice") / 100, 3000, size % 4)}
+    return _table(spark, sf_dir, "part").select("p_partkey", *(F.round(c, 6).alias(n) for n, c in out.items()))
+
+
+@query("""
+WITH m AS (SELECT p_partkey, 1 + p_size / 100.0::DOUBLE AS a, p_size / 500.0::DOUBLE AS b, 4.0 + p_size AS c FROM part)
+SELECT p_partkey, round((4000.0 / 640) ** -1 * a * (2000.0 / 640), 9) AS m00, round((1500.0 / 480) * b * (640.0 / 4000), 9) AS m10, round((2000.0 / 640) * c, 9) AS m02 FROM m
+""")
+def q_full_frame(spark, sf_dir):
+    """An affine transform between work frames, padded, as one between full frames."""
+    size = F.col("p_size").cast("double")
+    m = geo.pad_affine([1 + size / 100, size / 500, 4.0 + size, size / 500, 1 + size / 100, 2.0])
+    full = geo.conjugate_resize(m, (4000, 3000), (2000, 1500), (640, 480))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.round(full[0], 9).alias("m00"), F.round(full[3], 9).alias("m10"), F.round(full[2], 9).alias("m02"))
+
+
+@query("""
+WITH a AS (SELECT p_partkey, radians(p_size * 3.0) AS t, p_retailprice / 100 AS s FROM part)
+SELECT p_partkey, round(cos(t), 6) AS r00, round(-sin(t), 6) AS r01, round(2 * (cos(t) * s - sin(t) * 2) + 5, 6) AS cx, round(2 * (sin(t) * s + cos(t) * 2) - 7, 6) AS cy, round(11.0, 6) AS cz FROM a
+""")
+def q_pose(spark, sf_dir):
+    """Rotations about the vertical as axis-angle vectors, and camera centres of a chunk in the world."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    turn = geo.rodrigues(F.array(zero, zero, F.radians(F.col("p_size") * 3.0)))
+    eye = F.array(one, zero, zero, zero, one, zero, zero, zero, one)
+    pose = geo.compose_pose(eye, F.array(F.col("p_retailprice") / 100, F.lit(2.0), F.lit(4.0)), turn, F.array(F.lit(5.0), F.lit(-7.0), F.lit(3.0)), F.lit(2.0))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.round(turn[0], 6).alias("r00"), F.round(turn[1], 6).alias("r01"), *(F.round(pose["C"][i], 6).alias(n) for i, n in enumerate(("cx", "cy", "cz"))))
+
+
+@query("""
+SELECT c_custkey, round(50 + degrees(c_acctbal / 6371000.0), 9) AS lat, round(10 + degrees(c_nationkey * 1000 / (6371000.0 * cos(radians(50)))), 9) AS lon,
+(32600 + floor((c_nationkey * 14 - 180 + 180) / 6) + 1 + CASE WHEN c_acctbal < 0 THEN 100 ELSE 0 END)::INTEGER AS zone FROM customer
+""")
+def q_origin(spark, sf_dir):
+    """Offsets around an origin as degrees, and the zones of places."""
+    lat, lon = geo.enu_to_lat_lon(F.col("c_nationkey") * 1000.0, F.col("c_acctbal"), 50.0, 10.0)
+    zone = geo.utm_zone(F.col("c_acctbal"), F.col("c_nationkey") * 14.0 - 180)
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"), zone.alias("zone"))
+
+
+@query("""
+WITH a AS (SELECT s_suppkey, 6378137.0 / sqrt(1 - (1 - power(1 - 1 / 298.257223563, 2)) * power(sin(radians(s_nationkey * 3.5 - 40)), 2)) AS n, radians(s_nationkey * 3.5 - 40) AS p, s_acctbal AS h FROM supplier)
+SELECT s_suppkey, round(degrees(p), 6) AS lat, round(7.0, 6) AS lon, round(h, 3) AS height FROM a
+""")
+def q_earth_centred(spark, sf_dir):
+    """Places of known latitude and height, out to earth-centred metres and back."""
+    lat, lon, h = F.radians(F.col("s_nationkey") * 3.5 - 40), F.lit(math.radians(7.0)), F.col("s_acctbal")
+    e2 = 1 - (1 - 1 / 298.257223563) ** 2
+    n = 6378137.0 / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", ((n + h) * F.cos(lat) * F.cos(lon)).alias("x"), ((n + h) * F.cos(lat) * F.sin(lon)).alias("y"), ((n * (1 - e2) + h) * F.sin(lat)).alias("z"))
+    back = geo.ecef_to_geodetic(F.col("x"), F.col("y"), F.col("z"))
+    return rows.select("s_suppkey", *(F.round(c, d).alias(n_) for c, n_, d in zip(back, ("lat", "lon", "height"), (6, 6, 3), strict=True)))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_name AS a, 'Customer#' || lpad((c_custkey // 3)::VARCHAR, 9, '0') AS b FROM customer)
+SELECT c_custkey, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) - 1, len(a))::INTEGER AS n FROM c
+""")
+def q_common_prefix(spark, sf_dir):
+    other = F.format_string("Customer#%09d", F.floor(F.col("c_custkey") / 3).cast("long"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", organize.common_prefix(F.col("c_name"), other).alias("n"))
+
+
+@query(_TRACKS + "SELECT count(*) AS tracks, max(n_img) AS longest, count(*) FILTER (n_img >= 3) AS in_three FROM num")
+def q_track_summary(spark, sf_dir):
+    return matchgraph.track_summary(matchgraph.create_tracks(_history(spark, sf_dir)))
+
+
+@query("""
+SELECT target, source, inliers, row_number() OVER (PARTITION BY target ORDER BY inliers DESC, source::BIGINT) AS rank
+FROM (SELECT c_nationkey::VARCHAR AS target, s_nationkey::VARCHAR AS source, count(*) AS inliers FROM customer JOIN supplier ON c_custkey = s_suppkey GROUP BY 1, 2)
+""")
+def q_by_inliers(spark, sf_dir):
+    pairs = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "supplier"), F.col("c_custkey") == F.col("s_suppkey"))
+    fits = pairs.groupBy(F.col("c_nationkey").cast("string").alias("target"), F.col("s_nationkey").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("inliers"))
+    return matchgraph.by_inliers(fits).select("target", "source", "inliers", "rank")
+
+
+@query("""
+WITH m AS (SELECT o_orderkey, o_orderpriority || (o_orderkey % 97) AS original, 'f' || (o_custkey % 500) AS new FROM orders)
+SELECT max(o_orderkey)::VARCHAR AS idx, arg_max(original, o_orderkey) AS original, new FROM m GROUP BY new
+""")
+def q_original_names(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    mapping = o.select(F.col("o_orderkey").cast("string").alias("index"), F.concat(F.lit("in/"), "o_orderpriority", F.col("o_orderkey") % 97).alias("original_visible"), F.concat(F.lit("out/f"), F.col("o_custkey") % 500).alias("new_visible"))
+    return organize.original_names(mapping)
+
+
+@query("""
+WITH p AS (SELECT user_id, min(value) AS x0, max(value) AS x1, min(hour(ts)) AS y0, max(hour(ts)) AS y1 FROM events GROUP BY user_id) SELECT user_id, x0, x1, y0::INTEGER AS y0, y1::INTEGER AS y1 FROM p
+""")
+def q_footprint_box(spark, sf_dir):
+    corners = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("value").alias("x"), F.hour("ts").alias("y"))).alias("c"))
+    return corners.select("user_id", *(c.alias(n) for n, c in surface.footprint_box(F.col("c")).items()))
+
+
+@query("""
+WITH f AS (SELECT c_name AS name FROM customer), p AS (SELECT DISTINCT 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS visible FROM orders)
+SELECT 'visible' AS side, name FROM f WHERE name NOT IN (SELECT visible FROM p)
+""")
+def q_unmatched(spark, sf_dir):
+    pairs = _table(spark, sf_dir, "orders").select(F.format_string("Customer#%09d", "o_custkey").alias("visible")).distinct()
+    return organize.unmatched(_table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")), pairs, "name", "visible")
+
+
+@query(_GRID + "SELECT count(*) AS cells, count(*) FILTER (filled) AS empty, round(avg(filled::INTEGER), 6) AS share FROM filled")
+def q_empty_share(spark, sf_dir):
+    return surface.empty_share(_filled(spark, sf_dir)[0]).select("cells", "empty", F.round("share", 6).alias("share"))
+
+
+@query("""SELECT round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, round(avg(x) * (1 - 56.3 / sqrt(power(avg(x), 2) + power(avg(y), 2) + power(avg(z), 2))), 4) AS gx
+FROM (SELECT l_quantity AS x, l_extendedprice AS y, l_tax AS z FROM lineitem)""")
+def q_mean_center(spark, sf_dir):
+    poses = _table(spark, sf_dir, "lineitem").select(F.array("l_quantity", "l_extendedprice", "l_tax").alias("C"))
+    return surface.mean_center(poses).select(*(F.round(c, 4).alias(c) for c in ("x", "y", "z", "gx")))
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) WHERE r = n // 2")
+def q_middle(spark, sf_dir):
+    return numbering.middle_row(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey")
+
+
 @query("""
 SELECT round(avg((x BETWEEN 5 AND 50 AND y BETWEEN 1 AND 90)::INTEGER), 6) AS fraction, avg((x BETWEEN 5 AND 50 AND y BETWEEN 1 AND 90)::INTEGER) > 0.8 AS aligned,
 round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y, round(avg(z), 4) AS mean_z FROM (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, round(l_discount * 100) AS z FROM lineitem)
@@ -454,21 +616,25 @@ LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')
 LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') b ON b.k = c_custkey
 """)
 def q_method(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders")
-    poses = [orders.filter(f).select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn(n, F.lit(True)) for n, f in (("a", "o_orderstatus = 'F'"), ("b", "o_orderpriority = '1-URGENT'"))]
-    out = _table(spark, sf_dir, "customer").join(poses[0], "c_custkey", "left").join(poses[1], "c_custkey", "left")
-    return out.select("c_custkey", F.when(F.col("a") & F.col("b"), "3d").otherwise("2d").alias("method"))
+    orders, name = _table(spark, sf_dir, "orders"), lambda side, c: F.concat(F.lit(side), F.col(c).cast("string"))
+    poses = [orders.filter(f).select(name(side, "o_custkey").alias("image")) for side, f in (("v", "o_orderstatus = 'F'"), ("t", "o_orderpriority = '1-URGENT'"))]
+    pairs = _table(spark, sf_dir, "customer").select("c_custkey", name("v", "c_custkey").alias("visible"), name("t", "c_custkey").alias("thermal"))
+    return registration.choose_method(pairs, poses[0].unionByName(poses[1]), "visible", "thermal").select("c_custkey", "method")
 
 
-@query("""
-WITH g AS (SELECT (props::JSON ->> 'k')::INTEGER AS k, event_type, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT event_type, arg_max(k, (n, -k)) AS k, max(n) AS n FROM g WHERE k IS NOT NULL GROUP BY event_type
-""")
+@query("SELECT s_suppkey, s_nationkey, round(s_acctbal, 2) AS x FROM supplier WHERE s_nationkey = (SELECT arg_max(s_nationkey, (n, -s_nationkey)) FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1))")
 def q_json(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p"))
-    groups = e.filter("p.k is not null").groupBy("event_type", F.col("p.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    best = groups.groupBy("event_type").agg(F.max_by(F.struct("k", "n"), F.struct("n", -F.col("k"))).alias("b"))
-    return best.select("event_type", "b.k", "b.n")
+    """A reconstruction document with one part a nation; the part with most shots is read back."""
+    s = _table(spark, sf_dir, "supplier")
+    shot = F.struct(F.lit("c").alias("camera"), F.array(F.col("s_nationkey").cast("double"), F.lit(0.0), F.lit(0.0)).alias("rotation"), F.array("s_acctbal", F.lit(0.0), F.lit(0.0)).alias("translation"))
+    part = s.groupBy("s_nationkey").agg(F.collect_list(F.struct(F.col("s_suppkey").cast("string").alias("k"), shot.alias("v"))).alias("shots"))
+    parts = part.agg(F.array_sort(F.collect_list(F.struct("s_nationkey", "shots"))).alias("p"))
+    camera = F.create_map(F.lit("c"), F.struct(F.lit(4000).alias("width"), F.lit(3000).alias("height"), F.lit(0.9).alias("focal")))
+    document = parts.select(F.to_json(F.transform("p", lambda x: F.struct(camera.alias("cameras"), F.map_from_entries(x["shots"]).alias("shots")))).alias("value"))
+    path = new_path(spark, "reconstruction")
+    document.write.text(path)
+    found = files.read_reconstruction(spark, path)
+    return found.select(F.col("shot").cast("long").alias("s_suppkey"), F.col("rotation")[0].cast("int").alias("s_nationkey"), F.round(F.col("translation")[0], 2).alias("x"))
 
 
 @query()

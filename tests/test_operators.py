@@ -134,6 +134,31 @@ def test_consensus_finds_planted():
         assert np.allclose(robust.consensus(p, robust.project(a, p), model)[0], a)
 
 
+@pytest.mark.parametrize("model", ["homography", "affine", "similarity"])
+def test_groups_of_any_size(spark, model):
+    """Planted transforms with outliers: a group far larger than its sample, a small one, a line, and one that is too small."""
+    rng = np.random.default_rng(4)
+    h = {"homography": [[1.02, 0.03, -4], [-0.02, 0.97, 6.5], [4e-5, -2e-5, 1]], "affine": [[1.1, 0.2, 3], [0.1, 0.8, -2], [0, 0, 1]], "similarity": [[0.9, -0.2, 3], [0.2, 0.9, 1], [0, 0, 1]]}[model]
+    rows, good = [], {}
+    for name, n in (("big", 3000), ("small", 40), (None, 30)):
+        p = rng.uniform(0, 640, (n, 2))
+        q = robust.project(np.array(h), p) + rng.normal(0, 0.3, (n, 2))
+        bad = rng.random(n) < 0.25
+        q[bad] += rng.uniform(30, 90, (bad.sum(), 2))
+        good[name] = n - bad.sum()
+        rows += [(name, *map(float, (*a, *b))) for a, b in zip(p, q)]
+    rows += [("line", float(i), float(i), float(i), float(i)) for i in range(20)] + [("few", 1.0, 2.0, 3.0, 4.0), ("few", None, 2.0, 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "pair string, x double, y double, u double, v double").repartition(3)
+    got = {r.pair: r for r in robust.fit_groups(df, "pair", model, sample=200).collect()}
+    assert set(got) == {"big", "small", None, "line", "few"}
+    for name, n in good.items():
+        corners = np.array([[0, 0], [640, 0], [0, 480], [640, 480.0]])
+        far = np.abs(robust.project(np.array(got[name].m).reshape(3, 3), corners) - robust.project(np.array(h), corners)).max()
+        assert abs(got[name].inliers - n) <= 1 and got[name].rmse < 0.6 and far < (0.25 if name == "big" else 3), (name, far)
+    assert got["few"].m is None and got["few"].n == 1 and got["few"].inliers == 0
+    assert (got["line"].m is None) == (model != "similarity")
+
+
 def test_lens_and_field():
     rng = np.random.default_rng(1)
     h = np.array([[1.01, 0.02, 3], [-0.01, 0.99, -2], [1e-5, 0, 1]])
@@ -264,6 +289,20 @@ def test_samples_and_rows(spark):
     assert [(r.component, r["size"], r.fragmented) for r in got] == [(1, 2, True), (3, 2, True), (5, 1, True), (6, 1, True)]
 
 
+def test_large_vocabulary_goes_in_blocks(spark):
+    from skylattice.operators import retrieval
+
+    rng = np.random.default_rng(0)
+    v, w = rng.normal(size=(50, 4)), rng.normal(size=(30, 4))
+    w[7] = w[3]
+    a = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    b = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)], "word int, c array<double>")
+    want = {i: int(((w - x) ** 2).sum(axis=1).argmin()) for i, x in enumerate(v)}
+    for limit in (1 << 20, 0):
+        got = retrieval.nearest_word(a, b, "id", "v", "word", "c", limit)
+        assert got.schema["word"].dataType.typeName() == "integer" and {r.id: r.word for r in got.collect()} == want
+
+
 def test_surface_extras(spark):
     grid = spark.createDataFrame([(0, 0, 1.0), (1, 2, 5.0), (2, 1, 9.0)], "iy int, ix int, z double")
     points = spark.createDataFrame([(0.0, 0.0, 1.0), (2.0, 2.0, 9.0)], "x double, y double, z double")
