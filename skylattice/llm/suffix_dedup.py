@@ -254,13 +254,13 @@ class ByteWindows(Windows):
         found = materialize(found, "byte-runs")
         release(found.sparkSession)
         spans = F.transform(F.arrays_zip("starts", "counts"), lambda x: F.struct(x["starts"].alias("start"), (F.call_function("shiftleft", F.lit(1).cast("long"), x["counts"]) - 1).alias("mask")))
-        whole = found.filter("kind = 0").select("rk", spans.alias("spans"))
+        whole = found.filter("kind = 0").select("rk", "id", spans.alias("spans"))
         contents = found.filter("kind = 1").select("m", "c", "id", "rk", "start", "n")
         # what was decided of frequent minimizers goes to their runs
         said = materialize(found.filter("kind = 3").select("m", F.col("id").alias("least"), (F.col("n") > 0).alias("open")), "hot-minimizer-answers")
         hot = found.filter("kind = 4").select("m", "c", "id", "rk", "start", "n").join(broadcast_if_small(said), "m")
         one = F.array(F.struct("start", F.expr("shiftleft(1L, n) - 1").alias("mask")))
-        whole = whole.unionByName(hot.filter("not open and least < id").select("rk", one.alias("spans")))
+        whole = whole.unionByName(hot.filter("not open and least < id").select("rk", "id", one.alias("spans")))
         some = found.filter("kind in (1, 2)").select("m", "c", "id", "rk", "start")
         return whole, contents, some.unionByName(hot.filter("open").select("m", "c", "id", "rk", "start"))
 
@@ -342,7 +342,7 @@ def _decide(name: np.uint64, parts: list) -> pa.Table:
     k = len(cut)
     lists = [pa.ListArray.from_arrays(pa.array(np.append(cut, len(gone)).astype(np.int32)), pa.array(x[gone].astype(np.int32))) for x in (start, n)] if k else [pa.array([], pa.list_(pa.int32()))] * 2
     none = lambda kind: pa.nulls(k, kind)
-    spans = pa.table({"kind": pa.array(np.zeros(k, np.int8)), "m": none(pa.int64()), "c": none(pa.int64()), "id": none(pa.int64()), "rk": pa.array(rk[row[gone[cut]]]), "start": none(pa.int32()), "n": none(pa.int32()), "starts": lists[0], "counts": lists[1]})
+    spans = pa.table({"kind": pa.array(np.zeros(k, np.int8)), "m": none(pa.int64()), "c": none(pa.int64()), "id": pa.array(ids[row[gone[cut]]]), "rk": pa.array(rk[row[gone[cut]]]), "start": none(pa.int32()), "n": none(pa.int32()), "starts": lists[0], "counts": lists[1]})
     open_ = _rows(np.where(lead, 1, 2), m[some] | name, c[some], ids[row[some]], rk[row[some]], start[some], n[some])
     zero = np.zeros(len(said), np.int64)
     answers = _rows(np.full(len(said), 3), ms[first[said]] | name, zero.view(np.uint64), least[said], zero, zero, several[said])

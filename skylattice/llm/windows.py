@@ -135,30 +135,33 @@ class Windows:
         return self.rows.select("rk", "id", "text").mapInArrow(cut, "m long, c long, id long, rk long, start int, n int")
 
     def shared_runs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(whole, contents, open): spans decided at once; distinct open contents; and the runs that have them."""
+        """(whole, contents, open): spans decided at once; distinct open contents; and the runs that have them.
+
+        A text is known by its hash and its id together.
+        """
         runs = materialize(self.runs(), "runs")
         shared = runs.groupBy("m").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("id").alias("least"), F.max("id").alias("most"))
         shared = materialize(shared.filter("least < most").select("m", "least", (F.col("c0") != F.col("c1")).alias("open")), "shared")
         runs = materialize(runs.join(broadcast_if_small(shared), "m"), "shared-runs")
-        whole = runs.filter("not open and least < id").select("rk", F.array(F.struct("start", F.expr("shiftleft(1L, n) - 1").alias("mask"))).alias("spans"))
+        whole = runs.filter("not open and least < id").select("rk", "id", F.array(F.struct("start", F.expr("shiftleft(1L, n) - 1").alias("mask"))).alias("spans"))
         some = runs.filter("open")
         contents = some.groupBy("m", "c").agg(F.min(F.struct("id", "rk", "start", "n")).alias("r")).select("m", "c", "r.*")
         return whole, contents, some.select("m", "c", "id", "rk", "start")
 
     def repeated(self) -> DataFrame:
-        """rk, spans: the windows to remove of each text, as (start, mask of windows from there)."""
+        """rk, id, spans: the windows to remove of each text, as (start, mask of windows from there)."""
         whole, contents, some = self.shared_runs()
-        wanted = contents.groupBy("rk").agg(F.collect_list(F.struct("m", "c", "id", "start", "n")).alias("want"))
-        wanted = materialize(wanted, "open-contents")
-        texts = self.rows.select("rk", "text").join(broadcast_if_small(wanted), "rk")
+        wanted = contents.groupBy("rk", F.col("id").alias("of")).agg(F.collect_list(F.struct("m", "c", "id", "start", "n")).alias("want"))
+        wanted = materialize(wanted.withColumnRenamed("of", "id"), "open-contents")
+        texts = self.rows.select("rk", "id", "text").join(broadcast_if_small(wanted), ["rk", "id"]).select("rk", "text", "want")
         # m, c and ids: (j, n, least) for the windows j..j+n-1 of the content
         least = materialize(self.resolve(texts, self.width), "open-windows")
         hit = some.join(broadcast_if_small(least), ["m", "c"])
         bits = lambda x: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), x["n"]) - 1, x["j"])
         mask = F.aggregate("ids", F.lit(0).cast("long"), lambda acc, x: F.when(x["least"] < F.col("id"), acc.bitwiseOR(bits(x))).otherwise(acc))
-        part = hit.select("rk", "start", mask.alias("mask")).filter("mask <> 0").select("rk", F.array(F.struct("start", "mask")).alias("spans"))
+        part = hit.select("rk", "id", "start", mask.alias("mask")).filter("mask <> 0").select("rk", "id", F.array(F.struct("start", "mask")).alias("spans"))
         # a set: rows that repeat id and text say the same
-        return whole.unionByName(part).groupBy("rk").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+        return whole.unionByName(part).groupBy("rk", "id").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
     def finish(self, kernel: Callable, schema: str) -> DataFrame:
         """``kernel`` over batches (id, text, spans), spans being null where nothing goes.
@@ -167,14 +170,14 @@ class Windows:
         others are few enough to broadcast; beyond that one join shuffles all.
         """
         spans = materialize(self.repeated(), "spans")
-        rows = self.rows.select("rk", "own", "text")
-        keys = spans.select("rk")
+        rows = self.rows.select("rk", "id", "own", "text")
+        keys = spans.select("rk", "id")
         if estimated_bytes(keys) > BROADCAST_BYTES:
-            return rows.join(spans, "rk", "left").select("own", "text", "spans").mapInArrow(kernel, schema)
+            return rows.join(spans, ["rk", "id"], "left").select("own", "text", "spans").mapInArrow(kernel, schema)
         hit = F.broadcast(keys)
         none = F.lit(None).cast(spans.schema["spans"].dataType)
-        clean = rows.join(hit, "rk", "left_anti").select("own", "text", none.alias("spans"))
-        dirty = rows.join(hit, "rk", "left_semi").join(spans, "rk").select("own", "text", "spans")
+        clean = rows.join(hit, ["rk", "id"], "left_anti").select("own", "text", none.alias("spans"))
+        dirty = rows.join(hit, ["rk", "id"], "left_semi").join(spans, ["rk", "id"]).select("own", "text", "spans")
         return clean.unionByName(dirty).mapInArrow(kernel, schema)
 
 
