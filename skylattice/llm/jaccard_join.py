@@ -1,17 +1,15 @@
 """Exact Jaccard self-join on word shingles.
 
-1. Candidates come from keys that similar sets must share, in one of two
-   ways.  *Parts* (from 85 percent on): every set is cut by hash into so many
-   parts that two sets similar enough must agree on ``e + 1`` parts at least (a pair may differ in ``d``
-   shingles, and there are ``d + 1 + e`` parts).  A set with at most ``e``
-   weak parts therefore needs none of those: similar sets still agree on a
-   strong one.  Sizes are banded, and a set also takes part in the next band
-   where it can have partners there.  *Prefixes* (below, where parts would
-   hold too few shingles to tell sets apart): shingles are ordered by a count
-   sketch of the whole corpus, rarest first, and similar sets share one of
-   their first ``n - ceil(t n) + 1``; the order decides how many candidates
-   there are, never which links are found.  Documents that share a key form
-   candidate blocks; a frequent shingle or passage alone joins little.
+1. Candidates come from keys that similar sets must share.  Shingles have one
+   order, by hash.  A set of ``n`` sends its first ``n - ceil((2t - 1) n) + 1``
+   shingles, ``e`` more than a prefix needs for threshold ``t``; so similar
+   sets share more of them than either has to spare (``e = ceil(t n) -
+   ceil((2t - 1) n)``, and ``ceil(t n) - e`` never falls with ``n``).  How
+   many sets sent a key is then counted, and every set takes back the ``e``
+   that most others sent, by one order of all keys: similar sets still share
+   one that both keep.  Passages, licences and common phrases go that way,
+   unless they make up half of a text.  Documents that share a key form
+   candidate blocks.
 2. Blocks are cut into tiles by size band and hash.  Tiles whose bands can
    hold partners meet: bitmaps of hashed shingles bound the overlap from
    above, and what passes is decided by intersecting sorted arrays.  Pairs
@@ -23,26 +21,17 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.llm.text import blocks, bound_batches, buffers, mix, rolling, trim, word_bounds, word_hashes
 from skylattice.operators.components import connected_components
 from skylattice.storage import broadcast_if_small, materialize
 
-#: Ratio of neighbouring size bands in the candidate search.
-BAND = 1.2
-#: A part with fewer shingles than this is weak: unlike sets often agree on it.
-WEAK = 3
-#: From this percentage on candidates come from parts, below from prefixes.
-PARTS_FROM = 85
-#: The count sketch has at most this many counters (as a power of two) of one byte.
-SKETCH_BITS = 24
 _U = np.uint64
 
 
@@ -74,92 +63,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return out[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=n))])
 
 
-class Bands:
-    """Size bands and the number of parts in each, for a threshold in percent."""
+def prefix_sizes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles sets of ``n`` send as keys, and how many of them they may take back."""
+    need = -(-percent * n // 100)
+    rest = np.maximum(1, -(-(2 * percent - 100) * n // 100))
+    return n - rest + 1, need - rest
 
-    def __init__(self, percent: int, top: int = 170):
-        self.percent = percent
-        self.low = np.unique(np.ceil(BAND ** np.arange(top)).astype(np.int64))
-        high = np.append(self.low[1:] - 1, 1 << 48)
-        least = 2 * high * (100 - percent) // (100 + percent) + 1
-        self.extra = (least + 5) // 10
-        self.parts = least + self.extra
 
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.low, sizes, side="right") - 1
-
-    def above(self, sizes: np.ndarray, up: int) -> np.ndarray:
-        """Rows that can have partners ``up`` bands above their own."""
-        band = self.of(sizes) + up
-        inside = (sizes > 0) & (band < len(self.low))
-        return inside & (100 * sizes >= self.percent * self.low[np.minimum(band, len(self.low) - 1)])
-
-
-def part_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, parts: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the parts of the chosen rows' sets in the given bands, without weak ones where a set can spare them."""
-    sizes = np.diff(bounds)[rows]
-    if not len(rows):
-        return rows, np.empty(0, np.uint64)
-    base = np.concatenate([[0], np.cumsum(parts)])
-    at = np.repeat(bounds[rows], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    token = mix(sets[at])
-    part = ((token >> _U(32)) * np.repeat(parts, sizes).astype(np.uint64)) >> _U(32)
-    place = np.repeat(base[:-1], sizes) + part.astype(np.int64)
-    token = mix(token + _U(0x9E3779B97F4A7C15))
-    total = int(base[-1])
-    hi = np.bincount(place, (token >> _U(32)).astype(np.float64), total).astype(np.uint64)
-    lo = np.bincount(place, (token & _U(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
-    owner = np.repeat(np.arange(len(rows)), parts)
-    number = (np.arange(total) - np.repeat(base[:-1], parts)).astype(np.uint64)
-    key = mix(mix(hi * _U(0xD6E8FEB86659FD93) + lo) + number * _U(0xA0761D6478BD642F) + band[owner].astype(np.uint64) * _U(0xE7037ED1A0B428DB))
-    weak = np.bincount(place, minlength=total) < WEAK
-    use = ~weak | (np.add.reduceat(weak, base[:-1]) > extra)[owner]
-    return rows[owner[use]], key[use]
-
-
-def prefix_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, percent: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the rarest shingles that a similar set must share one of."""
+def prefix_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, keys to spare) of the first shingles by hash of the chosen rows' sets, which must not be empty."""
     sizes = np.diff(bounds)[rows]
-    at = np.repeat(bounds[rows], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = np.cumsum(sizes) - sizes
+    at = np.repeat(bounds[rows] - first, sizes) + np.arange(sizes.sum())
     token, owner = mix(sets[at] + _U(5)), np.repeat(np.arange(len(rows)), sizes)
-    order = np.lexsort((token, sketch[_counter(token, sketch)], owner))
-    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    use = order[place < np.repeat(sizes + (-percent * sizes // 100) + 1, sizes)]
-    return rows[owner[use]], token[use]
-
-
-def _counter(token: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    return (token >> _U(64 - (len(sketch) - 1).bit_length())).astype(np.int64)
-
-
-def count_sketch(rows: DataFrame, words: int) -> np.ndarray:
-    """How many texts hold a shingle of each counter, up to 255; the size follows the text and is bounded."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(SKETCH_BITS, max(12, math.ceil(math.log2(max(1, total) / 24))))
-    part = 1 << max(0, bits - 6)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, np.uint8)
-        for batch in batches:
-            for _, sets, _ in _set_rows(batch, 0, words):
-                at, n = np.unique(_counter(mix(sets + _U(5)), seen), return_counts=True)
-                seen[at] = np.minimum(seen[at].astype(np.int64) + n, 255).astype(np.uint8)
-        if seen.any():
-            blobs = [zlib.compress(seen[i : i + part].tobytes(), 1) for i in range(0, len(seen), part)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(part, np.uint8)
-        for b in table.column("counts"):
-            more = np.frombuffer(zlib.decompress(b.as_py()), np.uint8)
-            total = np.minimum(total.astype(np.uint16) + more, 255).astype(np.uint8)
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "part int, counts binary"
-    out = np.zeros(1 << bits, np.uint8)
-    for r in rows.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
-        out[r.part * part : (r.part + 1) * part] = np.frombuffer(r.counts, np.uint8)
-    return out
+    order = np.lexsort((token, owner))
+    take, spare = prefix_sizes(sizes, percent)
+    use = order[np.arange(len(at)) - np.repeat(first, sizes) < np.repeat(take, sizes)]
+    return rows[owner[use]], token[use], spare[owner[use]]
 
 
 def bitmaps(sets: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
@@ -177,20 +97,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def tile_links(ids, sides, sets: list[np.ndarray], maps: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a tile; rows of one side meet only where there is a single side."""
+def tile_links(ids: np.ndarray, sides: list, sets: list[np.ndarray], maps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """What the links of a tile connect, as (smallest id, other id); rows of one side meet only where there is a single side."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    parent = np.arange(len(ids))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     single = len(set(sides)) == 1
-    links = []
     sorted_sizes, sorted_maps, sorted_sides = sizes[order], maps[order], np.asarray(sides)[order]
     roots = np.arange(len(ids))  # of the sorted rows, kept up to date
     for k in range(1, len(order)):
@@ -210,12 +121,14 @@ def tile_links(ids, sides, sets: list[np.ndarray], maps: np.ndarray, percent: in
         most = np.minimum(n - only, m - back)
         near = near[100 * most >= percent * (n + m - most)]
         for j in near[::-1]:
-            if roots[j] == roots[k]:
-                continue
-            if similar(sets[order[j]], sets[order[k]], percent):
-                links.append((ids[order[j]], ids[order[k]]))
+            if roots[j] != roots[k] and similar(sets[order[j]], sets[order[k]], percent):
                 roots[roots == roots[k]] = roots[j]
-    return links
+    names = np.asarray(ids)[order]
+    group = np.unique(roots, return_inverse=True)[1]
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, names)
+    far = least[group] != names
+    return list(zip(least[group][far].tolist(), names[far].tolist(), strict=True))
 
 
 def _set_rows(batch: pa.RecordBatch, column: int, words: int):
@@ -245,26 +158,12 @@ def jaccard_components(
     """
     bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bands = Bands(percent)
-    sketch = None if percent >= PARTS_FROM else docs.sparkSession.sparkContext.broadcast(count_sketch(rows, words))  # 16 MB at most
-
-    def keys_of(sets: np.ndarray, bounds: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = np.diff(bounds)
-        if sketch is not None:
-            yield prefix_keys(sets, bounds, np.flatnonzero(first & (n > 0)), percent, sketch.value)
-            return
-        band, up = bands.of(n), -1
-        while (near := bands.above(n, up := up + 1)).any():
-            b = band + up
-            use = np.flatnonzero(first & near)
-            use = use[bands.parts[b[use]] > 1]  # a single part says only that sets are equal
-            yield part_keys(sets, bounds, use, b[use], bands.parts[b[use]], bands.extra[b[use]])
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             valid = np.asarray(batch.column(0).is_valid())
             ids = batch.column(0).fill_null(0).to_numpy()
-            owners, keys, out = [], [], []
+            keys, out = [], []
             # equal sets of a batch speak once, by their smallest id
             seen: dict[tuple[int, int], int] = {}
             least: list[int] = []
@@ -281,30 +180,21 @@ def jaccard_components(
                         first[r] = True
                         least.append(ids[i + r])
                     number[r], least[k] = k, min(least[k], ids[i + r])
-                for who, key in keys_of(sets, bounds, first):
-                    owners.append(number[who])
-                    keys.append(key)
+                use = np.flatnonzero(first & (n > 0))
+                if len(use):
+                    who, key, spare = prefix_keys(sets, bounds, use, percent)
+                    keys.append((number[who], key, spare))
             yield from (_table(*x) for x in out)
-            if owners:
-                owner, key = np.array(least, np.int64)[np.concatenate(owners)] if least else np.empty(0, np.int64), np.concatenate(keys)
-                order = np.lexsort((owner, key))
-                owner, key = owner[order], key[order]
-                new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                low = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else owner
-                edge = np.unique(np.stack([low[low != owner], owner[low != owner]], axis=1), axis=0)
-                yield _table(1, owner[new], None, key[new].view(np.int64), None, None)
-                yield _table(2, edge[:, 0], None, edge[:, 1], None, None)
+            for who, key, spare in keys:
+                yield _table(1, np.array(least, np.int64)[who], spare, key.view(np.int64), None, None)
 
     schema = "kind byte, id long, n long, f long, g long"
     found = materialize(rows.mapInArrow(signatures, schema), "shingle-parts")
     sizes = found.filter("kind = 0").select("id", "n", "f", "g")
     classes = materialize(sizes.filter("n > 0 and id is not null").groupBy("n", "f", "g").agg(F.min("id").alias("rep")), "shingle-classes")
 
-    least = found.filter("kind = 1").select("id", F.expr("min(id) over (partition by f)").alias("lo"))
-    pairs = least.filter("lo < id").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    pairs = pairs.unionByName(found.filter("kind = 2").select(F.col("id").alias("a"), F.col("f").alias("b"))).distinct()
-    block = connected_components(materialize(pairs, "shingle-candidates"))
+    edges = _candidates(found.filter("kind = 1").select("id", F.col("n").alias("spare"), "f"))
+    block = connected_components(materialize(edges, "shingle-candidates"))
     members = block.join(classes.select(F.col("rep").alias("node"), F.col("n")), "node").select(F.col("node").alias("id"), F.col("component").alias("block"), "n")
     tiles = _tiles(materialize(members, "shingle-blocks"), percent, tile)
     texts = rows.join(broadcast_if_small(tiles), "id").select("id", "block", "tiles", "side", "text")
@@ -334,8 +224,8 @@ def jaccard_components(
                 got = tile_links(
                     ids[own], [side[i] for i in own], [np.frombuffer(sets[i], np.uint64) for i in own], np.stack([np.frombuffer(maps[i], np.uint64) for i in own]), percent
                 )
-                a += [int(x) for x, _ in got]
-                b += [int(y) for _, y in got]
+                a += [x for x, _ in got]
+                b += [y for _, y in got]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     linked = materialize(held.groupBy("tile").applyInArrow(links, "a long, b long"), "shingle-links")
@@ -355,11 +245,30 @@ def _table(kind: int, ids, n, f, g, valid) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), *cols], ["kind", "id", "n", "f", "g"])
 
 
+def _candidates(keys: DataFrame) -> DataFrame:
+    """a, b: each document that keeps a key, with the smallest that does.
+
+    Keys are counted and their rows found again in one exchange (every column
+    is used on both sides, so that it is one).  A text has hundreds of keys,
+    so even one that all texts have is a small part of the rows.
+    """
+    spread = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.repartition(spread, "f")
+    often = dealt.groupBy("f").agg(F.count("id").alias("k"), F.min("spare").alias("least")).filter("k > 1 and least >= 0").select("f", "k")
+    shared = dealt.join(often.hint("shuffle_hash"), "f")  # the few keys that several documents have, of one partition
+    # a document takes back its most frequent keys; rows that share an id are one document, with the least to spare
+    own = Window.partitionBy("id")
+    kept = shared.withColumn("r", F.row_number().over(own.orderBy(F.desc("k"), "f"))).withColumn("e", F.min("spare").over(own))
+    kept = materialize(kept.filter("r > e").select("id", "f"), "shingle-keys")
+    low = kept.groupBy("f").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("f", "a")
+    return kept.join(low, "f").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+
+
 def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
     """id, block, side and the tiles that a document goes to.
 
     A block of at most ``tile`` documents is one tile, and small blocks share
-    tasks.  In a larger one, a document's side is its size band (one step of
+    tasks, as many as it takes for about ``tile`` documents each.  In a larger one, a document's side is its size band (one step of
     the threshold) and a hash bucket of about ``tile`` documents; every side
     meets itself and the sides of its own and the next band.
     """
@@ -375,7 +284,8 @@ def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
     above = "if(buckets[band + 1] is null, array(), transform(sequence(0, buckets[band + 1] - 1), o -> concat_ws('/', block, band, h, band + 1, o)))"
     below = "if(buckets[band - 1] is null, array(), transform(sequence(0, buckets[band - 1] - 1), o -> concat_ws('/', block, band - 1, o, band, h)))"
     small = F.col("total") <= tile
-    tiles = F.when(small, F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(4096))))).otherwise(F.expr(f"concat({here}, {above}, {below})"))
+    shared = max(1, math.ceil((info.filter(F.col("total") <= tile).agg(F.sum("total")).first()[0] or 0) / tile))
+    tiles = F.when(small, F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(shared))))).otherwise(F.expr(f"concat({here}, {above}, {below})"))
     side = F.when(small, F.lit("")).otherwise(F.concat_ws("/", "band", "h"))
     return materialize(x.select("id", "block", tiles.alias("tiles"), side.alias("side")), "shingle-members")
 

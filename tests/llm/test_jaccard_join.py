@@ -59,7 +59,7 @@ def corpus(seed=0):
     return rows
 
 
-@pytest.mark.parametrize(("k", "percent", "tile"), [(3, 90, 256), (5, 80, 4), (3, 60, 2)])
+@pytest.mark.parametrize(("k", "percent", "tile"), [(3, 90, 256), (5, 80, 4), (3, 60, 2), (3, 40, 8)])
 def test_against_all_pairs(spark, k, percent, tile):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n int, component string").repartition(3)
@@ -67,6 +67,25 @@ def test_against_all_pairs(spark, k, percent, tile):
     assert Counter(map(tuple, got)) == brute(rows, k, percent)
 
 
+def test_similar_sets_keep_a_common_key():
+    """Whatever order of keys decides what is taken back."""
+    rng = np.random.default_rng(1)
+    for trial in range(3000):
+        percent, n = int(rng.choice([40, 60, 80, 85, 90, 97])), int(rng.integers(1, 120))
+        pool = rng.permutation(400).astype(np.uint64)
+        a = pool[:n]
+        cut, more = int(rng.integers(0, n)), int(rng.integers(0, 1 + n * (100 - percent) // percent))
+        b = np.concatenate([a[cut if trial % 2 else min(cut, n * (100 - percent) // 100) :], pool[n : n + more]])
+        a, b = np.sort(a), np.sort(b)
+        common = len(np.intersect1d(a, b))
+        if 100 * common < percent * (len(a) + len(b) - common):
+            continue
+        rows, keys, spare = jj.prefix_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.array([0, 1]), percent)
+        order = {k: (rng.integers(0, 4), k) for k in keys.tolist()}
+        kept = [set(sorted(keys[rows == r].tolist(), key=order.get)[: (rows == r).sum() - spare[rows == r][0]]) for r in (0, 1)]
+        assert kept[0] & kept[1]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     for _ in range(50):
