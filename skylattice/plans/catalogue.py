@@ -648,8 +648,12 @@ def q_ransac(spark, sf_dir):
     return robust.fit_groups(rows, "pair", model="homography")
 
 
-@query("""SELECT o_orderkey AS key, o_orderstatus AS status, 'done' AS state FROM orders""")
+@query("""
+SELECT o_orderkey AS key, o_orderstatus AS status, count(l_orderkey) AS items, round(coalesce(sum(l_quantity), 0), 2) AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2
+""")
 def q_incremental(spark, sf_dir):
     """Bounded batches against a state table give what one large run gives."""
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
-    return incremental.run_in_batches(orders, "key", batches=2, work=lambda df: df.withColumn("state", F.lit("done")))
+    items = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    work = lambda df: df.join(items, "key", "left").fillna(0, ["items", "quantity"])
+    return incremental.run_in_batches(orders, "key", batches=2, work=work)
