@@ -152,3 +152,62 @@ def test_article_text_stays():
         assert text(f'<div class="{name}"><article>kept</article></div>') == "kept", name
         assert text(f'<div class="{name}-links"><a href=x>{long}</a></div>') == "", name
     assert text(f'<div class="entry-header"><h1>Title</h1></div><div id="cookie-notice"><p>{long}</p></div><div class="comment-list"><article>{long}</article></div>') == "Title"
+
+
+def longest(a, b):
+    """Places in ``a`` of a longest common subsequence, by the whole table."""
+    t = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+    return int(t[-1, -1])
+
+
+def by_hand(rows):
+    """Pages of plain lines, each on its own: distinct pages of a host in URL order, neighbours at doubling distance, copies passed over."""
+    pages = {}
+    for _, url, lines in rows:
+        pages.setdefault(hx.host_path(url)[0], {}).setdefault(tuple(lines), []).append(hx.host_path(url)[1])
+    gone = {}
+    for host, group in pages.items():
+        order = sorted((min(paths), lines) for lines, paths in group.items())
+        seen = [line for _, lines in order for line in set(lines)]
+        template = {x for x in seen if len(order) > 2 and 2 * seen.count(x) > len(order)}
+        for at, (path, lines) in enumerate(order):
+            own = [x for x in lines if x not in template]
+            if len(order) < 3 or sum(map(len, own)) < 0.1 * sum(map(len, lines)):
+                own = list(lines)
+            far, found = 1, None
+            while found is None and len(order) > 1:
+                near = [k for k in (max(0, at - far), min(len(order) - 1, at + far)) if k != at]
+                for k in sorted(near, key=lambda k: -hx.prefix_length(path, order[k][0])):
+                    other = order[k][1]
+                    shared = [x for x in lines if x in other]
+                    assert len(shared) == longest(lines, other)  # lines of a page differ and keep their order here
+                    if sum(len(x) for x in shared if x in own) <= 0.5 * sum(map(len, own)):
+                        found = set(shared)
+                        break
+                if at - far <= 0 and at + far >= len(order) - 1:
+                    break
+                far *= 2
+            gone[host, lines] = found or set()
+    return {i: "\n\n".join(x for x in lines if x not in gone[hx.host_path(url)[0], tuple(lines)]) for i, url, lines in rows}
+
+
+def test_pairing_and_deletion_by_hand(spark):
+    rng = random.Random(7)
+    rows = []
+    for h in range(6):
+        top, end = f"top of {h} {rng.random()}", f"end of {h} {rng.random()}"
+        section = {k: f"section {k} of {h} {rng.random()}" for k in range(3)}
+        old = None
+        for i in range(rng.randrange(1, 25)):
+            k = i // 8
+            body = [f"{h} {i} line {n} {rng.random()}" for n in range(rng.randrange(1, 5))]
+            if old and rng.random() < 0.3:  # a copy, with a line changed or not
+                body = old[:-1] + [rng.choice([old[-1], f"changed {rng.random()}"])]
+            old = body
+            rows.append((len(rows), f"http://host{h}.com/{k}/p{rng.randrange(100):02d}-{i}", [top, section[k], *body, end]))
+    df = spark.createDataFrame([(i, u, "".join(f"<div>{x}</div>" for x in lines)) for i, u, lines in rows], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in hx.extract(df).collect()}
+    assert got == by_hand(rows)
