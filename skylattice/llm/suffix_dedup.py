@@ -35,12 +35,14 @@ from skylattice.storage import broadcast_if_small, materialize, release
 #: Bytes of a routing k-gram.
 GRAM = 24
 #: Text bytes whose runs share a bucket, open contents of a bin, and contents of one minimizer that a bin takes.
-BUCKET_BYTES, BIN, HOT = 5_000_000, 8192, 20_000
+BUCKET_BYTES, BIN, HOT = 3_000_000, 8192, 20_000
 _SECOND = 0xA0761D6478BD642F
 #: Text bytes cut at once, and runs held before they are packed.
-_BLOCK, _HELD = 1 << 18, 200_000
-#: So many runs of one minimizer among those held are combined before they are sent, and the runs themselves dealt to salted groups.
-HOT_RUNS, _SALTS = 256, 1024
+_BLOCK, _HELD = 1 << 18, 150_000
+#: Runs of one minimizer that a bucket takes; where a task's share is larger, runs are combined before they are sent, and dealt to salted groups themselves.
+HOT_RUNS, _SALTS = 200_000, 1024
+#: Text bytes between the starts of two runs, on average.
+_RUN_BYTES = 14
 
 
 def bwt_lcp(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +223,8 @@ class ByteWindows(Windows):
         total = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         # a bucket is named by the first bits of a minimizer, as many as keep it small
         bits = min(31, max(4, math.ceil(math.log2(max(1, total) / BUCKET_BYTES))))
-        hot_runs = HOT_RUNS
+        # the runs of a minimizer that no task finds frequent are HOT_RUNS at most, whatever the input
+        hot_runs = max(1, HOT_RUNS * _HELD * _RUN_BYTES // max(1, total))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -61,7 +61,7 @@ def test_words(spark):
     assert Counter(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize(("hot", "runs"), [(20_000, 256), (0, 256), (20_000, 2), (0, 1)])
+@pytest.mark.parametrize(("hot", "runs"), [(20_000, 200_000), (0, 200_000), (20_000, 0), (0, 0)])
 def test_bytes(spark, hot, runs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", runs)
