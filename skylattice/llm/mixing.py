@@ -192,7 +192,8 @@ class Mix:
             "start",
             F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("block"),
         )
-        cut = cut.join(uses, ["sid", "block"])
+        # both sides are made of a few rows that become many, which size estimates do not see: never broadcast
+        cut = cut.join(uses.hint("merge"), ["sid", "block"])
         return cut.select(
             "key",
             "size",
@@ -208,7 +209,7 @@ class Mix:
         """One row per row of the input: id, size, source_size, target, taken."""
         got = self.pieces().groupBy("sid", "start", "size").agg(F.sum((F.col("to") - F.col("from")) * F.col("uses")).alias("taken"))
         return (
-            self.rows.join(got, ["sid", "start", "size"], "left")
+            self.rows.join(got.hint("merge"), ["sid", "start", "size"], "left")
             .select(F.col("rid").alias(self.id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
         )
 
@@ -243,7 +244,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     used = mix.pieces().groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("from", "to", "uses"))).alias("blocks"))
     used = used.select(F.col("key").alias("__mix_key"), F.col("size").alias("__mix_size"), F.col("blocks").alias("__mix_blocks"))
     columns = docs.columns
-    rows = numbered.join(used, "__mix_key").select(*columns, "__mix_size", "__mix_blocks")
+    rows = numbered.join(used.hint("merge"), "__mix_key").select(*columns, "__mix_size", "__mix_blocks")
     text_at, chars_at, names = columns.index(text_col), columns.index("n_chars") if "n_chars" in columns else -1, list(columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
