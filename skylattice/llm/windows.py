@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skylattice.llm.text import BLOCK, blocks, bound_batches, buffers, mix, powers, rolling, word_bounds, word_hashes
-from skylattice.storage import BROADCAST_BYTES, broadcast_if_small, estimated_bytes, materialize
+from skylattice.storage import BROADCAST_BYTES, broadcast_if_small, estimated_bytes, materialize, release
 
 _POS = np.uint64((1 << 24) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -153,9 +153,11 @@ class Windows:
         whole, contents, some = self.shared_runs()
         wanted = contents.groupBy("rk", F.col("id").alias("of")).agg(F.collect_list(F.struct("m", "c", "id", "start", "n")).alias("want"))
         wanted = materialize(wanted.withColumnRenamed("of", "id"), "open-contents")
+        release(wanted.sparkSession)  # what was shuffled so far is written: its files go before more come
         texts = self.rows.select("rk", "id", "text").join(broadcast_if_small(wanted), ["rk", "id"]).select("rk", "text", "want")
         # m, c and ids: (j, n, least) for the windows j..j+n-1 of the content
         least = materialize(self.resolve(texts, self.width), "open-windows")
+        release(least.sparkSession)
         hit = some.join(broadcast_if_small(least), ["m", "c"])
         bits = lambda x: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), x["n"]) - 1, x["j"])
         mask = F.aggregate("ids", F.lit(0).cast("long"), lambda acc, x: F.when(x["least"] < F.col("id"), acc.bitwiseOR(bits(x))).otherwise(acc))
@@ -170,6 +172,7 @@ class Windows:
         others are few enough to broadcast; beyond that one join shuffles all.
         """
         spans = materialize(self.repeated(), "spans")
+        release(spans.sparkSession)
         rows = self.rows.select("rk", "id", "own", "text")
         keys = spans.select("rk", "id")
         if estimated_bytes(keys) > BROADCAST_BYTES:
