@@ -224,8 +224,8 @@ class ByteWindows(Windows):
         total = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         # a bucket is named by the first bits of a minimizer, as many as keep it small
         bits = min(31, max(4, math.ceil(math.log2(max(1, total) / BUCKET_BYTES))))
-        # the share of all runs above which a minimizer is split: one that no task finds frequent has HOT_RUNS at most, whatever the input
-        hot_share = HOT_RUNS * _RUN_BYTES / max(1, total)
+        # a minimizer that no full batch finds frequent has about HOT_RUNS at most, whatever the input
+        hot_runs = max(1, HOT_RUNS * _HELD * _RUN_BYTES // max(1, total))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -241,7 +241,7 @@ class ByteWindows(Windows):
                         held.append((i + text, start + lo, n.astype(np.uint8), m, c))
                         size += len(text)
                     if size > _HELD or (j == batch.num_rows and size):
-                        yield _blobs(held, rk, ids, bits, hot_share)
+                        yield _blobs(held, rk, ids, bits, hot_runs)
                         held, size = [], 0
                 trim()
 
@@ -281,11 +281,11 @@ def _combined(m: np.ndarray, c: np.ndarray, own: np.ndarray, start: np.ndarray,
     return hot, order[np.unique(np.concatenate([first, last]))]
 
 
-def _blobs(held: list, rk: np.ndarray, ids: np.ndarray, bits: int, hot_share: float) -> pa.RecordBatch:
+def _blobs(held: list, rk: np.ndarray, ids: np.ndarray, bits: int, hot_runs: int) -> pa.RecordBatch:
     """Packed runs by bucket.  Runs of frequent minimizers go to a salted group of their bucket; in the bucket itself few speak for them."""
     row, start, n, m, c = (np.concatenate([h[i] for h in held]) for i in range(5))
     bucket = (m >> np.uint64(64 - bits)).astype(np.int64)
-    hot, speak = _combined(m, c, ids[row], start, max(1, int(hot_share * len(m))))
+    hot, speak = _combined(m, c, ids[row], start, hot_runs)
     if len(hot):
         salted = bucket.copy()
         salted[hot] |= (1 + int(rk[row[hot[0]]]) % _SALTS) << bits
