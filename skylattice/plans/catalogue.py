@@ -182,13 +182,21 @@ def q_components(spark, sf_dir):
 
 
 def _history(spark, sf_dir) -> DataFrame:
-    """Match rows: an order's part and the next order's with the same part in the same month; r keeps the row order."""
+    """Match rows: an order's part and the next order's with the same part in the same month.
+
+    r is a row's position by part, month and order.  The number that orders
+    the rows in SQL exceeds a long from part 46,117 on, so it is a decimal
+    here and only its rank goes on; rows without it have none.
+    """
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("m")).distinct()
     from pyspark.sql import Window
 
     nxt = F.lead("l_orderkey").over(Window.partitionBy("l_partkey", "m").orderBy("l_orderkey"))
     rows = rows.withColumn("b", nxt).filter("b is not null")
-    r = (F.col("l_partkey") * 100_000 + F.col("m")) * 1_000_000_000 + F.col("l_orderkey")
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    key = wide("l_partkey") * F.lit(10**14).cast("decimal(15,0)") + wide("m") * F.lit(10**9).cast("decimal(10,0)") + wide("l_orderkey")
+    rows = numbering.number_rows(rows.withColumn("key", key), ["key"], "r", 0)
+    r = F.when(F.col("key").isNotNull(), F.col("r"))
     return rows.select(r.alias("r"), F.col("l_orderkey").alias("image_a"), F.col("l_partkey").alias("kp_a"), F.col("b").alias("image_b"), F.col("l_partkey").alias("kp_b"))
 
 

@@ -109,3 +109,16 @@ def test_vocabulary_settles(spark):
     assert own.sum() < 0.9 * ((x - x.mean(axis=0)) ** 2).sum()
     moved = sum(((x[near == k].mean(axis=0) - c) ** 2).sum() for k, c in enumerate(centers) if (near == k).any())
     assert moved < 0.05 * own.sum()
+
+
+@pytest.mark.parametrize("name", ["q_tracks", "q_corr", "q_reachable", "q_track_summary"])
+def test_tracks_of_large_part_numbers(spark, tmp_path, name):
+    """Part numbers beyond what a long can order (46,117 for nodes, 92,233 for rows) give the tracks of small ones."""
+    shift = 5_000_000
+    items = spark.read.parquet(f"{SF}/lineitem.parquet")
+    items.withColumn("l_partkey", items.l_partkey + shift).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = catalogue.queries()[name](spark, SF).toPandas()
+    got = catalogue.queries()[name](spark, str(tmp_path)).toPandas()
+    for c in {"feature_id", "kp_a", "kp_b"} & set(got.columns):
+        got[c] -= shift
+    assert len(got) and rows(got) == rows(want)
