@@ -31,6 +31,7 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -281,10 +282,44 @@ class Pieces:
         new = [t for t in stretches if t not in self.cache]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for t, (best, step, piece) in zip(part, self.solve([(t, len(t), 0) for t in part]), strict=True):
-                ids = np.array(self.trace(t, step, piece, len(t)), "<i4").tobytes()
-                self.cache[t] = ids, int(best[len(t)])
-                self.cached += 200 + 2 * len(t) + len(ids)
+            ids, scores = self.segment(part)
+            self.cache.update(zip(part, zip(ids, scores, strict=True), strict=True))
+            self.cached += 200 * len(part) + 2 * sum(map(len, part)) + sum(map(len, ids))
+
+    def segment(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
+        """Pieces (32-bit integers) and scores of whole stretches, which are traced side by side as well."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(size, kind="stable")
+        kind = np.ceil(np.log2(np.maximum(size[order], 4)))
+        ids, scores = [b""] * len(texts), [0] * len(texts)
+        for lo, hi in pairwise([*np.flatnonzero(np.r_[True, np.diff(kind) != 0]).tolist(), len(order)] if len(order) else []):
+            most = max(1, (1 << 19) // max(1, int(size[order[hi - 1]])))
+            for at in range(lo, hi, most):
+                who = order[at : min(at + most, hi)].tolist()
+                part, n = [texts[i] for i in who], size[who]
+                width, rows = int(n[-1]), np.arange(len(who))
+                code = np.full((len(who), width), -1, np.int64)
+                code[np.arange(width) < n[:, None]] = self.code("".join(part))
+                best, step, piece = self.lanes(code, n, np.zeros(len(who), np.int64))
+                # every round takes a piece from the end of each lane that has one left
+                found, count, end = np.empty((len(who), width), "<i4"), np.zeros(len(who), np.int64), n.copy()
+                bare = np.zeros(len(who), bool)
+                lane, column = np.flatnonzero(end > 0), width
+                while len(lane):
+                    column -= 1
+                    place = end[lane]
+                    found[lane, column] = i = piece[lane, place]
+                    bare[lane[i < 0]] = True
+                    count[lane] += 1
+                    end[lane] = place - step[lane, place]
+                    lane = lane[end[lane] > 0]
+                flat = found[np.arange(width) >= (width - count)[:, None]].tobytes()
+                cuts = (4 * np.concatenate([[0], np.cumsum(count)])).tolist()
+                for i, a, b, score in zip(who, cuts[:-1], cuts[1:], best[rows, n].tolist(), strict=True):
+                    ids[i], scores[i] = flat[a:b], score
+                for r in np.flatnonzero(bare).tolist():  # unknown characters become several pieces
+                    ids[who[r]] = _ids(self.trace(part[r], step[r], piece[r], len(part[r])))
+        return ids, scores
 
     def mark(self, text: str, first: bool) -> str:
         """The text with marks for spaces; the model may put one in front of it."""
@@ -339,7 +374,9 @@ class Pieces:
                 into[r] = lane[0][len(c.left)]
             if len(c.left) < k:  # a piece that ends where the first stretch does
                 into[len(c.left)] = 0
-            inner = sum([self.cache[p][1] for p in c.parts])
+            known = list(map(self.cache.__getitem__, c.parts))
+            c.inner = b"".join([ids for ids, _ in known])
+            inner = sum([score for _, score in known])
             out[b] = np.maximum(into[:, None] + outof[None, :] + inner, _NONE)
         whole = [b for b, c in enumerate(chunks) if c.whole]
         for at in range(0, len(whole), 32):
@@ -382,7 +419,7 @@ class Pieces:
                 if states[b] < len(c.left):
                     _, step, piece = c.first[states[b]]
                     ids.append(_ids(self.trace(c.left, step, piece, len(c.left), states[b])))
-                ids += [self.cache[p][0] for p in c.parts]
+                ids.append(c.inner)
                 if c.right:
                     _, step, piece = c.last
                     ids.append(_ids(self.trace(c.right + c.beyond, step, piece, len(c.right) + states[b + 1])))
@@ -392,7 +429,7 @@ class Pieces:
     def encode_block(self, texts: list[str], size: int) -> list[bytes]:
         """Piece numbers of whole texts, as 32-bit integers."""
         chunks = [self.chunks("", self.mark(t, True), "", size) for t in texts]
-        self.remember({p for own in chunks for c in own for p in c.parts})
+        self.remember(set().union(*(c.parts for own in chunks for c in own)))
         matrices = self.matrices([c for own in chunks for c in own])
         out, at = [], 0
         for own in chunks:
@@ -425,6 +462,7 @@ class Chunk:
     whole: bool
     first: list = field(default_factory=list)
     last: tuple | None = None
+    inner: bytes = b""
 
 
 def _ids(pieces: list[int]) -> bytes:

@@ -128,3 +128,15 @@ def test_table(spark):
     back = {r.doc_id: r.text for r in sp.decode(out.drop("text")).collect()}
     assert [back[i] for i in range(len(TEXTS))] == TEXTS
     assert sp.encode(docs.limit(0)).count() == 0
+
+
+def test_stretches_are_traced_side_by_side(pieces):
+    """One by one and in lanes of mixed widths, stretches have the same pieces and scores; unknown characters become bytes in both."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("etaoinshrdlu中\U0001f600") for _ in range(rng.choice((1, 2, 4, 5, 9, 40)))) for _ in range(300)] + [sp.MARK, sp.MARK + "the"]
+    ids, scores = pieces.segment(texts)
+    for t, got, score in zip(texts, ids, scores, strict=True):
+        ((best, step, piece),) = pieces.solve([(t, len(t), 0)])
+        assert np.frombuffer(got, "<i4").tolist() == pieces.trace(t, step, piece, len(t))
+        assert score == best[len(t)]
+    assert pieces.segment([]) == ([], [])
