@@ -197,12 +197,21 @@ def removed_units(spans: pa.Array, units: np.ndarray, width: int) -> np.ndarray:
     start = units[text] + np.asarray(flat.field("start")).astype(np.int64)
     mask = np.asarray(flat.field("mask")).astype(np.uint64)
     size = total + width + 64
-    edge = np.zeros(size, np.int64)
     solid = (mask & (mask + np.uint64(1))) == 0  # the lowest bits only: one interval
     n = np.bitwise_count(mask[solid]).astype(np.int64)
-    edge += np.bincount(start[solid], minlength=size) - np.bincount(start[solid] + n - 1 + width, minlength=size)
+    edge = np.bincount(start[solid], minlength=size) - np.bincount(start[solid] + n - 1 + width, minlength=size)
     start, mask = start[~solid], mask[~solid]
-    for j in range(63 if len(mask) else 0):
-        at = start[(mask >> np.uint64(j)) & np.uint64(1) == 1] + j
-        edge += np.bincount(at, minlength=size) - np.bincount(at + width, minlength=size)
+    # of other masks every run of set bits is an interval
+    up, down = (mask & ~(mask << np.uint64(1)), mask & ~(mask >> np.uint64(1)))
+    for lo in range(0, len(mask), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        first, last = _set_bits(start[part], up[part]), _set_bits(start[part], down[part])
+        edge += np.bincount(first, minlength=size) - np.bincount(last + width, minlength=size)
     return np.cumsum(edge[:total]) > 0
+
+
+def _set_bits(start: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The places of all set bits, ``start`` being that of the lowest."""
+    bits = np.unpackbits(mask.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+    row, bit = np.nonzero(bits)
+    return start[row] + bit

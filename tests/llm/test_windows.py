@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skylattice.llm import substring_dedup, suffix_dedup, windows
@@ -122,3 +123,22 @@ def test_empty_and_pieces(spark, monkeypatch):
     values = np.arange(1000, dtype=np.uint64)
     text, start, n, m, c = windows.cut_runs(values, np.array([0, 400, 430, 1000]), 50, 10)
     assert n.sum() == 351 + 521 and n.max() <= 41
+
+
+def test_masks_cost_no_pass_a_bit(monkeypatch):
+    """Spans of a long text: the same units as bit by bit, and no pass over the text for every bit of a mask."""
+    rng, n, width = np.random.default_rng(1), 200_000, 50
+    spans = [(int(s), int(m)) for s, m in zip(rng.integers(0, n - 200, 3000), rng.integers(1, 1 << 63, 3000), strict=True)]
+    spans += [(7, 0b101), (n - 113, (1 << 63) - 1)]
+    want = np.zeros(n, bool)
+    for s, m in spans:
+        for j in range(63):
+            if m >> j & 1:
+                want[s + j : s + j + width] = True
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("mask", pa.int64())]))
+    column = pa.array([[{"start": s, "mask": m} for s, m in spans]], kind)
+    passes, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: passes.append(1) or count(*a, **b))
+    got = windows.removed_units(column, np.array([0, n]), width)
+    assert (got == want).all()
+    assert len(passes) <= 4
